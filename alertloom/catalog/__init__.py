@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["logs"]
+MODULES = ["logs", "private"]
 
 
 def load_all():

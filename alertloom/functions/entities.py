@@ -9,14 +9,12 @@ from alertloom import config
 
 
 def _labelled(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    found = []
-    for label, pattern in patterns:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found.append(
-            F.transform(values, lambda v, label=label: F.struct(
-                F.lit(label).alias("label"), F.trim(v).alias("value")))
-        )
-    return F.array_distinct(F.filter(F.concat(*found), lambda e: e["value"] != ""))
+    def values(label: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                           lambda v: F.struct(F.lit(label).alias("label"), F.trim(v).alias("value")))
+
+    found = F.concat(*[values(label, pattern) for label, pattern in patterns])
+    return F.array_distinct(F.filter(found, lambda e: e["value"] != ""))
 
 
 def labelled_entities(text: Column) -> Column:

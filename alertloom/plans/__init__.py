@@ -1,0 +1 @@
+"""Multi-step jobs built from the operators."""
