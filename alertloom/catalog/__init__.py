@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["logs", "private"]
+MODULES = ["logs", "private", "rollups"]
 
 
 def load_all():
