@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["logs", "private", "rollups"]
+MODULES = ["logs", "private", "rollups", "search"]
 
 
 def load_all():
