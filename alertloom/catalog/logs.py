@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alertloom import config
 from alertloom.catalog.base import ALERTS, Tables, query, with_alerts
 from alertloom.functions import entities as ent
+from alertloom.functions.matching import exploded
 from alertloom.operators import counts, filters, issues as iss, joins
 from alertloom.sources import alerts as src
 
@@ -233,7 +234,7 @@ def _(t: Tables):
 
 
 def alert_mentions(alerts, text: str = "full_log"):
-    return alerts.select("sha256", F.explode(ent.entities(F.col(text))).alias("entity")).distinct()
+    return exploded(alerts, ["sha256"], ent.entities(F.col(text)), "entity").distinct()
 
 
 @query("a04_entity_frequency", with_alerts(r"""

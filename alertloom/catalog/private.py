@@ -8,6 +8,7 @@ from alertloom import config
 from alertloom.catalog.base import Tables, query
 from alertloom.functions import entities as ent
 from alertloom.functions import pii, redaction
+from alertloom.functions.matching import exploded
 from alertloom.operators import joins
 from alertloom.plans import redact as job
 
@@ -376,7 +377,7 @@ def _(t: Tables):
     from alertloom.session import spread
 
     docs = spread(t.documents.select("doc_id", "text"))
-    return docs.select("doc_id", F.explode(ent.query_entities(F.col("text"))).alias("e")).select("doc_id", "e.*")
+    return exploded(docs, ["doc_id"], ent.query_entities(F.col("text")), "e").select("doc_id", "e.*")
 
 
 @query("v03_classify_entity", f"""WITH e AS (SELECT DISTINCT value FROM ({sql_entities(config.QUERY_ENTITY_PATTERNS, 'text', 'doc_id', 'documents')}) x
@@ -391,7 +392,7 @@ SELECT value, CASE WHEN contains(lower(value), '.exe') OR contains(lower(value),
   WHEN regexp_matches(value, '^[a-zA-Z][a-zA-Z0-9_-]*$') AND length(value) < 50 THEN 'user' ELSE 'unknown' END AS entity_type FROM e""")
 def _(t: Tables):
     docs = t.documents
-    values = docs.select(F.explode(ent.query_entities(F.col("text"))).alias("e")).select("e.value").unionByName(
+    values = exploded(docs, [], ent.query_entities(F.col("text")), "e").select("e.value").unionByName(
         docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), F.lit(0))).alias("value"))
     ).unionByName(t.pages.select(F.col("url").alias("value"))).distinct()
     return values.select("value", ent.entity_type(F.col("value")).alias("entity_type"))

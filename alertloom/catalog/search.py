@@ -9,6 +9,7 @@ from alertloom.catalog.base import Tables, query, with_alerts
 from alertloom.catalog.logs import ISSUES
 from alertloom.functions import entities as ent
 from alertloom.functions.vectors import hashed_embedding
+from alertloom.functions.matching import exploded
 from alertloom.operators import filters, issues as iss, joins, search as se
 from alertloom.plans import retrieval as rt
 from alertloom.plans import rollup as ro
@@ -180,7 +181,7 @@ t AS (SELECT query_id, 'IP' AS label, ip AS entity, unnest([{', '.join(IP_TERMS)
   UNION ALL SELECT query_id, 'USER', u, unnest([{', '.join(USER_TERMS)}]), unnest(range({len(USER_TERMS)})) FROM q)
 SELECT * FROM t"""))
 def _(t: Tables):
-    found = user_queries(t.alerts).select("query_id", F.explode(ent.query_entities(F.col("query"))).alias("e")).select("query_id", "e.*")
+    found = exploded(user_queries(t.alerts), ["query_id"], ent.query_entities(F.col("query")), "e").select("query_id", "e.*")
     return found.select("query_id", "label", F.col("value").alias("entity"), F.posexplode(
         rt.related_terms(F.col("label"), F.col("value"))).alias("ord", "term")).withColumn("ord", F.col("ord").cast("bigint"))
 
@@ -216,8 +217,8 @@ def _(t: Tables):
 @query("v12_rule_queries", with_alerts(USERS + f"""
 SELECT query_id, unnest([{', '.join(RULE_QUERIES)}]) AS rule_query FROM q"""))
 def _(t: Tables):
-    return user_queries(t.alerts).select("query_id", F.explode(rt.rule_queries(
-        F.col("query"), ent.query_entities(F.col("query")))).alias("rule_query"))
+    return exploded(user_queries(t.alerts), ["query_id"], rt.rule_queries(
+        F.col("query"), ent.query_entities(F.col("query"))), "rule_query")
 
 
 @query("v16_retrieval_queries", with_alerts(f"""

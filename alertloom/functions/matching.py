@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,14 @@ def tokens(text: Column) -> Column:
 def words(text: Column) -> Column:
     """White-space words without empty strings."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def exploded(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes the optimizer add ``size(array) > 0`` as a filter and
+    push it towards the scan, so an expensive array is computed twice, possibly
+    on far more rows. The outer form computes it once; its empty rows are
+    dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

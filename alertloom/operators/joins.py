@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions.matching import exploded
 
 def hits_to_logs(hits: DataFrame, logs: DataFrame, key: str = "alert_id") -> DataFrame:
     return hits.join(logs, key)
@@ -32,7 +33,7 @@ def entity_mentions(logs: DataFrame, known: DataFrame, entities: Column, key: st
     A containment join would compare every log with every entity. Extracting
     first turns it into a hash join whose size is the number of mentions.
     """
-    found = logs.select(key, F.explode(entities).alias("value")).withColumn("lowered", F.lower("value"))
+    found = exploded(logs, [key], entities, "value").withColumn("lowered", F.lower("value"))
     wanted = known.select(F.lower("entity").alias("lowered"), F.col("entity")).distinct()
     return found.join(wanted, "lowered").select(key, "entity").distinct()
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from alertloom import config
 from alertloom.functions.entities import entity_type
-from alertloom.functions.matching import contains_any
+from alertloom.functions.matching import contains_any, exploded
 
 KEY = ["cluster_id", "day"]
 NIGHT = [23, 0, 1, 2, 3, 4, 5]
@@ -83,15 +83,15 @@ def temporal_features(ts: Column) -> list[Column]:
 
 def mentions(rows: DataFrame) -> DataFrame:
     """One row per log and entity."""
-    return rows.select(*KEY, "sha256", "ts", "rule_id", "full_log", F.explode("entities").alias("entity"))
+    return exploded(rows, [*KEY, "sha256", "ts", "rule_id", "full_log"], F.col("entities"), "entity")
 
 
 def common_elements(rows: DataFrame, base: DataFrame, share: float = 0.5) -> DataFrame:
     """Entities and rules in at least half of a cluster's logs."""
     rule = F.concat("rule_id", F.lit(": "), "rule_desc")
-    items = rows.select(*KEY, F.explode(F.concat(
+    items = exploded(rows, KEY, F.concat(
         F.transform("entities", lambda e: F.struct(F.lit("entity").alias("kind"), e.alias("value"))),
-        F.array(F.struct(F.lit("rule").alias("kind"), rule.alias("value"))))).alias("x")).select(*KEY, "x.*")
+        F.array(F.struct(F.lit("rule").alias("kind"), rule.alias("value")))), "x").select(*KEY, "x.*")
     counted = items.groupBy(*KEY, "kind", "value").agg(F.count("*").alias("logs"))
     return counted.join(base.select(*KEY, "n"), KEY).where(F.col("logs") >= share * F.col("n")).drop("n")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom import config
-from alertloom.functions.matching import contains_any, tokens
+from alertloom.functions.matching import contains_any, exploded, tokens
 from alertloom.functions.vectors import best_rows, partition_search
 from alertloom.session import is_small
 
@@ -68,7 +68,7 @@ def top_k(hits: DataFrame, k: int, query: str, score: str, tie: str) -> DataFram
 
 def query_terms(queries: DataFrame, keywords: Column) -> DataFrame:
     """(query_id, term, weight) of the keyword text of each query."""
-    return queries.select("query_id", F.explode(tokens(keywords)).alias("term")).groupBy("query_id", "term").agg(
+    return exploded(queries, ["query_id"], tokens(keywords), "term").groupBy("query_id", "term").agg(
         F.count("*").alias("weight"))
 
 
@@ -84,11 +84,11 @@ def bm25(corpus: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "t
     # A scalar subquery: one row of corpus statistics without a join.
     stats = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len")).alias("s")).scalar()
     wanted = terms.select("term").distinct()
-    seen = docs.select("id", F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term")
+    seen = exploded(docs, ["id"], F.array_distinct("tokens"), "term").join(wanted, "term")
     df = seen.groupBy("term").agg(F.count("*").alias("df"))
     if only is not None:
         docs = docs.join(only.select("id").distinct(), "id")
-    tf = (docs.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term")
+    tf = (exploded(docs, ["id", F.size("tokens").alias("len")], F.col("tokens"), "term").join(wanted, "term")
           .groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
     pairs = tf.join(terms.join(df, "term").withColumn("stats", stats), "term")
     if only is not None:
@@ -177,10 +177,10 @@ def entity_relations(logs: DataFrame, entities: Column, id_col: str = "sha256")
     log; no entity, however frequent, is joined with itself.
     """
     listed = logs.select(id_col, F.array_sort(F.array_distinct(entities)).alias("e"))
-    pairs = listed.select(F.explode(F.flatten(F.transform("e", lambda x, i: F.transform(
-        F.slice(F.col("e"), i + 2, F.size("e")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    pairs = exploded(listed, [], F.flatten(F.transform("e", lambda x, i: F.transform(
+        F.slice(F.col("e"), i + 2, F.size("e")), lambda y: F.struct(x.alias("a"), y.alias("b"))))), "p")
     shared = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("evidence"))
-    single = listed.select(F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("logs"))
+    single = exploded(listed, [], F.col("e"), "entity").groupBy("entity").agg(F.count("*").alias("logs"))
     return (shared.join(single.select(F.col("entity").alias("a"), F.col("logs").alias("na")), "a")
             .join(single.select(F.col("entity").alias("b"), F.col("logs").alias("nb")), "b")
             .select("a", "b", "evidence", (F.col("evidence") / (F.col("na") + F.col("nb") - F.col("evidence"))).alias("strength")))

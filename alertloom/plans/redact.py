@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertloom import config
 from alertloom.functions import pii, redaction
-from alertloom.functions.matching import words
+from alertloom.functions.matching import exploded, words
 from alertloom.session import spread
 
 
@@ -16,20 +16,19 @@ HIT = [f"h.{c}" for c in ("kind", "value", "start", "len", "context", "confidenc
 
 def pii_hits(docs: DataFrame, key: str = "doc_id", text: str = "text", custom=None) -> DataFrame:
     """One row per personal data hit."""
-    found = spread(docs.select(key, text)).select(key, F.explode(pii.detect_pii(F.col(text), custom)).alias("h"))
+    found = exploded(spread(docs.select(key, text)), [key], pii.detect_pii(F.col(text), custom), "h")
     return found.select(key, *HIT)
 
 
 def pii_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", minimum: float = 0.0) -> DataFrame:
-    found = spread(docs.select(key, text)).select(
-        key, F.explode(pii.pii_candidates(F.col(text), minimum=minimum)).alias("h"))
+    found = exploded(spread(docs.select(key, text)), [key], pii.pii_candidates(F.col(text), minimum=minimum), "h")
     return found.select(key, *HIT)
 
 
 def indicator_hits(docs: DataFrame, key: str = "doc_id", text: str = "text", candidates: bool = False) -> DataFrame:
     """One row per security indicator hit."""
     hits = (pii.indicator_candidates if candidates else pii.detect_indicators)(F.col(text))
-    return spread(docs.select(key, text)).select(key, F.explode(hits).alias("h")).select(key, *HIT)
+    return exploded(spread(docs.select(key, text)), [key], hits, "h").select(key, *HIT)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "embedding", rules=None,

@@ -56,7 +56,9 @@ def plan_strategies(queries: DataFrame) -> DataFrame:
     """One row per (query, strategy) in the order they count: high priority first.
 
     A narrow expression over (query_id, query): the list of a query depends on
-    nothing but its own text, so no join and no shuffle is needed.
+    nothing but its own text, so no join and no shuffle is needed. The outer
+    explode keeps the optimizer from computing the list a second time as a
+    pushed-down size filter; the list is never empty.
     """
     q, found, basic = F.col("query"), F.col("found"), F.col("basic")
 
@@ -81,7 +83,7 @@ def plan_strategies(queries: DataFrame) -> DataFrame:
     analysed = queries.select("query_id", "query", query_entities(q).alias("found"), entities(q).alias("basic"))
     rows = analysed.withColumn("all", ordered)
     return rows.select("query_id", "query", "basic", F.size("all").alias("n_strategies"),
-                       F.posexplode("all").alias("strategy_index", "s")).select(
+                       F.posexplode_outer("all").alias("strategy_index", "s")).select(
         "query_id", "query", "basic", "n_strategies", "strategy_index", "s.*")
 
 
@@ -129,7 +131,7 @@ def entity_search(logs: DataFrame, wanted: DataFrame, per_term: int = 20, cap: i
     e = F.col("entity")
     terms = F.array_distinct(F.when(F.col("entity_type") == "COMPUTER", F.concat(
         F.array(e), with_suffixes(e, config.ENTITY_SEARCH_SUFFIXES), with_suffixes(base_name(e), ["failure", "error"]))).otherwise(F.array(e)))
-    plan = wanted.select("entity", F.posexplode(terms).alias("strategy_index", "search")).select(
+    plan = wanted.select("entity", F.posexplode_outer(terms).alias("strategy_index", "search")).select(
         "*", F.col("entity").alias("keywords"), F.lit(per_term).alias("k"), F.concat("entity", F.lit("#"), "strategy_index").alias("search_id"))
     hits = run_searches(search_text(logs), plan).join(plan.select("search_id", "entity", "strategy_index"), "search_id")
     first = joins.first_strategy_wins(hits.select(F.col("entity").alias("query_id"), F.col("id").alias("alert_id"), "strategy_index", "rank", "hybrid_score"))
@@ -158,7 +160,7 @@ def issue_context(logs: DataFrame, issues: DataFrame, cap: int = 50, related: in
         "issue_id", "alert_id", (F.col("pos") + 1).alias("rank"))
     title, summary = F.col("title"), F.col("summary")
     texts = F.array(title, summary, F.concat(title, F.lit(" error failure")), F.concat(title, F.lit(" authentication certificate cryptographic")))
-    plan = issues.select("issue_id", F.posexplode(texts).alias("i", "search")).select(
+    plan = issues.select("issue_id", F.posexplode_outer(texts).alias("i", "search")).select(
         "*", F.lit("").alias("keywords"), F.lit(per_query).alias("k"), F.concat("issue_id", F.lit("#"), "i").alias("search_id"))
     hits = run_searches(search_text(logs), plan).join(plan.select("search_id", "issue_id", "i"), "search_id")
     parts = [refs] + [hits.where(F.col("i") == n).select("issue_id", F.col("id").alias("alert_id"), "rank") for n in range(4)]
