@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["logs", "private", "rollups", "search"]
+MODULES = ["logs", "private", "rollups", "search", "guard"]
 
 
 def load_all():
