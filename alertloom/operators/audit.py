@@ -29,16 +29,14 @@ def audit_fields(kind: Column, outcome: Column, has_pii: Column, status: Column)
 
 def risk_score(kind: Column, outcome: Column, severity: Column) -> Column:
     """Base risk by kind, raised by outcome and severity, at most 1."""
-    base = F.lit(config.AUDIT_OTHER_RISK)
-    for name, value in config.AUDIT_BASE_RISK.items():
-        base = F.when(kind == name, value).otherwise(base)
-    for name, factor in config.AUDIT_OUTCOME_FACTOR.items():
-        base = F.when(outcome == name, base * factor).otherwise(base)
-    weight = F.lit(1.0)
-    for name, factor in config.AUDIT_SEVERITY_FACTOR.items():
-        weight = F.when(severity == name, factor).otherwise(weight)
+    # Map look-ups name each input once; nested conditions would multiply the
+    # expression whenever a filter on the score is pushed below it.
+    table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    base = F.coalesce(table(config.AUDIT_BASE_RISK)[kind], F.lit(config.AUDIT_OTHER_RISK))
+    factor = F.coalesce(table(config.AUDIT_OUTCOME_FACTOR)[outcome], F.lit(1.0))
+    weight = F.coalesce(table(config.AUDIT_SEVERITY_FACTOR)[severity], F.lit(1.0))
     # violations are logged with a fixed risk
-    return F.when(kind == "security_violation", 0.9).otherwise(F.least(base * weight, F.lit(1.0)))
+    return F.when(kind == "security_violation", 0.9).otherwise(F.least(base * factor * weight, F.lit(1.0)))
 
 
 def with_risk(events: DataFrame) -> DataFrame:
