@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["logs", "private", "rollups", "search", "guard", "clusters"]
+MODULES = ["logs", "private", "rollups", "search", "guard", "clusters", "streams"]
 
 
 def load_all():
