@@ -175,15 +175,17 @@ def _(t: Tables):
                           r.where("method = 'GET' AND path <> '/view'"))
 
 
-@query("w05_rate_limit", """WITH RECURSIVE e AS (
+ACCEPTANCE = """WITH RECURSIVE e AS (
   SELECT event_id, event_type AS ip, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
 walk AS (
   SELECT ip, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS accepted, CAST([] AS BIGINT[]) AS acc FROM (SELECT DISTINCT ip FROM e) x
   UNION ALL
   SELECT ip, rn, event_id, passed, CASE WHEN passed THEN list_append(kept, t) ELSE kept END FROM (
     SELECT *, len(kept) < 8 AND len(list_filter(kept, lambda a: a > t - 600000000)) < 2 AS passed FROM (
-      SELECT e.ip, e.rn, e.event_id, e.t, list_filter(w.acc, lambda a: a > e.t - 3600000000) AS kept FROM walk w JOIN e ON e.ip = w.ip AND e.rn = w.rn + 1) k) p)
-SELECT event_id AS request_id, ip, accepted FROM walk WHERE rn > 0""")
+      SELECT e.ip, e.rn, e.event_id, e.t, list_filter(w.acc, lambda a: a > e.t - 3600000000) AS kept FROM walk w JOIN e ON e.ip = w.ip AND e.rn = w.rn + 1) k) p)"""
+
+
+@query("w05_rate_limit", ACCEPTANCE + " SELECT event_id AS request_id, ip, accepted FROM walk WHERE rn > 0")
 def _(t: Tables):
     asked = t.events.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("ip"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
     return ac.rate_limit(asked, limit=8, window_s=3600, burst=2, burst_s=600, chunk_s=6 * 3600).select("request_id", "ip", "accepted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertloom.catalog.base import Tables, query, with_alerts
-from alertloom.catalog.guard import AUDIT, audit
+from alertloom.catalog.guard import ACCEPTANCE, AUDIT, audit
 from alertloom.catalog.logs import ISSUES
 from alertloom.catalog.rollups import CATALOG, DAILY, SUMMARY, catalog, chain
 from alertloom.operators import counts, issues as iss, joins
@@ -113,9 +113,9 @@ def _(t: Tables):
     return ingested(t, "good").select("event_id")
 
 
-@query("st01_stream_ingest", "SELECT count(*) AS quarantined, CAST(sum(length('{\"event_id\":' || event_id) ) AS BIGINT) * 0 AS zero FROM events WHERE event_id % 10 = 3")
+@query("st01_stream_ingest", "SELECT count(*) AS quarantined FROM events WHERE event_id % 10 = 3")
 def _(t: Tables):
-    return ingested(t, "bad").agg(F.count("*").alias("quarantined"), F.lit(0).cast("bigint").alias("zero"))
+    return ingested(t, "bad").agg(F.count("*").alias("quarantined"))
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -143,7 +143,7 @@ def _(t: Tables):
     return out.select("kind", us("window.start").alias("start_us"), "n")
 
 
-@query("st05_stream_rate_limit")
+@query("st05_stream_rate_limit", ACCEPTANCE + " SELECT event_id AS request_id, ip, CASE WHEN accepted THEN 'pass' ELSE 'limited' END AS verdict FROM walk WHERE rn > 0")
 def _(t: Tables):
     requests = streamed(t).events.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("ip"), "ts", us("ts").alias("ts_us"))
     out = jobs.run_to_table(jobs.rate_limit_stream(requests, limit=8, window_s=3600, burst=2, burst_s=600, max_violations=10**9), t.spark, "limit")

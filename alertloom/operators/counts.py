@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom import config
+from alertloom.session import cut_lineage
 
 
 def log_trend(logs: DataFrame, buckets: int = config.TREND_BUCKETS, ts: str = "ts") -> DataFrame:
@@ -59,13 +60,36 @@ def token_reduction(before: Column, after: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - after / before))
 
 
+def exact_median(rows: DataFrame, by: list[str], measure: str) -> DataFrame:
+    """Exact median per group without holding a group's values in one task.
+
+    Equal values are counted first. The counts are range-partitioned by group
+    and value and summed range by range, so the middle of each group is found
+    from the sizes of the ranges before it.
+    """
+    counted = rows.where(F.col(measure).isNotNull()).groupBy(*by, measure).agg(F.count("*").alias("c"))
+    parted = cut_lineage(counted.repartitionByRange(*by, measure).withColumn("pid", F.spark_partition_id()), "median")
+    ranges = parted.groupBy(*by, "pid").agg(F.sum("c").alias("size"))  # one row per group and range
+    ahead = Window.partitionBy(*by).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.select(*by, "pid", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"),
+                           F.sum("size").over(Window.partitionBy(*by)).alias("total"))
+    running = F.sum("c").over(Window.partitionBy("pid", *by).orderBy(measure))
+    upto = parted.withColumn("within", running).join(placed, [*by, "pid"]).withColumn("upto", F.col("before") + F.col("within"))
+    covers = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)
+    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
+    pick = lambda at: F.max(F.when(covers(at), F.col(measure)))
+    return upto.groupBy(*by).agg(((pick(low) + pick(high)) / 2).alias(f"{measure}_median"))
+
+
 def latency_summary(calls: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     """Count, mean, median, max and min of each measure."""
     aggs = [F.count("*").alias("calls")]
     for m in measures:
-        aggs += [F.round(F.avg(m), 6).alias(f"{m}_mean"), F.round(F.median(m), 6).alias(f"{m}_median"),
-                 F.max(m).alias(f"{m}_max"), F.min(m).alias(f"{m}_min")]
-    return calls.groupBy(*by).agg(*aggs)
+        aggs += [F.round(F.avg(m), 6).alias(f"{m}_mean"), F.max(m).alias(f"{m}_max"), F.min(m).alias(f"{m}_min")]
+    out = calls.groupBy(*by).agg(*aggs)
+    for m in measures:
+        out = out.join(exact_median(calls, by, m), by).withColumn(f"{m}_median", F.round(f"{m}_median", 6))
+    return out
 
 
 def usage_metrics(calls: DataFrame) -> DataFrame:
