@@ -9,6 +9,7 @@ from alertloom.catalog.base import Tables, query, with_alerts
 from alertloom.operators import access as ac
 from alertloom.operators import audit as au
 from alertloom.operators import quality as qu
+from alertloom.session import spread
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -116,13 +117,13 @@ SELECT kind, id, regexp_matches(j, {lit(config.XSS)}) AS xss, regexp_matches(j,
 def _(t: Tables):
     rows = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body")).unionByName(
         t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body")))
-    return rows.select("kind", "id", *qu.scan_injection(F.to_json(F.struct("id", "body")), F.col("body")))
+    return spread(rows).select("kind", "id", *qu.scan_injection(F.to_json(F.struct("id", "body")), F.col("body")))
 
 
 @query("f17_sanitize_html", """SELECT page_id, md5(s) AS html_md5, length(s) AS n FROM (SELECT page_id,
   replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS s FROM pages) p""")
 def _(t: Tables):
-    clean = t.pages.select("page_id", qu.sanitize_html(F.col("html")).alias("s"))
+    clean = spread(t.pages.select("page_id", "html")).select("page_id", qu.sanitize_html(F.col("html")).alias("s"))
     return clean.select("page_id", F.md5("s").alias("html_md5"), F.length("s").cast("bigint").alias("n"))
 
 

@@ -9,6 +9,7 @@ from alertloom.catalog.base import ALERTS, Tables, query, with_alerts
 from alertloom.functions import entities as ent
 from alertloom.functions.matching import exploded
 from alertloom.operators import counts, filters, issues as iss, joins
+from alertloom.session import spread
 from alertloom.sources import alerts as src
 
 NOW = "2024-01-30"
@@ -234,7 +235,7 @@ def _(t: Tables):
 
 
 def alert_mentions(alerts, text: str = "full_log"):
-    return exploded(alerts, ["sha256"], ent.entities(F.col(text)), "entity").distinct()
+    return exploded(spread(alerts), ["sha256"], ent.entities(F.col(text)), "entity").distinct()
 
 
 @query("a04_entity_frequency", with_alerts(r"""

@@ -366,7 +366,9 @@ SELECT doc_id, string_agg(value, '|' ORDER BY ord) AS entities, count(*) AS n FR
 def _(t: Tables):
     from alertloom.session import spread
 
-    found = spread(t.documents.select("doc_id", "text")).select("doc_id", ent.entities(F.col("text")).alias("e"))
+    # The outer explode of a one-element list keeps the filter from being
+    # pushed below the extraction, where it would run it a second time.
+    found = exploded(spread(t.documents.select("doc_id", "text")), ["doc_id"], F.array(ent.entities(F.col("text"))), "e")
     return found.where(F.size("e") > 0).select(
         "doc_id", F.array_join("e", "|").alias("entities"), F.size("e").cast("bigint").alias("n"))
 

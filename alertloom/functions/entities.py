@@ -8,9 +8,35 @@ from pyspark.sql import functions as F
 from alertloom import config
 
 
+# Cheap necessary conditions: a text that lacks one cannot match the pattern, and
+# most texts lack most of them. They change the cost, never the result.
+GATES = {
+    "IP": r"\d\.\d",
+    "HOST": r"\.[A-Za-z]{2}",
+    "COMPUTER": r"-[PSWDpswd]|[A-Za-z][0-9]{4}",
+    "WORKSTATION": r"[PRCNprcn]-",
+    "USER": r"_|\\",
+    "DOMAIN_USER": r"\\",
+    "WINDOWS_PATH": r":\\",
+    "UNIX_PATH": "/",
+    "PROCESS": r"\.[EDBCPSedbcps]",
+    "MD5_HASH": "[a-fA-F0-9]{32}",
+    "SHA1_HASH": "[a-fA-F0-9]{40}",
+    "SHA256_HASH": "[a-fA-F0-9]{64}",
+    "HASH": "[a-fA-F0-9]{32}",
+}
+
+
+def _matches(text: Column, label: str, pattern: str) -> Column:
+    # The query-side COMPUTER label also covers workstation names.
+    gate = rf"{GATES[label]}|{GATES['WORKSTATION']}" if label == "COMPUTER" else GATES[label]
+    return F.when(text.rlike(gate), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def _labelled(text: Column, patterns: list[tuple[str, str]]) -> Column:
     def values(label: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        return F.transform(_matches(text, label, pattern),
                            lambda v: F.struct(F.lit(label).alias("label"), F.trim(v).alias("value")))
 
     found = F.concat(*[values(label, pattern) for label, pattern in patterns])
@@ -29,7 +55,7 @@ def query_entities(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Distinct entity values in first-seen order."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for _, p in config.ENTITY_PATTERNS]
+    found = [_matches(text, label, p) for label, p in config.ENTITY_PATTERNS]
     trimmed = F.transform(F.concat(*found), lambda v: F.trim(v))
     return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 

@@ -57,6 +57,24 @@ def pii_false_positive(kind: Column, value: Column, low: Column) -> Column:
     return false | ((kind == "email") & contains_any(low_value, config.PII_TEST_DOMAINS))
 
 
+# Cheap necessary conditions per kind, as in functions.entities.
+PII_GATES = {"ssn": r"\d{2}", "credit_card": r"\d{4}", "email": "@", "phone": r"\d{3}", "name": None, "address": r"\d\s",
+             "date_of_birth": r"\d{4}"}
+INDICATOR_GATES = {"ip_address": r"\d\.\d|[0-9a-fA-F]:[0-9a-fA-F]", "domain": r"\.[a-zA-Z]{2}", "file_hash": "[a-fA-F0-9]{32}",
+                   "port": r":\d|(?:ort|ORT)[\s:=]", "protocol": None, "process_name": r"\.[EeDd]|bin/", "cve": "[Ee]-",
+                   "signature_id": r"[DdEe][\s:=]+\d", "event_id": r"[Dd][\s:=]+\d"}
+
+
+def gated(text: Column, gates: dict[str, str | None], patterns: list[tuple[str, str]], hits: Callable[[str, str], Column]) -> list[Column]:
+    """Hits of all patterns; the patterns of a kind run only where its gate matches."""
+    out = []
+    for kind in dict.fromkeys(k for k, _ in patterns):
+        found = F.concat(*[hits(k, p) for k, p in patterns if k == kind])
+        empty = F.array().cast("array<struct<kind:string,value:string,start:int,len:int,context:string,low:string,confidence:double>>")
+        out.append(found if gates[kind] is None else F.when(text.rlike(gates[kind]), found).otherwise(empty))
+    return out
+
+
 def located(text: Column, pattern: str, width: int, extra: int = 0) -> Column:
     """Matches with their context, lower-cased context and, optionally, a wider one.
 
@@ -91,7 +109,8 @@ def pii_candidates(text: Column, custom: list[tuple[str, str, float]] | None = N
     ``custom`` adds ``(name, pattern, confidence)`` rows; their kind is ``custom``.
     """
     find = lambda pattern: located(text, pattern, config.PII_CONTEXT)
-    found = [_scored(find(pattern), kind, partial(pii_confidence, kind)) for kind, pattern in config.PII_PATTERNS]
+    found = gated(text, PII_GATES, config.PII_PATTERNS,
+                  lambda kind, pattern: _scored(find(pattern), kind, partial(pii_confidence, kind)))
     found += [_scored(find(pattern), "custom", partial(_fixed, confidence)) for _, pattern, confidence in custom or []]
     return F.filter(F.concat(*found), lambda h: h["confidence"] >= minimum)
 
@@ -153,8 +172,8 @@ def indicator_candidates(text: Column) -> Column:
         hits = located(text, pattern, config.INDICATOR_CONTEXT, config.INDICATOR_PII_CONTEXT)
         return F.filter(hits, lambda h: ~contains_any(h["wide"], config.INDICATOR_PII_WORDS))
 
-    return F.concat(*[_scored(clear(pattern), kind, partial(indicator_confidence, kind))
-                      for kind, pattern in config.INDICATOR_PATTERNS])
+    return F.concat(*gated(text, INDICATOR_GATES, config.INDICATOR_PATTERNS,
+                           lambda kind, pattern: _scored(clear(pattern), kind, partial(indicator_confidence, kind))))
 
 
 def policy_minimum(kind: Column, policy: dict[str, tuple[str, float]] | None = None) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from alertloom import config
 from alertloom.functions.matching import contains_any, exploded, tokens
 from alertloom.functions.vectors import best_rows, partition_search
-from alertloom.session import is_small
+from alertloom.session import is_small, spread
 
 QUERY_BLOCK = 1024
 CORPUS_BLOCK = 50_000
@@ -29,7 +29,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
     query. A larger batch never leaves the executors: both sides are cut into
     blocks and every pair of blocks is one group of bounded size.
     """
-    points = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    points = spread(corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("qvec"))
     kinds = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *asked.schema.fields]}
     shape = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
@@ -80,16 +80,19 @@ def bm25(corpus: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "t
     are always those of the whole corpus. The corpus is reduced to query terms
     inside each task, and term counts are combined there before any shuffle.
     """
-    docs = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("tokens"))
+    docs = spread(corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", tokens(F.col("text")).alias("tokens"))
     # A scalar subquery: one row of corpus statistics without a join.
     stats = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len")).alias("s")).scalar()
     wanted = terms.select("term").distinct()
-    seen = exploded(docs, ["id"], F.array_distinct("tokens"), "term").join(wanted, "term")
+    count = lambda part: (exploded(part, ["id", F.size("tokens").alias("len")], F.col("tokens"), "term").join(wanted, "term")
+                          .groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
+    if only is None:
+        tf = count(docs)
+        seen = tf
+    else:
+        tf = count(docs.join(only.select("id").distinct(), "id"))
+        seen = exploded(docs, ["id"], F.array_distinct("tokens"), "term").join(wanted, "term")
     df = seen.groupBy("term").agg(F.count("*").alias("df"))
-    if only is not None:
-        docs = docs.join(only.select("id").distinct(), "id")
-    tf = (exploded(docs, ["id", F.size("tokens").alias("len")], F.col("tokens"), "term").join(wanted, "term")
-          .groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
     pairs = tf.join(terms.join(df, "term").withColumn("stats", stats), "term")
     if only is not None:
         pairs = pairs.join(only, ["query_id", "id"], "left_semi")

@@ -10,6 +10,7 @@ from alertloom.functions.entities import entities, query_entities
 from alertloom.functions.vectors import hashed_embedding
 from alertloom.operators import joins
 from alertloom.operators.search import hybrid_search, relevance
+from alertloom.session import spread
 
 
 def with_suffixes(value: Column, suffixes: list[str]) -> Column:
@@ -96,7 +97,7 @@ def search_text(logs: DataFrame, embed=None) -> DataFrame:
     if "embedding" in logs.columns:
         return logs.select(F.col("alert_id").alias("id"), F.col("full_log").alias("text"), "embedding")
     embed = embed or hashed_embedding()
-    return logs.select(F.col("alert_id").alias("id"), F.col("full_log").alias("text"), embed("full_log").alias("embedding"))
+    return spread(logs).select(F.col("alert_id").alias("id"), F.col("full_log").alias("text"), embed("full_log").alias("embedding"))
 
 
 def run_searches(corpus: DataFrame, searches: DataFrame, embed=None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from alertloom.functions.entities import entities
 from alertloom.operators import patterns as pt
 from alertloom.operators.patterns import top_per_group
+from alertloom.session import spread
 
 SEVERE = ["high", "critical"]
 
@@ -43,7 +44,7 @@ class ClusterLevel:
 def host_day_rows(alerts: DataFrame) -> DataFrame:
     """Alerts keyed by host and day, the grouping the daily report is built on."""
     day = F.to_date("ts")
-    return alerts.select(
+    return spread(alerts).select(
         F.concat(day.cast("string"), F.lit("/"), "agent_name").alias("cluster_id"), day.alias("day"), "alert_id", "sha256",
         "ts", "rule_id", F.split_part("full_log", F.lit(" for "), F.lit(1)).alias("rule_desc"), "rule_level", "agent_name",
         "location", "full_log", entities(F.col("full_log")).alias("entities"))
