@@ -53,9 +53,8 @@ def context_of(text: Column, hit: Column, width: int) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Keyword tokens: lower case, ``, . :`` to blanks, split on white space."""
-    spaced = F.translate(F.lower(text), ",.:", "   ")
-    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    """Keyword tokens: lower case, split at white space and ``, . :``."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[^\s,.:]+"), F.lit(0))
 
 
 def words(text: Column) -> Column:

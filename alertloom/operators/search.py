@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from alertloom import config
 from alertloom.functions.matching import contains_any, exploded, tokens
 from alertloom.functions.vectors import best_rows, partition_search
-from alertloom.session import is_small, spread
+from alertloom.session import cut_lineage, is_small, spread
 
 QUERY_BLOCK = 1024
 CORPUS_BLOCK = 50_000
+TERM_LIMIT = 20_000
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id",
@@ -81,10 +82,15 @@ def bm25(corpus: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "t
     inside each task, and term counts are combined there before any shuffle.
     """
     docs = spread(corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", tokens(F.col("text")).alias("tokens"))
+    # The length is a column of its own: otherwise every exploded term would carry the whole token array.
+    docs = docs.withColumn("len", F.size("tokens"))
     # A scalar subquery: one row of corpus statistics without a join.
-    stats = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len")).alias("s")).scalar()
+    stats = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")).alias("s")).scalar()
     wanted = terms.select("term").distinct()
-    count = lambda part: (exploded(part, ["id", F.size("tokens").alias("len")], F.col("tokens"), "term").join(wanted, "term")
+    if is_small(wanted, TERM_LIMIT):
+        # Checked: a batch of questions has few terms, so tokens meet them before any shuffle.
+        wanted = F.broadcast(wanted)
+    count = lambda part: (exploded(part, ["id", "len"], F.col("tokens"), "term").join(wanted, "term")
                           .groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
     if only is None:
         tf = count(docs)
@@ -115,6 +121,8 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec
     ask = queries.select("query_id", "k", (F.trim("keywords") != "").alias("keyed"))
     near = vector_search(corpus, queries, widest, "l2", id_col, vec_col).join(ask, "query_id").where(
         F.col("rank") <= F.when(F.col("keyed"), F.col("k") * 2).otherwise(F.col("k")))
+    # Three later steps read the candidates; at most 2k rows per query are kept.
+    near = cut_lineage(near, "near")
     candidates = near.select("query_id", "id")
     words = bm25(corpus, query_terms(queries, F.col("keywords")), id_col, text, only=candidates)
     best = words.groupBy("query_id").agg(F.max("bm25").alias("top"))

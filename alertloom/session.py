@@ -63,11 +63,11 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
 def spread(df: DataFrame) -> DataFrame:
     """Use the whole cluster when a scan yields too few splits.
 
-    One large row group becomes one task however many cores there are. Scans
-    that already give every core a split pass through unchanged, so nothing is
-    shuffled on a data set of normal size.
+    One large row group is one task however many byte ranges the file is cut
+    into. A scan with at least two splits per core passes through unchanged, so
+    nothing is shuffled on a data set of normal size.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
+    if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores)
