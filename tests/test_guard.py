@@ -119,7 +119,7 @@ def feed(spark, folder, batches, schema):
 
 
 def test_stream_limiter_keeps_state_between_batches(spark, tmp_path):
-    rows = [(i, "a", i * 4 * 10**6) for i in range(60)]
+    rows = [(i, "a", 10**12 + i * 4 * 10**6) for i in range(60)]
     schema = "request_id long, ip string, ts_us long"
     stream = feed(spark, tmp_path / "in", [rows[:30], rows[30:]], schema)
     out = jobs.run_to_table(jobs.rate_limit_stream(stream, limit=10, window_s=60, burst=2, burst_s=10, max_violations=10**6), spark, "t")
@@ -128,7 +128,7 @@ def test_stream_limiter_keeps_state_between_batches(spark, tmp_path):
 
 
 def test_stream_limiter_blocks_repeat_offenders(spark, tmp_path):
-    rows = [(i, "a", i * 1000) for i in range(50)]
+    rows = [(i, "a", 10**12 + i * 1000) for i in range(50)]
     stream = feed(spark, tmp_path / "in", [rows], "request_id long, ip string, ts_us long")
     out = jobs.run_to_table(jobs.rate_limit_stream(stream, limit=5, burst=5, max_violations=3), spark, "t")
     verdicts = [r.verdict for r in out.orderBy("request_id").collect()]
