@@ -137,7 +137,8 @@ def test_stream_limiter_blocks_repeat_offenders(spark, tmp_path):
 
 def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
     minute = 60 * 10**6
-    batches = [[(1, 0)], [(2, 60 * minute)], [(3, 1000)], [(4, 120 * minute)]]
+    # the limit for late rows is that of the batch before, hence the batch in between
+    batches = [[(1, 0)], [(2, 60 * minute)], [(3, 61 * minute)], [(4, 1000)], [(5, 120 * minute)], [(6, 121 * minute)]]
     stream = feed(spark, tmp_path / "in", batches, "event_id long, ts_us long")
     out = jobs.run_to_table(jobs.minute_counts(stream), spark, "t")
     starts = {(r.window.start.hour, r.n) for r in out.collect()}
