@@ -122,6 +122,5 @@ def _(t: Tables):
 c AS (SELECT vec_id AS id, label FROM embeddings WHERE vec_id >= (SELECT max(vec_id) - 3 FROM embeddings))
 SELECT id, (SELECT min(id) FROM c) AS label FROM c""")
 def _(t: Tables):
-    top = t.embeddings.agg(F.max("vec_id").alias("top"))
-    last = points(t).join(top, F.col("id") >= F.col("top") - 3).select("id", "vec")
-    return cl.cluster_logs(last)
+    top = t.embeddings.agg(F.max("vec_id")).scalar()
+    return cl.cluster_logs(points(t).where(F.col("id") >= top - 3))

@@ -448,7 +448,7 @@ SELECT CAST(month AS VARCHAR) AS month, CAST(sum(incidents) AS BIGINT) AS incide
        count(*) FILTER (WHERE overall = 'non_compliant') AS violations, count(*) AS days, coalesce(any_value(campaigns), 0) AS campaigns
 FROM (SELECT CAST(date_trunc('month', metrics.day) AS DATE) AS month, * FROM metrics JOIN incidents USING (day) JOIN status USING (day)) j LEFT JOIN r USING (month) GROUP BY 1""", DAILY))
 def _(t: Tables):
-    c = level(t)
+    c = level(t).stored()
     kpis = ro.executive_kpis(ro.daily_metrics(c), ro.daily_incidents(c), ro.compliance(c), ro.campaigns(ro.pattern_trends(c)))
     return kpis.select(text_day("month"), "incidents", "alerts", r6("mean_risk"), "violations", "days", "campaigns")
 
@@ -474,7 +474,7 @@ edges AS (
 
 
 def catalog(t: Tables):
-    return ro.summary_catalog(level(t))
+    return ro.summary_catalog(level(t).stored())
 
 
 @query("f10_query_summaries", chain("""SELECT summary_id, level, summary_text FROM catalog WHERE level = 'cluster' AND period_start >= DATE '2024-01-03'

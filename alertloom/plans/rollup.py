@@ -7,7 +7,7 @@ step; the later steps are small whatever the size of the logs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from alertloom.functions.entities import entities
 from alertloom.operators import patterns as pt
 from alertloom.operators.patterns import top_per_group
-from alertloom.session import spread
+from alertloom.session import cut_lineage, spread
 
 SEVERE = ["high", "critical"]
 
@@ -32,6 +32,16 @@ class ClusterLevel:
     risk: DataFrame
     systems: DataFrame
 
+    def stored(self) -> ClusterLevel:
+        """The same level with its result tables written out.
+
+        Coarser levels then read a few rows per cluster and never return to the
+        logs; a lost executor costs one table.
+        """
+        small = {name: cut_lineage(getattr(self, name), name)
+                 for name in ("base", "patterns", "activity", "common", "risk", "systems")}
+        return replace(self, **small)
+
     @property
     def summaries(self) -> DataFrame:
         return pt.cluster_summaries(self.rows, self.base, self.patterns, self.activity, self.common, self.risk)

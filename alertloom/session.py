@@ -65,9 +65,13 @@ def spread(df: DataFrame) -> DataFrame:
 
     One large row group is one task however many byte ranges the file is cut
     into. A scan with at least two splits per core passes through unchanged, so
-    nothing is shuffled on a data set of normal size.
+    nothing is shuffled on a data set of normal size. A plan with an exchange
+    is left alone: it is partitioned already, and asking an adaptive plan for
+    its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores)
