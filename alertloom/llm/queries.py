@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import decontaminate
-from alertloom.llm import sql
+from alertloom.llm import decontaminate, merkle, sql, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +28,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside benchmark windows."""
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+#: (verdict, host and path) of the url query
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query(sql.URL_FILTER)
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page, by rule or by its aliases."""
+    return url_filter.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels outside the held-out fifth."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the model has not seen the held-out labels."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, training_labels(read(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query(sql.FINGERPRINTS)
+def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return merkle.compare_with_edit(read(spark, sf_dir, "documents"))

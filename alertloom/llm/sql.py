@@ -20,3 +20,65 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS B
        coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN c ON d.k = c.k LEFT JOIN t ON d.k = t.k
 """
+
+
+def _tree(text: str) -> str:
+    return f"""list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+        list_transform(regexp_extract_all(p, '[^.!?]{{1,32}}[.!?]*|[.!?]+'), lambda x: left(sha256(x), 16))))"""
+
+
+def _near(a: str, b: str) -> str:
+    both = f"(len(list_distinct(flatten(flatten({a}))))  + len(list_distinct(flatten(flatten({b})))))"
+    return f"""CASE WHEN {a}_root = {b}_root THEN 1.0::DOUBLE WHEN {both} = 0 THEN 0.0::DOUBLE ELSE
+        2.0::DOUBLE * len(list_intersect(list_distinct(flatten(flatten({a}))), list_distinct(flatten(flatten({b}))))) / {both} END"""
+
+
+_NAMES = ("own", "edit", "next")
+FINGERPRINTS = f"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS own_text, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS follows FROM documents),
+e AS (SELECT doc_id, own_text, coalesce(follows, (SELECT coalesce(text, '') FROM documents ORDER BY doc_id DESC LIMIT 1)) AS next_text FROM o),
+x AS (SELECT *, left(own_text, length(own_text) - length(own_text) // 3) || left(next_text, length(own_text) // 3) AS edit_text FROM e),
+t AS (SELECT *, {', '.join(f"{_tree(f'{n}_text')} AS {n}" for n in _NAMES)} FROM x),
+p AS (SELECT *, {', '.join(f"list_transform({n}, lambda s: list_transform(s, lambda q: sha256(array_to_string(q, ',')))) AS {n}_par" for n in _NAMES)} FROM t),
+r AS (SELECT *, {', '.join(f"sha256(array_to_string(list_transform({n}_par, lambda s: sha256(array_to_string(s, ','))), ',')) AS {n}_root" for n in _NAMES)},
+      flatten(own_par) AS a, flatten(edit_par) AS b FROM p)
+SELECT doc_id, CAST(length(own_text) AS BIGINT) AS n_chars, sha256(edit_text) AS edited_sha256, own_root AS fingerprint,
+       edit_root AS edited_fingerprint, {_near('own', 'edit')} AS near_edited, {_near('own', 'next')} AS near_next,
+       CAST(list_filter(generate_series(1, greatest(len(a), len(b))), lambda i: a[i] IS DISTINCT FROM b[i])[1] - 1 AS BIGINT) AS changed_from
+FROM r
+"""
+
+_HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}')"
+
+
+def _node(rest: str) -> str:
+    bare = f"regexp_replace({rest}, '#.*$', '', 's')"
+    kept = f"""array_to_string(list_filter(string_split(regexp_extract({bare}, '\\?(.*)$', 1, 's'), '&'),
+        lambda q: NOT regexp_matches(q, '^(?:utm_[a-z]+|ref|gclid|fbclid)=') AND q <> ''), '&')"""
+    return f"""(translate(regexp_extract({bare}, '^([^/?]*)([^?]*)', 1), '{_UPPER}', '{_LOWER}') || regexp_extract({bare}, '^([^/?]*)([^?]*)', 2)
+        || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END)"""
+
+
+_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}')" for v, h, p in _RULES)
+URL_FILTER = f"""
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS k, page_id, coalesce(html, '') AS html,
+           CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT k, page_id, html, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_node('rest')} AS node FROM u),
+r(verdict, rule_host, rule_path, rule) AS (VALUES {_RULE_ROWS}),
+m AS (SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+      FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY k),
+l AS (SELECT node AS a, unnest([
+        regexp_extract(regexp_extract(html, '(?i)<link[^>]*rel=["'']?canonical["''][^>]*>'), '(?i)href=["'']([^"'']+)["'']', 1),
+        regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*url=[''"]?([^"''>\\s]+)', 1)]) AS href, host FROM p WHERE host <> ''),
+far AS (SELECT a, CASE WHEN contains(href, '://') THEN string_split(href, '://')[-1] WHEN starts_with(href, '/') THEN host || href END AS rest FROM l),
+e AS (SELECT a, {_node('rest')} AS b FROM far WHERE rest IS NOT NULL
+      UNION SELECT node, regexp_replace(regexp_replace(node, '^(?:www|m)\\.', ''), '(?:/index)?\\.html?($|\\?)', '\\1') FROM p WHERE host <> ''),
+both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach(node, other) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+roots AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+j AS (SELECT p.page_id, p.host, p.path, m.rule, m.verdict, roots.component FROM p LEFT JOIN m USING (k) LEFT JOIN roots ON p.node = roots.node AND p.host <> ''),
+c AS (SELECT component, bool_or(verdict = 'allow') AS allowed FROM j WHERE component IS NOT NULL AND verdict IS NOT NULL GROUP BY component)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, j.component
+FROM j LEFT JOIN c ON j.component = c.component
+"""
