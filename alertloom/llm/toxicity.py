@@ -32,7 +32,7 @@ from alertloom.session import cut_lineage
 MAX_ROWS = 20_000
 N_FEATURES = 4096
 MIN_SUPPORT = 5
-L2 = 1e-3
+L2 = 1e-4
 COUNTERFACTUAL = 1.0
 _STARTS = (4, 5, 6)
 # fixed values: terms of one group may be swapped for each other
