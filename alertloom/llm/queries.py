@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import decontaminate, merkle, sql, toxicity, url_filter
+from alertloom.llm import decontaminate, merkle, sanitise, secret_grammar, sql, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return merkle.compare_with_edit(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by pattern and by learnt format."""
+    return secret_grammar.digest(secret_grammar.find_secrets(read(spark, sf_dir, "documents")))
+
+
+@query()
+def op7_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the corpus terms that disclose it."""
+    docs = read(spark, sf_dir, "documents")
+    return sanitise.digest(sanitise.find(docs, sanitise.disclosing_terms(docs)))
