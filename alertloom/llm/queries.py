@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import decontaminate, merkle, sanitise, secret_grammar, sql, toxicity, url_filter
+from alertloom.llm import decontaminate, merkle, neardup, sanitise, secret_grammar, sql, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op7_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, and the corpus terms that disclose it."""
     docs = read(spark, sf_dir, "documents")
     return sanitise.digest(sanitise.find(docs, sanitise.disclosing_terms(docs)))
+
+
+@query()
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
