@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import decontaminate, merkle, neardup, sanitise, secret_grammar, sql, toxicity, url_filter
+from alertloom.llm import decontaminate, merge_dropout, merkle, neardup, relative_lz, sanitise, secret_grammar, sql, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,15 @@ def op7_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window of 20 words with an earlier copy covers."""
+    return relative_lz.removals(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under merge-dropout, checked by decoding them."""
+    return merge_dropout.encode(read(spark, sf_dir, "documents"))
