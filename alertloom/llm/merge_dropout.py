@@ -236,6 +236,15 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants
                            f"doc_id {kind}, ids array<int>, n_ids bigint, lossless boolean")
 
 
+def with_ids(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text",
+             model_file: str = MODEL) -> DataFrame:
+    """``docs`` with ``ids, n_ids, lossless``; columns of these names are replaced."""
+    keep = [c for c in docs.columns if c not in ("ids", "n_ids", "lossless")]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return (docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(doc_id)).alias("_doc"))
+            .mapInArrow(_encode_rows(keep, text, (model_file, dropout, seed, variants)), f"{kinds}, ids array<int>, n_ids bigint, lossless boolean"))
+
+
 def _decode_rows(model_file: str):
     def run(batches):
         coder = _encoder(model_file, 0.0, 0, 1)

@@ -231,3 +231,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     return (sketch.select("doc_id").join(classes, "doc_id", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
                     F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+
+
+def keep_first(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of every class, the one of smallest id; all columns pass through.
+
+    Rows that repeat the id and the text of another row go. The ids of the rows
+    to drop are broadcast while they are few, so that texts are not shuffled.
+    """
+    classes = near_duplicates(docs, k, threshold, doc_id, text)
+    gone = cut_lineage(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = F.broadcast(gone) if is_small(gone, MAX_IDS) else gone
+    left = docs.join(few, F.col(f"`{doc_id}`").cast("bigint") == F.col("_gone"), "left_anti")
+    again = left.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_again"))
+    again = cut_lineage(again, "again")
+    if again.isEmpty():
+        return left
+    repeats = left.join(again, F.col(f"`{doc_id}`") == F.col("_again"), "left_semi").dropDuplicates([doc_id, text])
+    return left.join(again, F.col(f"`{doc_id}`") == F.col("_again"), "left_anti").unionByName(repeats)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import decontaminate, merge_dropout, merkle, neardup, relative_lz, sanitise, secret_grammar, sql, toxicity, url_filter
+from alertloom.llm import decontaminate, merge_dropout, merkle, neardup, relative_lz, sanitise, secret_grammar, sql, tool_calls, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.FINGERPRINTS)
 def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
-    return merkle.compare_with_edit(read(spark, sf_dir, "documents"))
+    return merkle.compare_with_edit(read(spark, sf_dir, "documents")).withColumn("changed_from", F.coalesce("changed_from", F.lit(-1)))
 
 
 @query()
@@ -90,3 +90,33 @@ def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under merge-dropout, checked by decoding them."""
     return merge_dropout.encode(read(spark, sf_dir, "documents"))
+
+
+TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False), "after": ("string", False)},
+         "note": {"query": ("string", True), "limit": ("number", True), "after": ("string", False)}}
+
+
+def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tool calls and results made of conversations: an assistant's turn is a call, a user's turn answers the turn before it.
+
+    Lengths of texts decide the tool, what is wrong with the arguments, and
+    whether a call refers to the call before or after it.
+    """
+    n = F.coalesce(F.length("text"), F.lit(0))
+    after = F.when(n % 7 == 0, F.concat(F.lit("$c"), F.col("turn") + 2)).when((n % 5 < 2) & (F.col("turn") > 1), F.concat(F.lit("$c"), F.col("turn") - 2))
+    limit = F.when(n % 13 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string"))
+    query_text = F.to_json(F.struct(F.col("text").alias("query"), after.alias("after"), F.when(n % 17 == 0, F.lit(1)).alias("extra")))
+    arguments = F.when(n % 19 == 0, F.lit("[]")).otherwise(F.concat(F.lit('{"limit":'), limit, F.when(query_text != "{}", F.lit(",")).otherwise(F.lit("")), F.substring(query_text, 2, 1 << 30)))
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", F.concat(F.lit("c"), "turn").alias("call_id"),
+        F.when(n % 11 == 0, F.lit("draw")).when(n % 3 == 0, F.lit("note")).otherwise(F.lit("search")).alias("name"), arguments.alias("arguments"))
+    results = turns.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query(sql.TOOL_CALLS)
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of every conversation linked to their results, ordered, validated and serialised."""
+    linked = tool_calls.link(*derived_calls(read(spark, sf_dir, "conversations")), TOOLS)
+    return (linked.withColumn("problems", F.array_join("problems", ",")).withColumn("position", F.coalesce("position", F.lit(-1)))
+            .withColumn("hop", F.coalesce("hop", F.lit(-1)).cast("bigint")))  # -1: no place

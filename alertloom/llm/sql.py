@@ -44,7 +44,7 @@ r AS (SELECT *, {', '.join(f"sha256(array_to_string(list_transform({n}_par, lamb
       flatten(own_par) AS a, flatten(edit_par) AS b FROM p)
 SELECT doc_id, CAST(length(own_text) AS BIGINT) AS n_chars, sha256(edit_text) AS edited_sha256, own_root AS fingerprint,
        edit_root AS edited_fingerprint, {_near('own', 'edit')} AS near_edited, {_near('own', 'next')} AS near_next,
-       CAST(list_filter(generate_series(1, greatest(len(a), len(b))), lambda i: a[i] IS DISTINCT FROM b[i])[1] - 1 AS BIGINT) AS changed_from
+       CAST(coalesce(list_filter(generate_series(1, greatest(len(a), len(b))), lambda i: a[i] IS DISTINCT FROM b[i])[1] - 1, -1) AS BIGINT) AS changed_from
 FROM r
 """
 
@@ -82,3 +82,42 @@ c AS (SELECT component, bool_or(verdict = 'allow') AS allowed FROM j WHERE compo
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, j.component
 FROM j LEFT JOIN c ON j.component = c.component
 """
+
+
+_JSON = "CAST(to_json({}) AS VARCHAR)".format
+TOOL_CALLS = f"""
+WITH RECURSIVE t AS (SELECT *, coalesce(length(text), 0) AS n FROM conversations),
+c AS (SELECT conv_id, turn, n, text, 'c' || turn AS call_id,
+        CASE WHEN n % 11 = 0 THEN 'draw' WHEN n % 3 = 0 THEN 'note' ELSE 'search' END AS name, n % 19 = 0 AS broken,
+        CASE WHEN n % 7 = 0 THEN 'c' || (turn + 2) WHEN n % 5 < 2 AND turn > 1 THEN 'c' || (turn - 2) END AS needs FROM t WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn, 'c' || (turn - 1) AS call_id, text AS content FROM t WHERE role = 'user'),
+e AS (SELECT c.conv_id, c.call_id, c.turn, k.call_id AS needs, k.turn AS at FROM c JOIN c AS k ON c.conv_id = k.conv_id AND c.needs = k.call_id WHERE NOT c.broken),
+above(conv_id, call_id, top) AS (SELECT conv_id, call_id, needs FROM e
+        UNION SELECT above.conv_id, above.call_id, e.needs FROM above JOIN e ON above.conv_id = e.conv_id AND above.top = e.call_id),
+loops AS (SELECT conv_id, call_id FROM above WHERE call_id = top),
+stuck AS (SELECT conv_id, call_id FROM loops UNION SELECT a.conv_id, a.call_id FROM above a JOIN loops l ON a.conv_id = l.conv_id AND a.top = l.call_id),
+value(conv_id, call_id, position, hop) AS (SELECT conv_id, call_id, turn, 0 FROM c ANTI JOIN stuck USING (conv_id, call_id)
+        UNION SELECT e.conv_id, e.call_id, greatest(v.position, e.turn), CASE WHEN v.position >= e.turn THEN v.hop + 1 ELSE 0 END
+        FROM value v JOIN e ON v.conv_id = e.conv_id AND v.call_id = e.needs ANTI JOIN stuck s ON e.conv_id = s.conv_id AND e.call_id = s.call_id),
+best AS (SELECT conv_id, call_id, max({{'p': position, 'h': hop}}) AS b FROM value GROUP BY ALL),
+j AS (SELECT c.*, b.b.p AS position, b.b.h AS hop, s.call_id IS NOT NULL AS cyclic, r.call_id IS NOT NULL AS answered, r.content,
+        c.needs IS NOT NULL AND NOT c.broken AND k.call_id IS NULL AS lost
+      FROM c LEFT JOIN best b ON c.conv_id = b.conv_id AND c.call_id = b.call_id LEFT JOIN stuck s ON c.conv_id = s.conv_id AND c.call_id = s.call_id
+      LEFT JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id LEFT JOIN c AS k ON c.conv_id = k.conv_id AND c.needs = k.call_id)
+SELECT conv_id, call_id, turn, name, CAST(coalesce(position, -1) AS BIGINT) AS position, CAST(coalesce(hop, -1) AS BIGINT) AS hop,
+       array_to_string(list_filter([
+           CASE WHEN broken THEN 'arguments' WHEN name = 'draw' THEN 'tool' END,
+           CASE WHEN NOT broken AND name <> 'draw' AND text IS NULL THEN 'missing:query' END,
+           CASE WHEN NOT broken AND name <> 'draw' AND n % 17 = 0 THEN 'surplus:extra' END,
+           CASE WHEN NOT broken AND name <> 'draw' AND n % 13 = 0 THEN 'type:limit' END,
+           CASE WHEN lost THEN 'reference:' || needs END, CASE WHEN cyclic THEN 'cycle' END, CASE WHEN NOT answered THEN 'no result' END],
+           lambda x: x IS NOT NULL), ',') AS problems,
+       '{{"arguments":{{' || CASE WHEN broken THEN '' ELSE coalesce('"after":"$' || needs || '",', '') || CASE WHEN n % 17 = 0 THEN '"extra":1,' ELSE '' END
+           || '"limit":' || CASE WHEN n % 13 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || coalesce(',"query":' || {_JSON('text')}, '') END
+           || '}},"id":' || {_JSON('call_id')} || ',"name":"' || name || '","result":' || coalesce({_JSON('content')}, 'null') || '}}' AS line
+FROM j
+UNION ALL
+SELECT r.conv_id, r.call_id, r.turn, NULL, -1, -1, 'no call',
+       '{{"arguments":{{}},"id":' || {_JSON('r.call_id')} || ',"name":null,"result":' || coalesce({_JSON('content')}, 'null') || '}}'
+FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+"""
