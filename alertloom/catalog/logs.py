@@ -450,8 +450,7 @@ f AS (SELECT c.*, i.ts FROM c JOIN issues i ON replace(c.title, ' (late)', '') =
 
 @query("i04_merge_issues", with_issues(MERGED + """
 SELECT issue_id, title, category, epoch_us(ts) AS ts_us FROM (
-  SELECT issue_id, title, category, ts FROM f UNION ALL SELECT issue_id, title, category, ts FROM existing) u
-ORDER BY ts DESC, issue_id LIMIT 1000"""))
+  SELECT issue_id, title, category, ts FROM f UNION ALL SELECT issue_id, title, category, ts FROM existing) u"""))
 def _(t: Tables):
     found = iss.detect_from_alerts(t.alerts)
     existing = found.where("category = 'operational'")

@@ -31,10 +31,10 @@ rule_rank AS (
 patterns AS (
   SELECT cluster_id, r.day, 'rule_pattern' AS pattern_type, 'Multiple occurrences of: ' || rule AS description,
          least(0.9e0, c / n) AS confidence, {SEVERITY.format('max_level')} AS severity, c AS occurrences, rk AS ord
-  FROM rule_rank r JOIN base USING (cluster_id) WHERE rk <= 5 AND c >= 2
+  FROM rule_rank r JOIN base USING (cluster_id) WHERE c >= 2
   UNION ALL
   SELECT cluster_id, day, 'brute_force', 'Potential brute force attack: ' || failures || ' authentication failures, ' || logins || ' login attempts',
-         least(0.9e0, (failures + logins) / 20), CASE WHEN failures >= 10 THEN 'high' ELSE 'medium' END, failures + logins, 6
+         least(0.9e0, (failures + logins) / 20), CASE WHEN failures >= 10 THEN 'high' ELSE 'medium' END, failures + logins, 1000000000
   FROM base WHERE failures >= 5 OR (logins >= 10 AND failures >= 3)),
 mentions AS (
   SELECT cluster_id, day, sha256, ts, rule_id, low, unnest([src_user, src_ip]) AS entity FROM rows_),
@@ -51,8 +51,7 @@ activity AS (
     FROM (SELECT cluster_id, day, entity, count(*) AS events, count(DISTINCT rule_id) AS rules, min(ts) AS first_seen, max(ts) AS last_seen,
                  bool_or(contains(low, 'login')) AS l, bool_or(contains(low, 'file')) AS f,
                  bool_or(contains(low, 'network') OR contains(low, 'connection')) AS net
-          FROM mentions GROUP BY 1, 2, 3) g WHERE events >= 2) s
-  QUALIFY rk <= 10),
+          FROM mentions GROUP BY 1, 2, 3) g WHERE events >= 2) s),
 worst AS (
   SELECT cluster_id, max(CASE severity WHEN 'critical' THEN 1e0 WHEN 'high' THEN 0.8e0 WHEN 'medium' THEN 0.6e0 ELSE 0.3e0 END) AS worst,
          count(*) AS n_patterns FROM patterns GROUP BY 1),
@@ -62,9 +61,7 @@ risk AS (
            CASE WHEN worst IS NULL THEN (size + risk_score) / 2 ELSE (worst + (size + risk_score)) / 3 END AS risk_mean
     FROM (SELECT *, CASE WHEN n > 30 THEN 0.8e0 WHEN n > 10 THEN 0.6e0 ELSE 0.3e0 END AS size FROM base) b LEFT JOIN worst USING (cluster_id)) m),
 systems AS (
-  SELECT * FROM (SELECT DISTINCT * FROM (
-    SELECT cluster_id, day, unnest([agent_name, split_part(location, '->', 1)]) AS system FROM rows_) s0) s1
-  QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY system) <= 10)"""
+  SELECT DISTINCT * FROM (SELECT cluster_id, day, unnest([agent_name, split_part(location, '->', 1)]) AS system FROM rows_) s0)"""
 
 SUMMARY = """,
 top_common AS (SELECT cluster_id, string_agg(value, ', ' ORDER BY value) AS shared FROM (
@@ -99,7 +96,7 @@ trends AS (
          CASE WHEN n > 3 THEN 'increasing' ELSE 'stable' END AS direction, least(1e0, n / 10) AS confidence,
          CASE WHEN n > 5 THEN 'high' ELSE 'medium' END AS significance FROM (
     SELECT day, pattern_type, count(*) AS n, row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, pattern_type) AS rk
-    FROM patterns GROUP BY 1, 2) t WHERE rk <= 5 AND n >= 2),
+    FROM patterns GROUP BY 1, 2) t WHERE n >= 2),
 metrics AS (
   SELECT c.day, clusters, logs, coalesce(entities, 0) AS entities, mean_risk, max_risk, coalesce(patterns, 0) AS patterns,
          coalesce(critical_patterns, 0) AS critical_patterns, coalesce(trends, 0) AS trends, coalesce(increasing, 0) AS increasing, 0 AS decreasing
@@ -119,16 +116,14 @@ day_behaviors AS (SELECT day, entity, string_agg(DISTINCT b, ',' ORDER BY b) AS
 day_entities AS (
   SELECT day, entity, entity_type, activity, events, risk, first_seen, last_seen, coalesce(behaviors, '') AS behaviors, rules FROM (
     SELECT day, entity, entity_type, sum(activity) AS activity, CAST(sum(events) AS BIGINT) AS events, avg(risk) AS risk,
-           min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM activity GROUP BY 1, 2, 3
-    QUALIFY row_number() OVER (PARTITION BY day ORDER BY sum(activity) DESC, entity) <= 20) s
+           min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM activity GROUP BY 1, 2, 3) s
   LEFT JOIN day_behaviors USING (day, entity) JOIN day_rules USING (day, entity)),
 week_entities AS (
   SELECT *, concat_ws(',', CASE WHEN variance > activity * 0.5e0 THEN 'irregular_activity_pattern' END,
       CASE WHEN days = 1 THEN 'single_day_activity' WHEN days >= 6 THEN 'persistent_activity' END) AS flags FROM (
-    SELECT *, least(1e0, round(variance + days / 7, 9)) AS risk FROM (
+    SELECT *, least(1e0, variance + days / 7) AS risk FROM (
       SELECT CAST(date_trunc('week', day) AS DATE) AS week, entity, entity_type, avg(activity) AS activity, var_pop(activity) AS variance,
-             count(*) AS days, CAST(sum(events) AS BIGINT) AS events FROM day_entities GROUP BY 1, 2, 3) a) b
-  QUALIFY row_number() OVER (PARTITION BY week ORDER BY risk DESC, entity) <= 15),
+             count(*) AS days, CAST(sum(events) AS BIGINT) AS events FROM day_entities GROUP BY 1, 2, 3) a) b),
 campaigns AS (
   SELECT *, 'Sustained ' || trend_name AS campaign FROM (
     SELECT CAST(date_trunc('week', day) AS DATE) AS week, trend_name, min(day) AS start_day, max(day) AS end_day, count(DISTINCT day) AS days,
@@ -221,9 +216,9 @@ def _(t: Tables):
         r6("risk"), us("first_seen"), us("last_seen"), big("rk"))
 
 
-@query("t05_entity_order", chain("SELECT cluster_id, entity, rk FROM activity"))
+@query("t05_entity_order", chain("SELECT cluster_id, entity, rk FROM activity WHERE rk <= 10"))
 def _(t: Tables):
-    return pt.entity_activity(ro.host_day_rows(t.alerts)).orderBy("cluster_id", "rk").select("cluster_id", "entity", big("rk"))
+    return pt.entity_activity(ro.host_day_rows(t.alerts), top=10).orderBy("cluster_id", "rk").select("cluster_id", "entity", big("rk"))
 
 
 @query("a12_cluster_anomalies", chain("""SELECT cluster_id, concat_ws('|',
@@ -310,10 +305,10 @@ def _(t: Tables):
 @query("a21_daily_findings", chain(f"""
 f AS (
   SELECT day, row_number() OVER (PARTITION BY day ORDER BY cluster_id) AS pos, 'High-risk security cluster: ' || substr(summary_text, 1, 100) || '...' AS finding
-  FROM summaries WHERE risk IN ('high', 'critical') QUALIFY row_number() OVER (PARTITION BY day ORDER BY cluster_id) <= 3
-  UNION ALL SELECT day, rk + 10, 'Significant trend detected: ' || trend_name || ' - ' || direction FROM trends WHERE rk <= 3 AND significance = 'high'
-  UNION ALL SELECT day, rk + 20, 'Multiple ' || pattern_type || ' patterns detected (' || n || ' occurrences)' FROM trends WHERE rk <= 3)
-SELECT {DAY}, row_number() OVER (PARTITION BY day ORDER BY pos) AS rk, finding FROM f QUALIFY row_number() OVER (PARTITION BY day ORDER BY pos) <= 5""",
+  FROM summaries WHERE risk IN ('high', 'critical')
+  UNION ALL SELECT day, rk + 1000000000, 'Significant trend detected: ' || trend_name || ' - ' || direction FROM trends WHERE significance = 'high'
+  UNION ALL SELECT day, rk + 2000000000, 'Multiple ' || pattern_type || ' patterns detected (' || n || ' occurrences)' FROM trends)
+SELECT {DAY}, row_number() OVER (PARTITION BY day ORDER BY pos) AS rk, finding FROM f""",
     SUMMARY, DAILY))
 def _(t: Tables):
     return ro.daily_findings(level(t)).select(text_day(), big("rk"), "finding")
@@ -349,7 +344,7 @@ b AS (SELECT CAST(date_trunc('week', day) AS DATE) AS week, * FROM (
   SELECT day, 0 AS kind, 'High incident volume: ' || incidents || ' incidents' AS description, CASE WHEN incidents >= 10 THEN 'high' ELSE 'medium' END AS severity
   FROM incidents WHERE incidents >= 5
   UNION ALL SELECT day, rk, 'Critical security trend: ' || trend_name, 'critical' FROM trends WHERE significance = 'high') x)
-SELECT {WEEK}, {DAY}, description, severity FROM b QUALIFY row_number() OVER (PARTITION BY week ORDER BY b.day, kind) <= 10""", DAILY))
+SELECT {WEEK}, {DAY}, description, severity FROM b""", DAILY))
 def _(t: Tables):
     c = level(t)
     return ro.major_incidents(ro.daily_incidents(c), ro.pattern_trends(c)).select(text_day("week"), text_day(), "description", "severity")
@@ -373,7 +368,7 @@ def _(t: Tables):
 
 
 @query("a27_campaigns", chain(f"""SELECT {WEEK}, campaign, CAST(start_day AS VARCHAR) AS start, CAST(end_day AS VARCHAR) AS stop, days, magnitude,
-  round(confidence, 6) AS confidence, evolution FROM campaigns QUALIFY row_number() OVER (PARTITION BY week ORDER BY campaign) <= 5""", DAILY))
+  round(confidence, 6) AS confidence, evolution FROM campaigns""", DAILY))
 def _(t: Tables):
     return ro.campaigns(ro.pattern_trends(level(t))).select(
         text_day("week"), "campaign", text_day("start"), F.col("end").cast("string").alias("stop"), "days", "magnitude", r6("confidence"), "evolution")
@@ -386,8 +381,7 @@ we AS (SELECT CAST(date_trunc('week', day) AS DATE) AS week, agent_name AS entit
 s AS (SELECT CAST(date_trunc('month', week) AS DATE) AS month, entity, activity, row_number() OVER (PARTITION BY date_trunc('month', week), entity ORDER BY week) - 1 AS i FROM we),
 g AS (SELECT month, entity, count(*) AS points, regr_slope(activity, i) AS slope, max(activity) - min(activity) AS magnitude FROM s GROUP BY 1, 2 HAVING count(*) > 1),
 d AS (SELECT *, CASE WHEN abs(slope) < 0.1 THEN 'stable' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM g)
-SELECT CAST(month AS VARCHAR) AS month, entity, direction, round(magnitude, 6) AS magnitude FROM d WHERE direction <> 'stable'
-QUALIFY row_number() OVER (PARTITION BY month ORDER BY entity) <= 10"""))
+SELECT CAST(month AS VARCHAR) AS month, entity, direction, round(magnitude, 6) AS magnitude FROM d WHERE direction <> 'stable'"""))
 def _(t: Tables):
     weekly = t.alerts.groupBy(F.date_trunc("week", "ts").cast("date").alias("week"), F.col("agent_name").alias("entity")).agg(
         (F.count("*") / 7).alias("activity"))
@@ -442,8 +436,7 @@ def _(t: Tables):
 
 
 @query("a45_executive_kpis", chain("""
-r AS (SELECT CAST(date_trunc('month', week) AS DATE) AS month, count(*) AS campaigns FROM (
-  SELECT * FROM campaigns QUALIFY row_number() OVER (PARTITION BY week ORDER BY campaign) <= 5) c GROUP BY 1)
+r AS (SELECT CAST(date_trunc('month', week) AS DATE) AS month, count(*) AS campaigns FROM campaigns GROUP BY 1)
 SELECT CAST(month AS VARCHAR) AS month, CAST(sum(incidents) AS BIGINT) AS incidents, CAST(sum(alert_volume) AS BIGINT) AS alerts, round(avg(mean_risk), 6) AS mean_risk,
        count(*) FILTER (WHERE overall = 'non_compliant') AS violations, count(*) AS days, coalesce(any_value(campaigns), 0) AS campaigns
 FROM (SELECT CAST(date_trunc('month', metrics.day) AS DATE) AS month, * FROM metrics JOIN incidents USING (day) JOIN status USING (day)) j LEFT JOIN r USING (month) GROUP BY 1""", DAILY))
@@ -506,13 +499,13 @@ def _(t: Tables):
 
 @query("a42_combine_summaries", chain("""
 i AS (SELECT day, unnest(string_split(insights, ' | ')) AS insight, n FROM summaries WHERE insights <> ''),
-d AS (SELECT DISTINCT day, insight FROM i QUALIFY dense_rank() OVER (PARTITION BY day ORDER BY insight) <= 5),
+d AS (SELECT DISTINCT day, insight FROM i),
 t AS (SELECT day, CAST(sum(n) AS BIGINT) AS items, count(*) AS clusters FROM summaries GROUP BY 1)
 SELECT CAST(t.day AS VARCHAR) AS day, items, clusters, string_agg(insight, ' | ' ORDER BY insight) AS insights FROM t LEFT JOIN d USING (day) GROUP BY 1, 2, 3""", SUMMARY))
 def _(t: Tables):
     s = level(t).summaries
     one = s.where("insights <> ''").select("day", F.explode(F.split("insights", r" \| ")).alias("insight")).distinct()
-    top = pt.joined_list(pt.top_per_group(one, ["day"], [F.col("insight")], 5), ["day"], "rk", F.col("insight"), "insights", " | ")
+    top = pt.joined_list(pt.top_per_group(one, ["day"], [F.col("insight")], None), ["day"], "rk", F.col("insight"), "insights", " | ")
     totals = s.groupBy("day").agg(F.sum("n").alias("items"), F.count("*").alias("clusters"))
     return totals.join(top, "day", "left").select(text_day(), "items", "clusters", "insights")
 

@@ -16,6 +16,9 @@ from alertloom.plans import rollup as ro
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
 r6 = lambda c: F.round(c, 6).alias(c)
+#: Scores of short logs are often equal in mathematics but not in the last bits of two engines:
+#: these queries rank on rounded scores, so that both sides rank alike.
+DIGITS = 6
 
 
 def lit(text: str) -> str:
@@ -72,18 +75,18 @@ def _(t: Tables):
 
 @query("v06_vector_search_l2", f"""WITH {CENTROIDS}
 SELECT q.label AS query_id, vec_id AS id, round(1 / (1 + list_distance(CAST(embedding AS DOUBLE[]), v) ** 2), 6) AS score,
-       CAST(row_number() OVER (PARTITION BY q.label ORDER BY round(1 / (1 + list_distance(CAST(embedding AS DOUBLE[]), v) ** 2), 6) DESC, vec_id) AS INTEGER) AS rank
+       CAST(row_number() OVER (PARTITION BY q.label ORDER BY 1 / (1 + list_distance(CAST(embedding AS DOUBLE[]), v) ** 2) DESC, vec_id) AS INTEGER) AS rank
 FROM embeddings, q QUALIFY rank <= 20""")
 def _(t: Tables):
-    return se.vector_search(t.embeddings, label_queries(t), 20, "l2", "vec_id")
+    return se.vector_search(t.embeddings, label_queries(t), 20, "l2", "vec_id").withColumn("score", r6("score"))
 
 
 @query("v07_vector_search_cosine", f"""WITH {CENTROIDS},
-s AS (SELECT q.label AS query_id, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, q),
+s AS (SELECT q.label AS query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score FROM embeddings, q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
-SELECT * FROM r WHERE rank <= 50 AND score >= 0.3""")
+SELECT * REPLACE (round(score, 6) AS score) FROM r WHERE rank <= 50 AND score >= 0.3""")
 def _(t: Tables):
-    return se.vector_search(t.embeddings, label_queries(t), 50, "cosine", "vec_id").where("score >= 0.3")
+    return se.vector_search(t.embeddings, label_queries(t), 50, "cosine", "vec_id").where("score >= 0.3").withColumn("score", r6("score"))
 
 
 # --- keywords -----------------------------------------------------------------------
@@ -106,7 +109,7 @@ bm AS (SELECT query_id, id, round(sum(weight * ln(1 + (n_docs - df + 0.5e0) / (d
 
 def question_scores(t: Tables):
     asked = t.spark.createDataFrame(QUESTIONS, "query_id string, keywords string")
-    return se.bm25(t.documents, se.query_terms(asked, F.col("keywords")), "doc_id", "text")
+    return se.bm25(t.documents, se.query_terms(asked, F.col("keywords")), "doc_id", "text", digits=DIGITS)
 
 
 @query("v08_bm25", f"WITH {BM25} SELECT query_id, id, bm25 FROM bm")
@@ -137,23 +140,23 @@ KEYWORD_CASE = "[" + ", ".join(lit(k) for k in KEYWORDS) + "]"
 @query("v09_hybrid_search", f"""WITH {CENTROIDS},
 c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, text FROM embeddings JOIN documents ON vec_id = doc_id),
 asks AS (SELECT label AS search_id, v, {KEYWORD_CASE}[label % 10 + 1] AS keywords, 10 + label AS k FROM q),
-near AS (SELECT search_id, id, k, keywords <> '' AS keyed, round(1 / (1 + list_distance(e, v) ** 2), 6) AS score FROM c, asks
-  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY round(1 / (1 + list_distance(e, v) ** 2), 6) DESC, id) <= CASE WHEN keywords <> '' THEN 2 * k ELSE k END),
+near AS (SELECT search_id, id, k, keywords <> '' AS keyed, 1 / (1 + list_distance(e, v) ** 2) AS score FROM c, asks
+  QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY 1 / (1 + list_distance(e, v) ** 2) DESC, id) <= CASE WHEN keywords <> '' THEN 2 * k ELSE k END),
 tok AS (SELECT id, unnest({toks('text')}) AS term FROM c),
-bm AS (SELECT search_id, id, round(sum(weight * ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / mean_len))), 6) AS bm25
+bm AS (SELECT search_id, id, sum(weight * ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / mean_len))) AS bm25
   FROM near JOIN (SELECT search_id, term, count(*) AS weight FROM (SELECT search_id, unnest({toks('keywords')}) AS term FROM asks) k GROUP BY 1, 2) q USING (search_id)
   JOIN (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1, 2) f USING (id, term) JOIN (SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY 1) g USING (term)
   JOIN (SELECT id, len({toks('text')}) AS len FROM c) l USING (id), (SELECT count(*) AS n_docs, avg(len({toks('text')})) AS mean_len FROM c) s GROUP BY 1, 2),
 mixed AS (SELECT n.*, coalesce(CASE WHEN max(bm25) OVER (PARTITION BY search_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY search_id) END, 0e0) AS bm25_score
   FROM near n LEFT JOIN bm USING (search_id, id)),
-scored AS (SELECT *, CASE WHEN keyed THEN round(0.6e0 * score + 0.4e0 * bm25_score, 6) ELSE score END AS hybrid_score FROM mixed)
-SELECT search_id AS query_id, id, score AS semantic_score, round(bm25_score, 6) AS bm25_score, hybrid_score,
-       CAST(row_number() OVER (PARTITION BY search_id ORDER BY hybrid_score DESC, id) AS INTEGER) AS rank FROM scored QUALIFY rank <= k""")
+scored AS (SELECT *, CASE WHEN keyed THEN 0.6e0 * score + 0.4e0 * bm25_score ELSE score END AS hybrid_score FROM mixed)
+SELECT search_id AS query_id, id, round(score, 6) AS semantic_score, round(bm25_score, 6) AS bm25_score, round(hybrid_score, 6) AS hybrid_score,
+       CAST(row_number() OVER (PARTITION BY search_id ORDER BY scored.hybrid_score DESC, id) AS INTEGER) AS rank FROM scored QUALIFY rank <= k""")
 def _(t: Tables):
     corpus = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").withColumnRenamed("vec_id", "id")
     words = F.array(*[F.lit(k) for k in KEYWORDS])
     asked = label_queries(t).withColumn("keywords", words[F.col("query_id") % 10]).withColumn("k", F.col("query_id") + 10)
-    return se.hybrid_search(corpus, asked).withColumn("bm25_score", F.round("bm25_score", 6))
+    return se.hybrid_search(corpus, asked).select("query_id", "id", r6("semantic_score"), r6("bm25_score"), r6("hybrid_score"), "rank")
 
 
 # --- query planning ---------------------------------------------------------------------
@@ -270,19 +273,19 @@ def worst_users(alerts):
 @query("u01_union_strategies", with_alerts(SEARCH + "SELECT query_id, alert_id, strategy_index, rank FROM hits"))
 def _(t: Tables):
     alerts = t.alerts
-    return rt.strategy_hits(alerts, worst_users(alerts)).select("query_id", "alert_id", "strategy_index", big("rank"))
+    return rt.strategy_hits(alerts, worst_users(alerts), digits=DIGITS).select("query_id", "alert_id", "strategy_index", big("rank"))
 
 
 @query("w02_first_strategy_wins", with_alerts(SEARCH + "SELECT query_id, alert_id, strategy_index, strategy, rank FROM wins"))
 def _(t: Tables):
     alerts = t.alerts
-    first = joins.first_strategy_wins(rt.strategy_hits(alerts, worst_users(alerts)))
+    first = joins.first_strategy_wins(rt.strategy_hits(alerts, worst_users(alerts), digits=DIGITS))
     return first.select("query_id", "alert_id", "strategy_index", "strategy", big("rank"))
 
 
 def searched(t: Tables):
     alerts = t.alerts
-    return rt.comprehensive_search(alerts, worst_users(alerts))
+    return rt.comprehensive_search(alerts, worst_users(alerts), digits=DIGITS).withColumn("relevance", r6("relevance"))
 
 
 @query("v13_comprehensive_search", with_alerts(SEARCH + """SELECT query_id, alert_id, strategy, priority, coalesce(entity, '') AS entity,
@@ -307,7 +310,7 @@ def _(t: Tables):
 @query("t02_hybrid_order", with_alerts(SEARCH + """SELECT search_id, id, hybrid_score, rank FROM hybrid"""))
 def _(t: Tables):
     alerts = t.alerts
-    hits = rt.strategy_hits(alerts, worst_users(alerts))
+    hits = rt.strategy_hits(alerts, worst_users(alerts), digits=DIGITS)
     return hits.select(F.concat("query_id", F.lit("#"), "strategy_index").alias("search_id"), F.col("alert_id").alias("id"),
                        "hybrid_score", big("rank")).orderBy("search_id", "rank")
 
@@ -349,7 +352,7 @@ def _(t: Tables):
     worst = (alerts.where("outcome = 'FAILURE'").groupBy("agent_name").agg(F.count("*").alias("n"))
              .orderBy(F.col("n").desc(), "agent_name").limit(2))
     wanted = worst.select(F.col("agent_name").alias("entity"), F.lit("COMPUTER").alias("entity_type"))
-    return rt.entity_search(alerts, wanted).select(F.col("query_id").alias("entity"), "alert_id", "hybrid_score", "place")
+    return rt.entity_search(alerts, wanted, digits=DIGITS).select(F.col("query_id").alias("entity"), "alert_id", "hybrid_score", "place")
 
 
 @query("j12_issue_context", with_alerts(ISSUES + f""",
@@ -365,7 +368,7 @@ SELECT issue_id, alert_id, CAST(part AS BIGINT) AS part, CAST(row_number() OVER
 def _(t: Tables):
     alerts = t.alerts
     top = filters.issue_order(iss.detect_from_alerts(alerts)).limit(2)
-    return rt.issue_context(alerts, top).select("issue_id", "alert_id", big("part"), "seq")
+    return rt.issue_context(alerts, top, digits=DIGITS).select("issue_id", "alert_id", big("part"), "seq")
 
 
 # --- relations, trends, digests ------------------------------------------------------------------

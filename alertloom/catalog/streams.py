@@ -183,7 +183,7 @@ def _(t: Tables):
 @query("st09_issue_upsert", with_alerts("""
 i AS (SELECT substr(sha256(title), 1, 10) AS issue_id, title, ts, full_log, alert_id FROM (SELECT *, rule_desc || ' on ' || agent_name AS title FROM alerts) a),
 n AS (SELECT issue_id, arg_max(title, (ts, full_log)) AS title, max(ts) AS ts FROM i GROUP BY 1)
-SELECT issue_id, title, epoch_us(ts) AS ts_us FROM n ORDER BY ts DESC, issue_id LIMIT 1000"""))
+SELECT issue_id, title, epoch_us(ts) AS ts_us FROM n"""))
 def _(t: Tables):
     root = scratch_dir(t.spark, "issues")
     title = F.concat("rule_desc", F.lit(" on "), "agent_name")

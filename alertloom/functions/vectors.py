@@ -48,27 +48,42 @@ def scores(metric: str, block: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.maximum(squared, 0.0))
 
 
+def exact_scores(metric: str, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Scores of a few rows without the cancellation of the expanded form."""
+    if metric == "cosine":
+        return scores(metric, rows, query[None, :])[:, 0]
+    return 1.0 / (1.0 + ((rows - query) ** 2).sum(axis=1))
+
+
 def best_rows(metric: str, ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
-              chunk: int = 4096) -> pd.DataFrame:
-    """Best ``k`` rows of a block per query; equal scores go to the smaller id."""
+              digits: int | None = None, chunk: int = 4096) -> pd.DataFrame:
+    """Best ``k`` rows of a block per query by exact score; equal scores go to the smaller id.
+
+    ``digits`` rounds scores first, for callers that need equal ranks from other engines.
+    The matrix product only chooses candidates: all rows whose score may reach
+    the k-th one within its rounding error are scored again by difference.
+    """
     kept: list[pd.DataFrame] = []
+    size = 1.0 + float((block * block).sum(axis=1).max(initial=0.0) + (queries * queries).sum(axis=1).max(initial=0.0))
+    error = 1e-12 * (size if metric == "l2" else 1.0) + (10.0 ** -digits if digits is not None else 0.0)
     for first in range(0, len(ids), chunk):
-        part_ids = ids[first:first + chunk]
-        part = np.round(scores(metric, block[first:first + chunk], queries), 6)
+        part_ids, rows_of = ids[first:first + chunk], block[first:first + chunk]
+        part = scores(metric, rows_of, queries)
         for j, query_id in enumerate(query_ids):
             column = part[:, j]
             rows = np.arange(len(column))
             if len(column) > k:
-                # every row that ties with the k-th score stays in, then ids decide
-                rows = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k])
-            order = rows[np.lexsort((part_ids[rows], -column[rows]))][:k]
-            kept.append(pd.DataFrame({"query_id": query_id, "id": part_ids[order], "score": column[order]}))
+                rows = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k] - error)
+            exact = exact_scores(metric, rows_of[rows], queries[j])
+            exact = exact if digits is None else np.round(exact, digits)
+            order = np.lexsort((part_ids[rows], -exact))[:k]
+            kept.append(pd.DataFrame({"query_id": query_id, "id": part_ids[rows[order]], "score": exact[order]}))
     if not kept:
         return pd.DataFrame({"query_id": query_ids[:0], "id": ids[:0], "score": np.zeros(0)})
     return pd.concat(kept, ignore_index=True)
 
 
-def partition_search(metric: str, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Callable:
+def partition_search(metric: str, query_ids: np.ndarray, queries: np.ndarray, k: int, digits: int | None = None) -> Callable:
     """Body of ``mapInPandas``: one pass over a partition, best ``k`` per query held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +91,7 @@ def partition_search(metric: str, query_ids: np.ndarray, queries: np.ndarray, k:
         for batch in batches:
             if not len(batch):
                 continue
-            found = best_rows(metric, batch["id"].to_numpy(), np.stack(batch["vec"].to_numpy()), query_ids, queries, k)
+            found = best_rows(metric, batch["id"].to_numpy(), np.stack(batch["vec"].to_numpy()), query_ids, queries, k, digits)
             held = found if held is None else pd.concat([held, found], ignore_index=True)
             held = held.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if held is not None:

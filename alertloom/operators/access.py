@@ -99,8 +99,9 @@ def rate_limit(requests: DataFrame, limit: int = config.REQUESTS_PER_MINUTE, win
         raise ValueError("a chunk must be at least as long as the window")
     window_us, chunk_us = window_s * 1_000_000, chunk_s * 1_000_000
     rows = requests.select("request_id", "ip", "ts_us", F.floor(F.col("ts_us") / chunk_us).alias("chunk"))
-    free = rows.where(F.col("ip").isin(whitelist or [])).select("request_id", "ip", "ts_us", F.lit(True).alias("accepted"))
-    rows = rows.where(~F.col("ip").isin(whitelist or []))
+    listed = F.coalesce(F.col("ip").isin(whitelist or []), F.lit(False))  # a null ip is an address like any other
+    free = rows.where(listed).select("request_id", "ip", "ts_us", F.lit(True).alias("accepted"))
+    rows = rows.where(~listed)
     key = ["ip", "chunk"]
     kinds = dict(requests.dtypes)
     shape = f"request_id {kinds['request_id']}, ip {kinds['ip']}, chunk bigint, ts_us bigint, accepted boolean"
@@ -246,9 +247,10 @@ def effective_permissions(assignments: DataFrame, parents: DataFrame, permission
 
 
 def access_review(requests: DataFrame, granted: DataFrame) -> DataFrame:
-    """allow / deny per request; ``admin`` covers everything, ``write`` covers ``read``."""
-    covered = granted.select("user_id", "resource", F.explode(
-        F.when(F.col("action") == "admin", F.array(F.lit("read"), F.lit("write"), F.lit("delete"), F.lit("execute"), F.lit("admin")))
-        .when(F.col("action") == "write", F.array(F.lit("write"), F.lit("read"))).otherwise(F.array("action"))).alias("action")).distinct()
-    joined = requests.join(covered.withColumn("granted", F.lit(True)), ["user_id", "resource", "action"], "left")
-    return joined.withColumn("decision", F.when(F.col("granted"), "allow").otherwise("deny")).drop("granted")
+    """allow / deny per request; ``admin`` covers every action of its resource, ``write`` covers ``read``."""
+    held = granted.groupBy("user_id", "resource").agg(
+        F.coalesce(F.bool_or(F.col("action") == "admin"), F.lit(False)).alias("all_actions"), F.collect_set("action").alias("actions"))
+    joined = requests.join(held, ["user_id", "resource"], "left")
+    reads = (F.col("action") == "read") & F.array_contains("actions", "write")
+    allowed = F.col("all_actions") | F.array_contains("actions", F.col("action")) | reads
+    return joined.withColumn("decision", F.when(allowed, "allow").otherwise("deny")).drop("all_actions", "actions")

@@ -64,11 +64,11 @@ def new_issues(detected: DataFrame, existing: DataFrame, ignored: DataFrame) ->
     return d.join(existing.select("issue_id").distinct(), "issue_id", "left_anti")
 
 
-def merge_issues(fresh: DataFrame, existing: DataFrame, cap: int = config.MAX_ISSUES) -> DataFrame:
-    """New issues in front of the known ones, newest first, at most ``cap``."""
+def merge_issues(fresh: DataFrame, existing: DataFrame, cap: int | None = None) -> DataFrame:
+    """New issues in front of the known ones, all of them or, newest first, at most ``cap``."""
     columns = ["issue_id", "ts", "severity", "title", "summary", "category"]
-    return (fresh.select(*columns).unionByName(existing.select(*columns))
-            .orderBy(F.col("ts").desc(), F.col("issue_id")).limit(cap))
+    merged = fresh.select(*columns).unionByName(existing.select(*columns))
+    return merged if cap is None else merged.orderBy(F.col("ts").desc(), F.col("issue_id")).limit(cap)
 
 
 def ignore(issues: DataFrame, ignored: DataFrame) -> DataFrame:

@@ -92,12 +92,13 @@ def threat_intel(indicators: DataFrame, intel: DataFrame) -> DataFrame:
     )
 
 
-def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """All (ancestor, descendant, depth) pairs of a shallow hierarchy.
+def closure(edges: DataFrame) -> DataFrame:
+    """All (ancestor, descendant, depth) pairs of a hierarchy.
 
     ``edges`` are (parent, child). One equality join per level, so the work per
     round is the number of edges at that depth; a level is written out before
-    the next one starts. The shortest depth of a pair is kept.
+    the next one starts. The shortest depth of a pair is kept, so cycles end
+    with the last new pair.
     """
     from alertloom.session import cut_lineage
 
@@ -105,7 +106,9 @@ def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
     seen = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"))
     frontier = seen
     step = edges.select(F.col("parent").alias("descendant"), F.col("child").alias("below"))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while True:
+        depth += 1
         reached = (frontier.join(step, "descendant")
                    .select("ancestor", F.col("below").alias("descendant"), F.lit(depth).alias("depth")).distinct()
                    .join(seen.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"))
@@ -113,9 +116,6 @@ def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    if not frontier.join(step, "descendant").isEmpty():
-        raise ValueError(f"hierarchy is deeper than {max_depth} levels")
-    return seen
 
 
 def citations(findings: DataFrame, evidence: DataFrame, relevance: float = 0.8) -> DataFrame:

@@ -18,6 +18,8 @@ from alertloom.functions.matching import contains_any, exploded
 
 KEY = ["cluster_id", "day"]
 NIGHT = [23, 0, 1, 2, 3, 4, 5]
+#: place of other patterns behind all rule patterns
+AFTER_RULES = 1_000_000_000
 
 
 def level_severity(level: Column) -> Column:
@@ -29,9 +31,10 @@ def severity_score(severity: Column) -> Column:
             .when(severity == "medium", 0.6).when(severity == "low", 0.3).otherwise(0.5))
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rk") -> DataFrame:
-    """Best ``n`` rows per group. Spark limits each task to ``n`` per group first."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str = "rk") -> DataFrame:
+    """Ranked rows per group, the best ``n`` if given. Spark then limits each task to ``n`` per group first."""
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if n is None else ranked.where(F.col(rank) <= n)
 
 
 def joined_list(df: DataFrame, keys: list[str], rank: str, value: Column, name: str, sep: str = ", ") -> DataFrame:
@@ -96,10 +99,10 @@ def common_elements(rows: DataFrame, base: DataFrame, share: float = 0.5) -> Dat
     return counted.join(base.select(*KEY, "n"), KEY).where(F.col("logs") >= share * F.col("n")).drop("n")
 
 
-def rule_patterns(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """Up to five rules per cluster that fired at least twice."""
+def rule_patterns(rows: DataFrame, base: DataFrame, top: int | None = None) -> DataFrame:
+    """Rules that fired at least twice in a cluster, all or the ``top`` most frequent."""
     counted = rows.groupBy(*KEY, F.concat("rule_id", F.lit(": "), "rule_desc").alias("rule")).agg(F.count("*").alias("c"))
-    top = top_per_group(counted, KEY, [F.col("c").desc(), F.col("rule")], 5).where("c >= 2")
+    top = top_per_group(counted, KEY, [F.col("c").desc(), F.col("rule")], top).where("c >= 2")
     return top.join(base.select(*KEY, "n", "max_level"), KEY).select(
         *KEY, F.lit("rule_pattern").alias("pattern_type"),
         F.concat(F.lit("Multiple occurrences of: "), "rule").alias("description"),
@@ -115,15 +118,15 @@ def brute_force(base: DataFrame) -> DataFrame:
         F.concat(F.lit("Potential brute force attack: "), f, F.lit(" authentication failures, "), a,
                  F.lit(" login attempts")).alias("description"),
         F.least(F.lit(0.9), (f + a) / 20).alias("confidence"),
-        F.when(f >= 10, "high").otherwise("medium").alias("severity"), (f + a).alias("occurrences"), F.lit(6).alias("ord"))
+        F.when(f >= 10, "high").otherwise("medium").alias("severity"), (f + a).alias("occurrences"), F.lit(AFTER_RULES).alias("ord"))
 
 
 def patterns(rows: DataFrame, base: DataFrame) -> DataFrame:
     return rule_patterns(rows, base).unionByName(brute_force(base))
 
 
-def entity_activity(rows: DataFrame, top: int = 10) -> DataFrame:
-    """Most active entities per cluster with their behaviours."""
+def entity_activity(rows: DataFrame, top: int | None = None) -> DataFrame:
+    """Entities of a cluster by activity with their behaviours, all or the ``top`` most active."""
     low = F.lower("full_log")
     stats = mentions(rows).groupBy(*KEY, "entity").agg(
         F.count("*").alias("events"), F.countDistinct("rule_id").alias("rules"),
@@ -164,11 +167,11 @@ def cluster_risk(base: DataFrame, found: DataFrame) -> DataFrame:
                                                 F.coalesce("n_patterns", F.lit(0)).alias("n_patterns"))
 
 
-def affected_systems(rows: DataFrame, first: int = 10) -> DataFrame:
-    """Agents and location hosts per cluster, first ten by name."""
+def affected_systems(rows: DataFrame, first: int | None = None) -> DataFrame:
+    """Agents and location hosts per cluster, all or the ``first`` by name."""
     host = F.split_part("location", F.lit("->"), F.lit(1))
     names = rows.select(*KEY, F.explode(F.array("agent_name", host)).alias("system")).where(F.col("system") != "").distinct()
-    return top_per_group(names, KEY, [F.col("system")], first)
+    return names if first is None else top_per_group(names, KEY, [F.col("system")], first)
 
 
 def cluster_tags(base: DataFrame, found: DataFrame, common: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ TERM_LIMIT = 20_000
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id",
-                  vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+                  vec_col: str = "embedding", query_block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
     """Exact best ``k`` rows per query: (query_id, id, score, rank).
 
     ``score`` is 1 / (1 + squared distance) for ``l2``, the cosine otherwise.
+    Ranks follow exact scores unless ``digits`` rounds them first.
 
     A query batch of at most ``query_block`` rows travels to the tasks and the
     corpus is read once without a shuffle; every task keeps ``k`` rows per
@@ -38,13 +39,13 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
         batch = asked.toPandas()
         if not len(batch):
             return points.sparkSession.createDataFrame([], shape + ", rank int")
-        found = points.mapInPandas(partition_search(metric, batch["query_id"].to_numpy(), np.stack(batch["qvec"]), k), shape)
+        found = points.mapInPandas(partition_search(metric, batch["query_id"].to_numpy(), np.stack(batch["qvec"]), k, digits), shape)
     else:
-        found = _block_search(points, asked, k, metric, shape, query_block)
+        found = _block_search(points, asked, k, metric, shape, query_block, digits)
     return top_k(found, k, "query_id", "score", "id")
 
 
-def _block_search(points: DataFrame, asked: DataFrame, k: int, metric: str, shape: str, query_block: int) -> DataFrame:
+def _block_search(points: DataFrame, asked: DataFrame, k: int, metric: str, shape: str, query_block: int, digits: int | None) -> DataFrame:
     """Every corpus block against every query block, by an equality join on the block pair."""
     n_query = math.ceil(asked.count() / query_block * 1.25)
     n_point = math.ceil(points.count() / CORPUS_BLOCK * 1.25)
@@ -56,7 +57,7 @@ def _block_search(points: DataFrame, asked: DataFrame, k: int, metric: str, shap
     def score(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
             return pd.DataFrame({"query_id": q["query_id"][:0], "id": p["id"][:0], "score": np.zeros(0)})
-        return best_rows(metric, p["id"].to_numpy(), np.stack(p["vec"]), q["query_id"].to_numpy(), np.stack(q["qvec"]), k)
+        return best_rows(metric, p["id"].to_numpy(), np.stack(p["vec"]), q["query_id"].to_numpy(), np.stack(q["qvec"]), k, digits)
 
     return left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInPandas(score, shape)
 
@@ -73,8 +74,12 @@ def query_terms(queries: DataFrame, keywords: Column) -> DataFrame:
         F.count("*").alias("weight"))
 
 
+def _rounded(score: Column, digits: int | None) -> Column:
+    return score if digits is None else F.round(score, digits)
+
+
 def bm25(corpus: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "text",
-         only: DataFrame | None = None, k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
+         only: DataFrame | None = None, k1: float = config.BM25_K1, b: float = config.BM25_B, digits: int | None = None) -> DataFrame:
     """BM25 score of every (query, document) pair that shares a term.
 
     ``only`` (query_id, id) restricts scoring to candidates; document counts
@@ -104,13 +109,15 @@ def bm25(corpus: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "t
         pairs = pairs.join(only, ["query_id", "id"], "left_semi")
     idf = F.log(1 + (F.col("stats.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("stats.mean_len")))
-    return pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * idf * part), 6).alias("bm25"))
+    return pairs.groupBy("query_id", "id").agg(_rounded(F.sum(F.col("weight") * idf * part), digits).alias("bm25"))
 
 
 def hybrid_search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec_col: str = "embedding",
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", digits: int | None = None) -> DataFrame:
     """Semantic candidates reranked by keywords.
 
+    Ranks follow exact scores unless ``digits`` rounds every score first.
+
     ``queries``: query_id, embedding, keywords (text, may be empty), k. Twice
     ``k`` candidates are fetched; their BM25 scores are scaled by the best
     candidate of the query. Without keywords the semantic order stands.
@@ -119,17 +126,17 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec
     if not widest:
         raise ValueError("queries need a positive k")
     ask = queries.select("query_id", "k", (F.trim("keywords") != "").alias("keyed"))
-    near = vector_search(corpus, queries, widest, "l2", id_col, vec_col).join(ask, "query_id").where(
+    near = vector_search(corpus, queries, widest, "l2", id_col, vec_col, digits=digits).join(ask, "query_id").where(
         F.col("rank") <= F.when(F.col("keyed"), F.col("k") * 2).otherwise(F.col("k")))
     # Three later steps read the candidates; at most 2k rows per query are kept.
     near = cut_lineage(near, "near")
     candidates = near.select("query_id", "id")
-    words = bm25(corpus, query_terms(queries, F.col("keywords")), id_col, text, only=candidates)
+    words = bm25(corpus, query_terms(queries, F.col("keywords")), id_col, text, only=candidates, digits=digits)
     best = words.groupBy("query_id").agg(F.max("bm25").alias("top"))
     scaled = words.join(best, "query_id").select("query_id", "id", F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(0.0).alias("bm25_score"))
     merged = near.drop("rank").join(scaled, ["query_id", "id"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-    mixed = merged.withColumn("hybrid_score", F.when(F.col("keyed"), F.round(
-        config.SEMANTIC_WEIGHT * F.col("score") + config.KEYWORD_WEIGHT * F.col("bm25_score"), 6)).otherwise(F.col("score")))
+    mixed = merged.withColumn("hybrid_score", F.when(
+        F.col("keyed"), _rounded(config.SEMANTIC_WEIGHT * F.col("score") + config.KEYWORD_WEIGHT * F.col("bm25_score"), digits)).otherwise(F.col("score")))
     order = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), "id")
     return (mixed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
             .select("query_id", "id", F.col("score").alias("semantic_score"), "bm25_score", "hybrid_score", "rank"))

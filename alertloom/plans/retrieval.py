@@ -100,37 +100,38 @@ def search_text(logs: DataFrame, embed=None) -> DataFrame:
     return spread(logs).select(F.col("alert_id").alias("id"), F.col("full_log").alias("text"), embed("full_log").alias("embedding"))
 
 
-def run_searches(corpus: DataFrame, searches: DataFrame, embed=None) -> DataFrame:
+def run_searches(corpus: DataFrame, searches: DataFrame, embed=None, digits: int | None = None) -> DataFrame:
     """Hybrid search of (search_id, search, keywords, k) rows."""
     embed = embed or hashed_embedding()
     asked = searches.select(F.col("search_id").alias("query_id"), embed("search").alias("embedding"), "keywords", "k")
-    return hybrid_search(corpus, asked).withColumnRenamed("query_id", "search_id")
+    return hybrid_search(corpus, asked, digits=digits).withColumnRenamed("query_id", "search_id")
 
 
-def strategy_hits(logs: DataFrame, queries: DataFrame, max_results: int = 200, embed=None) -> DataFrame:
+def strategy_hits(logs: DataFrame, queries: DataFrame, max_results: int = 200, embed=None, digits: int | None = None) -> DataFrame:
     """Hits of every strategy of every query, before deduplication."""
     plan = plan_strategies(queries)
     budget = F.greatest(F.lit(10), F.floor(F.lit(max_results) / F.col("n_strategies")).cast("int"))
     plan = plan.withColumn("k", F.least("k", budget)).withColumn(
         "search_id", F.concat("query_id", F.lit("#"), "strategy_index"))
-    hits = run_searches(search_text(logs, embed), plan, embed)
+    hits = run_searches(search_text(logs, embed), plan, embed, digits)
     return hits.join(plan.select("search_id", "query_id", "basic", "strategy", "priority", "entity", "strategy_index"), "search_id").select(
         "query_id", F.col("id").alias("alert_id"), "strategy_index", "rank", "strategy", "priority", "entity", "basic",
         "semantic_score", "bm25_score", "hybrid_score")
 
 
-def comprehensive_search(logs: DataFrame, queries: DataFrame, max_results: int = 200, embed=None) -> DataFrame:
+def comprehensive_search(logs: DataFrame, queries: DataFrame, max_results: int = 200, embed=None, digits: int | None = None) -> DataFrame:
     """All strategies in one job, first strategy wins, relevance order."""
-    first = joins.first_strategy_wins(strategy_hits(logs, queries, max_results, embed))
+    first = joins.first_strategy_wins(strategy_hits(logs, queries, max_results, embed, digits))
     order = Window.partitionBy("query_id").orderBy("strategy_index", "rank")
     capped = first.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= max_results)
     found = joins.hits_to_logs(capped, logs)
     text = F.lower(F.concat_ws(" ", "rule_desc", "agent_name", "location", "full_log"))
-    return found.withColumn("relevance", F.round(relevance(
-        F.col("hybrid_score"), F.col("priority"), F.col("strategy"), F.col("entity"), text, F.col("basic")), 6))
+    return found.withColumn("relevance", relevance(
+        F.col("hybrid_score"), F.col("priority"), F.col("strategy"), F.col("entity"), text, F.col("basic")))
 
 
-def entity_search(logs: DataFrame, wanted: DataFrame, per_term: int = 20, cap: int = 100, embed=None) -> DataFrame:
+def entity_search(logs: DataFrame, wanted: DataFrame, per_term: int = 20, cap: int = 100, embed=None,
+                  digits: int | None = None) -> DataFrame:
     """Logs around an entity: its variants are searched, hits united, best first.
 
     ``wanted``: entity, entity_type.
@@ -140,7 +141,7 @@ def entity_search(logs: DataFrame, wanted: DataFrame, per_term: int = 20, cap: i
         F.array(e), with_suffixes(e, config.ENTITY_SEARCH_SUFFIXES), with_suffixes(base_name(e), ["failure", "error"]))).otherwise(F.array(e)))
     plan = wanted.select("entity", F.posexplode_outer(terms).alias("strategy_index", "search")).select(
         "*", F.col("entity").alias("keywords"), F.lit(per_term).alias("k"), F.concat("entity", F.lit("#"), "strategy_index").alias("search_id"))
-    hits = run_searches(search_text(logs, embed), plan, embed).join(plan.select("search_id", "entity", "strategy_index"), "search_id")
+    hits = run_searches(search_text(logs, embed), plan, embed, digits).join(plan.select("search_id", "entity", "strategy_index"), "search_id")
     first = joins.first_strategy_wins(hits.select(F.col("entity").alias("query_id"), F.col("id").alias("alert_id"), "strategy_index", "rank", "hybrid_score"))
     best = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), "alert_id")
     return first.withColumn("place", F.row_number().over(best)).where(F.col("place") <= cap)
@@ -161,7 +162,8 @@ def analysed_keywords(query: Column, given: Column) -> Column:
     return F.array_distinct(F.concat(given, F.filter(fresh, lambda e: ~F.array_contains(F.transform(given, lambda g: F.lower(g)), e))))
 
 
-def issue_context(logs: DataFrame, issues: DataFrame, cap: int = 50, related: int = 10, per_query: int = 30, embed=None) -> DataFrame:
+def issue_context(logs: DataFrame, issues: DataFrame, cap: int = 50, related: int = 10, per_query: int = 30, embed=None,
+                  digits: int | None = None) -> DataFrame:
     """Context of an issue: its references first, then hits of four searches."""
     refs = joins.issue_related_logs(issues, logs.select("sha256", "alert_id"), related).select(
         "issue_id", "alert_id", (F.col("pos") + 1).alias("rank"))
@@ -169,7 +171,7 @@ def issue_context(logs: DataFrame, issues: DataFrame, cap: int = 50, related: in
     texts = F.array(title, summary, F.concat(title, F.lit(" error failure")), F.concat(title, F.lit(" authentication certificate cryptographic")))
     plan = issues.select("issue_id", F.posexplode_outer(texts).alias("i", "search")).select(
         "*", F.lit("").alias("keywords"), F.lit(per_query).alias("k"), F.concat("issue_id", F.lit("#"), "i").alias("search_id"))
-    hits = run_searches(search_text(logs, embed), plan, embed).join(plan.select("search_id", "issue_id", "i"), "search_id")
+    hits = run_searches(search_text(logs, embed), plan, embed, digits).join(plan.select("search_id", "issue_id", "i"), "search_id")
     parts = [refs] + [hits.where(F.col("i") == n).select("issue_id", F.col("id").alias("alert_id"), "rank") for n in range(4)]
     united = joins.ordered_union(parts, ["issue_id", "alert_id"])
     order = Window.partitionBy("issue_id").orderBy("part", "rank")

@@ -102,10 +102,10 @@ def compliance(c: ClusterLevel) -> DataFrame:
         state(F.col("auth") | F.col("access"), "non_compliant").alias("overall"))
 
 
-def pattern_trends(c: ClusterLevel) -> DataFrame:
-    """Pattern types with at least two occurrences per day, first five."""
+def pattern_trends(c: ClusterLevel, top: int | None = None) -> DataFrame:
+    """Pattern types with at least two occurrences per day, all or the ``top`` most frequent."""
     counted = c.patterns.groupBy("day", "pattern_type").agg(F.count("*").alias("n"))
-    return top_per_group(counted, ["day"], [F.col("n").desc(), F.col("pattern_type")], 5).where("n >= 2").select(
+    return top_per_group(counted, ["day"], [F.col("n").desc(), F.col("pattern_type")], top).where("n >= 2").select(
         "day", "pattern_type", "n", "rk",
         F.concat(F.when(F.col("pattern_type") == "brute_force", "Brute_Force").otherwise("Rule_Pattern"),
                  F.lit(" Pattern Frequency")).alias("trend_name"),
@@ -129,7 +129,7 @@ def daily_metrics(c: ClusterLevel) -> DataFrame:
         zero("trends"), zero("increasing"), zero("decreasing"))
 
 
-def daily_entities(c: ClusterLevel, top: int = 20) -> DataFrame:
+def daily_entities(c: ClusterLevel, top: int | None = None) -> DataFrame:
     """Cluster activity re-aggregated per day; distinct rules are counted on the logs."""
     rules = pt.mentions(c.rows).groupBy("day", "entity").agg(F.countDistinct("rule_id").alias("rules"))
     summed = c.activity.groupBy("day", "entity", "entity_type").agg(
@@ -140,17 +140,21 @@ def daily_entities(c: ClusterLevel, top: int = 20) -> DataFrame:
     return best.join(rules, ["day", "entity"])
 
 
-def daily_findings(c: ClusterLevel, summaries: DataFrame | None = None) -> DataFrame:
-    """Up to five findings per day: risky clusters, significant trends, repeated patterns."""
+def daily_findings(c: ClusterLevel, summaries: DataFrame | None = None, per_kind: int | None = None, top: int | None = None) -> DataFrame:
+    """Findings per day, ranked: risky clusters, significant trends, repeated patterns.
+
+    All of them, or the first ``per_kind`` of each kind and the first ``top`` in all.
+    """
+    within = F.lit(True) if per_kind is None else F.col("rk") <= per_kind
     summaries = c.summaries if summaries is None else summaries
-    risky = top_per_group(summaries.where(F.col("risk").isin(SEVERE)), ["day"], [F.col("cluster_id")], 3).select(
-        "day", F.col("rk").alias("pos"), F.concat(F.lit("High-risk security cluster: "), F.substring("summary_text", 1, 100), F.lit("...")).alias("finding"))
+    risky = top_per_group(summaries.where(F.col("risk").isin(SEVERE)), ["day"], [F.col("cluster_id")], per_kind).select(
+        "day", F.col("rk").cast("bigint").alias("pos"), F.concat(F.lit("High-risk security cluster: "), F.substring("summary_text", 1, 100), F.lit("...")).alias("finding"))
     trends = pattern_trends(c)
-    strong = trends.where("rk <= 3 AND significance = 'high'").select(
-        "day", (F.col("rk") + 10).alias("pos"), F.concat(F.lit("Significant trend detected: "), "trend_name", F.lit(" - "), "direction").alias("finding"))
-    repeated = trends.where("rk <= 3").select(
-        "day", (F.col("rk") + 20).alias("pos"), F.concat(F.lit("Multiple "), "pattern_type", F.lit(" patterns detected ("), "n", F.lit(" occurrences)")).alias("finding"))
-    return top_per_group(risky.unionByName(strong).unionByName(repeated), ["day"], [F.col("pos")], 5).select("day", "rk", "finding")
+    strong = trends.where(within & (F.col("significance") == "high")).select(
+        "day", (F.col("rk") + pt.AFTER_RULES).cast("bigint").alias("pos"), F.concat(F.lit("Significant trend detected: "), "trend_name", F.lit(" - "), "direction").alias("finding"))
+    repeated = trends.where(within).select(
+        "day", (F.col("rk").cast("bigint") + 2 * pt.AFTER_RULES).alias("pos"), F.concat(F.lit("Multiple "), "pattern_type", F.lit(" patterns detected ("), "n", F.lit(" occurrences)")).alias("finding"))
+    return top_per_group(risky.unionByName(strong).unionByName(repeated), ["day"], [F.col("pos")], top).select("day", "rk", "finding")
 
 
 def fill_quiet(counts: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
@@ -188,8 +192,8 @@ def weekly_trend(incidents: DataFrame) -> DataFrame:
                          F.when(F.col("peak") > 10, "high").otherwise("medium").alias("significance"))
 
 
-def major_incidents(incidents: DataFrame, trends: DataFrame, top: int = 10) -> DataFrame:
-    """Days with many incidents and every highly significant trend, first ten per week."""
+def major_incidents(incidents: DataFrame, trends: DataFrame, top: int | None = None) -> DataFrame:
+    """Days with many incidents and every highly significant trend, all or the first ``top`` of a week."""
     volume = incidents.where("incidents >= 5").select(
         "day", F.lit(0).alias("kind"), F.concat(F.lit("High incident volume: "), "incidents", F.lit(" incidents")).alias("description"),
         F.when(F.col("incidents") >= 10, "high").otherwise("medium").alias("severity"))
@@ -200,20 +204,20 @@ def major_incidents(incidents: DataFrame, trends: DataFrame, top: int = 10) -> D
     return top_per_group(both, ["week"], [F.col("day"), F.col("kind")], top)
 
 
-def weekly_entities(daily: DataFrame, top: int = 15) -> DataFrame:
-    """Entity behaviour over a week from the daily top entities."""
+def weekly_entities(daily: DataFrame, top: int | None = None) -> DataFrame:
+    """Entity behaviour over a week from the daily entities, all or the ``top`` of highest risk."""
     week = daily.withColumn("week", week_of()).groupBy("week", "entity", "entity_type").agg(
         F.avg("activity").alias("activity"), F.var_pop("activity").alias("variance"),
         F.count("*").alias("days"), F.sum("events").alias("events"))
     flags = F.concat_ws(",", F.when(F.col("variance") > F.col("activity") * 0.5, "irregular_activity_pattern"),
                         F.when(F.col("days") == 1, "single_day_activity").when(F.col("days") >= 6, "persistent_activity"))
     scored = week.withColumn("flags", flags).withColumn(
-        "risk", F.least(F.lit(1.0), F.round(F.col("variance") + F.col("days") / 7, 9)))
+        "risk", F.least(F.lit(1.0), F.col("variance") + F.col("days") / 7))
     return top_per_group(scored, ["week"], [F.col("risk").desc(), F.col("entity")], top)
 
 
-def campaigns(trends: DataFrame, top: int = 5) -> DataFrame:
-    """Pattern trends on at least three days of a week."""
+def campaigns(trends: DataFrame, top: int | None = None) -> DataFrame:
+    """Pattern trends on at least three days of a week, all or the first ``top`` by name."""
     week = trends.withColumn("week", week_of()).groupBy("week", "trend_name").agg(
         F.min("day").alias("start"), F.max("day").alias("end"), F.countDistinct("day").alias("days"),
         F.sum("n").alias("magnitude"), F.avg("confidence").alias("confidence"),
@@ -226,8 +230,8 @@ def campaigns(trends: DataFrame, top: int = 5) -> DataFrame:
 
 # --- month and quarter -------------------------------------------------------------
 
-def entity_trends(weekly: DataFrame, top: int = 10) -> DataFrame:
-    """Entities whose weekly activity rises or falls within a month."""
+def entity_trends(weekly: DataFrame, top: int | None = None) -> DataFrame:
+    """Entities whose weekly activity rises or falls within a month, all or the first ``top`` by name."""
     month = F.date_trunc("month", "week").cast("date")
     series = slope_by(weekly.withColumn("month", month), ["month", "entity"], "week", "activity")
     moving = series.where("points > 1").withColumn("direction", direction(F.col("slope"))).where("direction <> 'stable'")

@@ -34,11 +34,15 @@ def build_session(app_name: str = "alertloom", master: str | None = None,
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used whenever it is set; a
-    machine-local folder is made only where it is not, as in local tests.
+    The folder named by ``spark.checkpoint.dir`` is used whenever it is set. A
+    machine-local folder is made only where it is not and the master is local;
+    on a cluster the executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="alertloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -60,18 +64,16 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+#: session setting: deal the rows of small single-file inputs to this many partitions
+SPREAD = "spark.alertloom.spread"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use the whole cluster when a scan yields too few splits.
+    """Deal rows out before costly expressions, where the caller asked for it.
 
     One large row group is one task however many byte ranges the file is cut
-    into. A scan with at least two splits per core passes through unchanged, so
-    nothing is shuffled on a data set of normal size. A plan with an exchange
-    is left alone: it is partitioned already, and asking an adaptive plan for
-    its partitions would run it.
+    into. Inputs of normal size need no shuffle here, so nothing happens unless
+    the session sets ``spark.alertloom.spread`` to a number of partitions.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores)
+    parts = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(parts) if parts else df

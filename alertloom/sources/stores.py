@@ -10,12 +10,17 @@ from alertloom.operators.joins import dedup_logs
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The stored table, or an empty one of the same shape before the first write."""
+    """The stored table, or an empty one of the same shape before the first write.
+
+    Only a path that does not exist counts as empty; every other error goes on.
+    """
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return like.limit(0)
 
 

@@ -140,10 +140,10 @@ def audit_fanout(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def issue_upsert(issues: DataFrame, table: str, checkpoint: str, cap: int = config.MAX_ISSUES) -> StreamingQuery:
-    """Merge each batch of detected issues into the issue table, newest first.
+def issue_upsert(issues: DataFrame, table: str, checkpoint: str, cap: int | None = None) -> StreamingQuery:
+    """Merge each batch of detected issues into the issue table.
 
-    The table holds at most ``cap`` rows. Version folders make a batch
+    The table keeps all issues, or the ``cap`` newest if one is given. Version folders make a batch
     repeatable: batch n is always merged into the table of batch n - 1.
     """
     from alertloom.operators.issues import merge_issues

@@ -128,12 +128,21 @@ def test_exact_median(spark):
     assert got == {k: float(np.median([v for kk, v in rows if kk == k])) for k in "abc"}
 
 
-def test_closure_and_depth_guard(spark):
+def test_closure_of_deep_and_cyclic_hierarchies(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")], "parent string, child string")
     got = {(r.ancestor, r.descendant): r.depth for r in joins.closure(edges).collect()}
     assert got == {("a", "b"): 1, ("b", "c"): 1, ("c", "d"): 1, ("a", "c"): 1, ("b", "d"): 2, ("a", "d"): 2}
-    with pytest.raises(ValueError):
-        joins.closure(spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "parent string, child string"), max_depth=3)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "parent long, child long")
+    assert joins.closure(chain).count() == 20 * 21 // 2
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
+    assert {tuple(r) for r in joins.closure(ring).collect()} == {("a", "b", 1), ("b", "a", 1), ("a", "a", 2), ("b", "b", 2)}
+
+
+def test_ranks_follow_exact_scores(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0006]), (2, [1.0, 0.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    for metric in ("l2", "cosine"):
+        assert se.vector_search(corpus, asked, 1, metric).first()["id"] == 2
 
 
 def test_strategy_plan_of_a_plain_question(spark):
