@@ -33,8 +33,8 @@ def test_vector_search_is_exact_in_both_forms(spark, cloud, metric, block):
         if metric == "l2":
             score = 1 / (1 + ((cloud - query) ** 2).sum(1))
         else:
-            score = cloud @ query / np.linalg.norm(cloud, axis=1) / np.linalg.norm(query)
-        best = np.lexsort((np.arange(len(cloud)), -np.round(score, 6)))[:5]
+            score = (cloud * query).sum(1) / np.linalg.norm(cloud, axis=1) / np.linalg.norm(query)
+        best = np.lexsort((np.arange(len(cloud)), -np.round(score, 12)))[:5]
         assert [got[(q, r + 1)] for r in range(5)] == list(best)
 
 
