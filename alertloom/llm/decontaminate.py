@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
+from alertloom.llm.batches import bounded
 from alertloom.session import is_small
 
 N_WORDS = 13
@@ -142,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, doc_i
                   item_id: str = "item_id", max_grams: int = MAX_GRAMS) -> DataFrame:
     """Per document: ``n_words, n_hit, items`` (sorted strings) and the hit ``spans`` as word ranges."""
     grams = benchmark_grams(benchmark, n, item_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {_HITS}"
@@ -221,7 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         bad = found.where(is_contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("_bad")).distinct()
         return docs.join(bad, key == bad["_bad"], "left_anti")
     known = docs.sparkSession.sparkContext.broadcast(GramSet(grams.collect()))
-    return docs.mapInArrow(_clean_rows(known, remove == "spans", docs.columns, text), docs.schema)
+    return bounded(docs).mapInArrow(_clean_rows(known, remove == "spans", docs.columns, text), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

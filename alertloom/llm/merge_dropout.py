@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
+from alertloom.llm.batches import bounded
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 8
@@ -230,7 +231,7 @@ def _encode_rows(keep: list[str], text: str, key: tuple):
 def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text",
            model_file: str = MODEL) -> DataFrame:
     """``doc_id, ids, n_ids, lossless``: lossless says that decoding the ids gave the text back."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("_doc"))
+    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("_doc"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_encode_rows(["doc_id"], "text", (model_file, dropout, seed, variants)),
                            f"doc_id {kind}, ids array<int>, n_ids bigint, lossless boolean")
@@ -241,7 +242,7 @@ def with_ids(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, varian
     """``docs`` with ``ids, n_ids, lossless``; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("ids", "n_ids", "lossless")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return (docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(doc_id)).alias("_doc"))
+    return (bounded(docs).select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(doc_id)).alias("_doc"))
             .mapInArrow(_encode_rows(keep, text, (model_file, dropout, seed, variants)), f"{kinds}, ids array<int>, n_ids bigint, lossless boolean"))
 
 
@@ -260,5 +261,5 @@ def _decode_rows(model_file: str):
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model_file: str = MODEL) -> DataFrame:
     """``doc_id, text`` of encoded documents."""
-    rows = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
+    rows = bounded(encoded).select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
     return rows.mapInArrow(_decode_rows(model_file), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from alertloom.llm import bagminhash as B
 from alertloom.llm import words as W
+from alertloom.llm.batches import bounded
 from alertloom.llm.components import components
 from alertloom.session import cut_lineage, is_small
 
@@ -63,7 +64,7 @@ def _sketch_rows(k: int, m: int):
 
 def sketches(docs: DataFrame, k: int = SHINGLE, m: int = BANDS * ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, h1, h2`` (hash of the words) and ``signature`` (m little-endian 32-bit numbers) of every document."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_sketch_rows(k, m), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, h1 bigint, h2 bigint, signature binary")
 
 
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     over the threshold, ``copy_of`` the smallest id with the same words, and
     ``n_links`` the number of verified links of that representative.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut_lineage(sketches(rows, k), "sketches")
     full = sketch.where("n_words > 0 and doc_id is not null")
     first = full.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("copy_of"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
+from alertloom.llm.batches import bounded
 from alertloom.llm.toxicity import Lookup
 from alertloom.session import cut_lineage, is_small
 
@@ -160,7 +161,7 @@ def _count_rows(batches):
 def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE,
                      remove_share: float = REMOVE_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """``term`` (hash), ``level`` (1 generalise, 2 remove), ``share``, ``bits`` of the terms over the thresholds."""
-    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    texts = bounded(docs).select(F.col(text).alias("text")).where("text is not null")
     near = cut_lineage(texts.mapInArrow(_context_rows(reach), "term bigint, entity bigint, context bigint"), "contexts")
     pairs = near.groupBy("term", "entity").agg(F.count_distinct("context").alias("n_both"))
     entities = near.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
@@ -258,7 +259,7 @@ def _run(docs: DataFrame, terms: DataFrame, keep: list[str], text: str, rewritte
     terms = cut_lineage(terms.select("term", "level"), "terms")
     if is_small(terms, max_terms):
         known = docs.sparkSession.sparkContext.broadcast(Terms([(r["term"], r["level"]) for r in terms.collect()]))
-        return docs.mapInArrow(_apply(known, keep, text, rewritten), schema)
+        return bounded(docs).mapInArrow(_apply(known, keep, text, rewritten), schema)
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     own = (docs.select(key.alias("_key"), F.col(text).alias("text")).distinct().mapInArrow(_term_rows, "_key string, term bigint").join(terms, "term")
            .groupBy("_key").agg(F.collect_list(F.struct("term", "level")).alias("_terms")))
@@ -274,7 +275,7 @@ def _term_rows(batches):
 
 def find(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
     """``doc_id, spans``: base spans by kind, then start, then the disclosing terms."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return _run(rows, terms, ["doc_id"], "text", False, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}", max_terms)
 
 

@@ -6,8 +6,8 @@ the training sample each one occurs and keeps the ``n_features`` with the
 largest chi-square; the counts, not the texts, are shuffled. A logistic model is
 fitted to them on the driver. Its loss has a further term: in every training
 text with an identity term (``IDENTITY_TERMS``) the term is swapped for each
-other one of its group, and the squared change of the raw score is penalised, so
-that a neutral mention of a group does not raise the score.
+other one of its group and for a neutral word, and the squared change of the raw
+score is penalised, so that a mention of a group does not raise the score.
 
 Bound: at most ``max_rows`` labelled documents are used for the fit, those with
 the smallest hash of their id; everything else runs over all documents. A score
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
+from alertloom.llm.batches import bounded
 from alertloom.session import cut_lineage
 
 MAX_ROWS = 20_000
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known_ids = (labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
                  .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
                  .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    sample = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    sample = cut_lineage(bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
                          .join(F.broadcast(known_ids), "doc_id").groupBy(F.xxhash64("text").alias("h1"), F.md5("text").alias("h2"))
                          .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "sample")
     totals = sample.groupBy("toxic").count().collect()
@@ -195,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     lookup = Lookup(known)
     at_term = [lookup.find(np.zeros(len(f), dtype=np.int64), f)[1] for f in map(term_features, terms)]
     group = {terms[t]: [terms[u] for u in g if u != t] for g in IDENTITY_TERMS for t in g}
-    swaps = [(np.setdiff1d(at_term[t], at_term[u]), np.setdiff1d(at_term[u], at_term[t])) for r in rows for t in r["terms"] for u in group[t]]
+    none = np.zeros(0, dtype=np.int64)  # the neutral word has no features
+    swaps = [(np.setdiff1d(at_term[t], x), np.setdiff1d(x, at_term[t])) for r in rows for t in r["terms"] for x in [none, *(at_term[u] for u in group[t])]]
     w, b = fit([np.array(r["at"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), swaps, len(known), l2, counterfactual)
     return Model(known, w, b)
 
@@ -220,10 +222,10 @@ def _clean_rows(model, text: str, threshold: float):
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score`` of every document."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # at most n_features and the identity terms
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_score_rows(known, ["doc_id"], "text"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` without those that score ``threshold`` or more; all columns pass through."""
-    return docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(model), text, threshold), docs.schema)
+    return bounded(docs).mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(model), text, threshold), docs.schema)

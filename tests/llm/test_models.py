@@ -43,7 +43,7 @@ def test_signature_of_a_row_does_not_depend_on_its_neighbours():
 
 def credentials(seed, n):
     rng = random.Random(seed)
-    return ["sk_live_" + "".join(rng.choices("0123456789abcdef", k=24)) for _ in range(n)]
+    return ["sk_live_" + "".join(rng.choices("0123456789ABCDEF", k=24)) for _ in range(n)]
 
 
 def test_grammar_tells_the_learnt_format_from_other_tokens():
@@ -117,9 +117,9 @@ def identity_rows():
     for i in range(600):
         text = rng.choices(plain, k=12)
         toxic = i % 3 == 0
-        if toxic:
+        if toxic and rng.random() < 0.5:
             text.append(rng.choice(["vile", "scum"]))
-        if rng.random() < (0.7 if toxic else 0.03):  # the group is named mostly in toxic texts
+        if rng.random() < (0.9 if toxic else 0.05):  # the group is named mostly in toxic texts
             text.append("Muslim,")
         rows.append((i, " ".join(text), int(toxic)))
     return rows
@@ -133,7 +133,7 @@ def test_counterfactual_term_lowers_the_score_of_neutral_mentions(spark):
         model = toxicity.train(df, df, counterfactual=strength)
         scores.append({r["doc_id"]: r["score"] for r in toxicity.score(probe, model).collect()})
     plain, fair = scores
-    assert fair[1] < 0.5 < fair[2] and fair[1] < plain[1] - 0.1
+    assert plain[1] > 0.5 > fair[1] and fair[1] < fair[2]
     assert fair[3] == fair[4]
 
 
