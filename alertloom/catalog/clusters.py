@@ -65,6 +65,17 @@ def _(t: Tables):
     return labels.groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("c04_kmeans_centres", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS misplaced, true AS k_in_bounds FROM embeddings")
+def _(t: Tables):
+    """Every row has a label, that of its nearest centre, and k keeps to the given bounds."""
+    labels, centres = cl.kmeans_with_centres(points(t), k_min=4, k_max=6)
+    known = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+    gap = lambda c: F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    gaps = points(t).join(labels, "id").select("label", F.transform(known, gap).alias("gaps"))
+    far = F.col("gaps")[F.col("label")] > F.array_min("gaps") + 1e-9
+    return gaps.agg(F.count("*").alias("n"), F.count_if(far).alias("misplaced")).withColumn("k_in_bounds", F.lit(4 <= len(centres) <= 6))
+
+
 COMPONENTS = """walk AS (SELECT id, id AS label FROM core UNION SELECT w.id, e.b FROM walk w JOIN ce e ON e.a = w.label),
 comp AS (SELECT id, min(label) AS component FROM walk GROUP BY 1)"""
 

@@ -8,17 +8,12 @@ from __future__ import annotations
 
 # --- Fixed values: limits and window lengths -------------------------------
 INITIAL_SCAN_ROWS = 200
-INGEST_BATCH_ROWS = 100_000
-SEARCH_K = 500
-MAX_ISSUES = 1000
 TREND_BUCKETS = 60
 RULE_CHART_SIZE = 15
 
 CLUSTER_MIN = 5
 CLUSTER_MAX = 50
 SIMILARITY_THRESHOLD = 0.7
-TIME_WINDOW_HOURS = 24
-QUALITY_THRESHOLD = 0.7
 RETENTION_DAYS = {
     "cluster": 90,
     "daily": 365,
@@ -248,7 +243,6 @@ STRATEGY_BONUS = {
     "broad_context": 5,
 }
 PRIORITY_BONUS = {"high": 20, "medium": 10}
-PRIORITY_ORDER = {"high": 0, "medium": 1, "low": 2}
 RELEVANCE_WORDS = [
     "error", "failure", "alert", "warning", "critical", "suspicious",
     "authentication", "cryptographic",

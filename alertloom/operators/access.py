@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,12 @@ def trailing_counts(events: DataFrame, keys: list[str], seconds: int, ts_us: str
     every bucket also gets the rows of the one before it. The partition key is
     (key, bucket), the result is exact.
     """
+    return _trailing(events.groupBy(*keys, ts_us).agg(F.count("*").alias("here")), keys, seconds, ts_us, inclusive)
+
+
+def _trailing(summed: DataFrame, keys: list[str], seconds: int, ts_us: str, inclusive: bool) -> DataFrame:
+    """The same from the number of events (``here``) at each time of a key."""
     width = seconds * 1_000_000
-    summed = events.groupBy(*keys, ts_us).agg(F.count("*").alias("here"))
     bucket = F.floor(F.col(ts_us) / width)
     doubled = summed.select("*", F.explode(F.array(
         F.struct(bucket.alias("bucket"), F.lit(True).alias("own")),
@@ -39,11 +44,14 @@ def trailing_counts(events: DataFrame, keys: list[str], seconds: int, ts_us: str
 def rate_anomalies(events: DataFrame, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Moments at which a kind of event reaches its limit within its window.
 
-    ``events``: kind, ts_us. Kinds without a limit are left out.
+    ``events``: kind, ts_us. Kinds without a limit are left out. The events are
+    read and shuffled once; the windows of all kinds read the counts by time.
     """
+    wanted = limits or config.RATE_LIMITS
+    summed = cut_lineage(events.where(F.col("kind").isin(list(wanted))).groupBy("kind", "ts_us").agg(F.count("*").alias("here")), "rates")
     parts = []
-    for kind, (seconds, limit) in (limits or config.RATE_LIMITS).items():
-        counted = trailing_counts(events.where(F.col("kind") == kind), ["kind"], seconds)
+    for kind, (seconds, limit) in wanted.items():
+        counted = _trailing(summed.where(F.col("kind") == kind), ["kind"], seconds, "ts_us", True)
         parts.append(counted.where(F.col("n") >= limit).withColumn("limit", F.lit(limit)).withColumn("seconds", F.lit(seconds)))
     out = parts[0]
     for part in parts[1:]:
@@ -58,27 +66,37 @@ def lockouts(failures: DataFrame, key: str = "user_id", minutes: int = config.LO
 
 
 def _limiter(limit: int, window_us: int, burst: int, burst_us: int):
-    """Sequential acceptance over rows sorted by key, chunk and time; state is bounded by the limit."""
+    """Sequential acceptance over rows sorted by key, chunk and time; state is bounded by the limit.
+
+    Python steps follow the accepted requests, not all of them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, deque()
+        current, accepted = None, deque(maxlen=max(limit, burst, 1))
         for batch in batches:
-            verdicts = []
-            for ip, chunk, ts, carry in zip(batch["ip"], batch["chunk"], batch["ts_us"], batch["carry"]):
-                if (ip, chunk) != current:
-                    current, accepted = (ip, chunk), deque(carry if carry is not None else ())
-                while accepted and accepted[0] <= ts - window_us:
-                    accepted.popleft()
-                recent = 0
-                for t in reversed(accepted):
-                    if t <= ts - burst_us:
-                        break
-                    recent += 1
-                passed = len(accepted) < limit and recent < burst
-                if passed:
-                    accepted.append(ts)
-                verdicts.append(passed)
-            yield batch[["request_id", "ip", "chunk", "ts_us"]].assign(accepted=verdicts)
+            ip, chunk, ts = (batch[c].to_numpy() for c in ("ip", "chunk", "ts_us"))
+            passed = np.zeros(len(batch), dtype=bool)
+            edges = np.flatnonzero((ip[1:] != ip[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+            for low, high in zip([0, *edges], [*edges, len(batch)]):
+                if low == high or limit < 1 or burst < 1:
+                    continue
+                if (ip[low], chunk[low]) != current:
+                    current = (ip[low], chunk[low])
+                    accepted.clear()
+                    carry = batch["carry"].iloc[low]
+                    accepted.extend(carry if carry is not None else ())
+                i = low
+                while i < high:
+                    # the first time at which both windows have room again; all before it is rejected at once
+                    ready = max(accepted[-limit] + window_us if len(accepted) >= limit else ts[i],
+                                accepted[-burst] + burst_us if len(accepted) >= burst else ts[i])
+                    if ts[i] < ready:
+                        i = low + int(np.searchsorted(ts[low:high], ready))
+                        continue
+                    passed[i] = True
+                    accepted.append(int(ts[i]))
+                    i += 1
+            yield batch[["request_id", "ip", "chunk", "ts_us"]].assign(accepted=passed)
 
     return run
 
