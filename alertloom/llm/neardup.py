@@ -3,16 +3,16 @@
 1. One pass over the texts gives each document a hash of its word sequence and a
    signature of the multiset of its k-word shingles (see ``bagminhash``).
 2. Documents of equal word sequence are copies; the smallest id stands for them.
-3. Signatures are cut into bands. In every bucket the member that shares most
-   bucket places is the hub, and all others are candidates for a link to it: a
-   star, not all pairs. Links are verified by the exact weighted Jaccard
+3. Signatures are cut into bands. The member of a bucket that shares most bucket
+   places is its hub; every document is compared with the best hub of its buckets:
+   one pair a document. Links are verified by the exact weighted Jaccard
    similarity of the whole texts; linked documents are one component.
-4. What stars cannot see is found exactly: in buckets whose members belong to
-   several components, members of different components are compared, first
-   against the closest member of each other component, then, where that failed,
-   against all of them. Members of a large bucket are dealt into blocks, so a
-   task holds two blocks and never a bucket. Pairs inside a component need no
-   comparison, as they cannot change the classes.
+4. What stars cannot see is found exactly: in every bucket whose members belong to
+   several components, members of different components are compared, each pair in
+   the first band that it shares. Both sides are dealt into blocks of BLOCK rows
+   with their texts, so a task holds two blocks and never a bucket, and no pair
+   leaves it but the verified links that join components. Pairs inside a
+   component need no comparison, as they cannot change the classes.
 
 Signatures only decide which pairs are looked at: a pair of similarity
 ``threshold`` misses every band with a probability below 1e-5 and has an
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import bagminhash as B
@@ -42,8 +42,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 SLACK = 0.14
-#: members of a bucket that is joined with itself; rows in one block of a larger one
-SMALL, BLOCK = 64, 512
+#: rows of a bucket in one block
+BLOCK = 256
 #: ids that may be broadcast to pick texts
 MAX_IDS = 1_000_000
 
@@ -77,7 +77,9 @@ def _band_rows(bands: int, rows_in_band: int):
             key = np.zeros((n, bands), dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
             for j in range(rows_in_band):
                 key = W.mix((key * np.uint64(0x9E3779B97F4A7C15)) ^ sig[:, :, j])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(n), bands))), pa.array(W.signed(key.ravel()))], names=["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(np.repeat(np.arange(n), bands))), pa.array(W.signed(key.ravel())), pa.array(np.tile(np.arange(bands, dtype=np.int32), n))],
+                names=["doc_id", "key", "band"])
     return run
 
 
@@ -92,17 +94,12 @@ def _near_rows(threshold: float):
     return run
 
 
-def _pair_bags(words: W.Words, k: int):
-    return B.bags(words, words.hashes(), k)
-
-
 def _verify_rows(k: int, threshold: float):
     """Pairs with both texts whose exact weighted Jaccard similarity reaches the threshold."""
     def run(batches):
         for batch in batches:
-            for rows, data, bounds in W.slices([batch], "text_a"):
-                bags = [_pair_bags(W.split(data, bounds, W.ALNUM, lower=True), k),
-                        _pair_bags(W.split(*W.text_bytes(W.column(rows, "text_b")), W.ALNUM, lower=True), k)]
+            for rows, _, _ in W.slices([batch], "text_a"):
+                bags = [B.bags(*_hashed(W.column(rows, c)), k) for c in ("text_a", "text_b")]
                 n = rows.num_rows
                 total = sum(np.bincount(r, weights=c, minlength=n) for r, _, c in bags)
                 row, key, count = (np.concatenate([bags[0][i], bags[1][i]]) for i in range(3))
@@ -116,23 +113,44 @@ def _verify_rows(k: int, threshold: float):
     return run
 
 
-def _block_rows(threshold: float):
-    """Cross-component pairs of one pair of blocks of a bucket that reach the estimate."""
+def _hashed(texts) -> tuple[W.Words, np.ndarray]:
+    words = W.split(*W.text_bytes(texts), W.ALNUM, lower=True)
+    return words, words.hashes()
+
+
+def _block_rows(k: int, threshold: float, rows_in_band: int):
+    """Verified links between components from one pair of blocks of a bucket."""
     def run(group: pa.Table) -> pa.Table:
-        doc, comp = group["doc_id"].to_numpy(), group["comp"].to_numpy(zero_copy_only=False)
+        doc, comp, side = (group[c].to_numpy() for c in ("doc_id", "comp", "side"))
+        band = group["band"][0].as_py()
         sig = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype=np.uint32).reshape(len(doc), -1)
-        side = group["side"].to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b, est = [], [], []
+        pairs: list[tuple[float, int, int]] = []
         for i in left:
-            like = (sig[right] == sig[i]).mean(axis=1)
-            good = (like >= threshold) & (comp[right] != comp[i])
-            a.append(np.full(good.sum(), doc[i]))
-            b.append(doc[right[good]])
-            est.append(like[good])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()),
-                         "estimate": pa.array(np.concatenate(est) if est else np.zeros(0), pa.float64())})
+            same = sig[right] == sig[i]
+            like = same.mean(axis=1)
+            near = np.flatnonzero((like >= threshold - SLACK) & (comp[right] != comp[i]))
+            first = same[near].reshape(len(near), -1, rows_in_band).all(axis=2).argmax(axis=1) == band if len(near) else near
+            pairs += [(float(like[j]), int(i), int(right[j])) for j in near[first]]
+        links = []
+        if pairs:
+            row, key, count = B.bags(*_hashed(group["text"].combine_chunks()), k)
+            bounds = np.searchsorted(row, np.arange(len(doc) + 1))
+            bag = [(key[a:b], count[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            root = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for _, i, j in sorted(pairs, reverse=True):
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and B.weighted_jaccard(*bag[i], *bag[j]) >= threshold:
+                    root[max(x, y)] = min(x, y)
+                    links.append((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
     return run
 
 
@@ -144,46 +162,46 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFra
     return both.mapInArrow(_near_rows(threshold), "a bigint, b bigint, estimate double").distinct()
 
 
-class _Links:
-    """Verification of candidate pairs of representatives."""
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the given ids (``id``, each once), without a shuffle of all texts while they are few."""
+    return texts.join(F.broadcast(ids) if is_small(ids, MAX_IDS) else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
-    def __init__(self, texts: DataFrame, sketch: DataFrame, k: int, threshold: float):
-        self.texts, self.sketch, self.k, self.threshold = texts, sketch, k, threshold
 
-    def verify(self, pairs: DataFrame, estimated: bool) -> DataFrame:
-        """``a, b, similarity`` of the distinct pairs at or over the threshold."""
-        if not estimated:
-            pairs = cut_lineage(_estimated(pairs, self.sketch, self.threshold - SLACK).select("a", "b"), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        picked = F.broadcast(ids) if is_small(ids, MAX_IDS) else ids
-        wanted = self.texts.join(picked, F.col("doc_id") == F.col("id"), "left_semi")
-        whole = (pairs.join(wanted.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-                 .join(wanted.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b"))
-        return cut_lineage(whole.mapInArrow(_verify_rows(self.k, self.threshold), "a bigint, b bigint, similarity double"), "links")
+def _verified(pairs: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``a, b`` of the pairs at or over the threshold."""
+    pairs = cut_lineage(_estimated(pairs, sketch, threshold - SLACK).select("a", "b"), "pairs")
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    wanted = _texts_of(texts, ids)
+    whole = (pairs.join(wanted.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
+             .join(wanted.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b"))
+    return cut_lineage(whole.mapInArrow(_verify_rows(k, threshold), "a bigint, b bigint, similarity double").select("a", "b").distinct(), "links")
 
 
-def _cross_pairs(members: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, estimate``: pairs of a bucket in different components, over the estimate.
+def _cross_links(members: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``a, b``: verified links between components that share a bucket.
 
-    members: ``key, doc_id, comp`` of buckets with several components. Only rows
-    outside the bucket's most frequent component are left sides. Buckets of up
-    to SMALL members are joined with themselves; both sides of larger ones are
-    dealt into blocks of about BLOCK rows, and each pair of blocks is a group.
+    members: ``key, band, doc_id, comp`` of buckets with several components. Only
+    rows outside the bucket's most frequent component are left sides.
     """
     sizes = members.groupBy("key", "comp").count()
-    top = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n")).select("key", F.col("m.comp").alias("top"), "n")
-    rows = members.join(top, "key")
-    low = rows.where(F.col("n") <= SMALL)
-    near = (low.where("comp <> top").select("key", F.col("doc_id").alias("l"), F.col("comp").alias("lc"))
-            .join(low.select("key", F.col("doc_id").alias("r"), F.col("comp").alias("rc")), "key").where("lc <> rc")
-            .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct())
-    big = (rows.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-           .join(sketch.select("doc_id", "signature"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = big.where("comp <> top").select("key", "doc_id", "comp", "signature", F.lit(0).alias("side"), F.col("block").cast("int").alias("i"), F.explode(every).alias("j"))
-    right = big.select("key", "doc_id", "comp", "signature", F.lit(1).alias("side"), F.explode(every).alias("i"), F.col("block").cast("int").alias("j"))
-    found = (left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_block_rows(threshold), "a bigint, b bigint, estimate double"))
-    return _estimated(near, sketch, threshold).unionByName(found.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))).distinct()
+    top = cut_lineage(sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n")).select(
+        "key", F.col("m.comp").alias("top"), (F.col("n") - F.col("m.count")).alias("n_left"), "n"), "tops")
+    ids = cut_lineage(members.select(F.col("doc_id").alias("id")).distinct(), "ids")
+
+    def blocks(n):
+        return F.ceil(F.col(n) / BLOCK).cast("int")
+
+    def slot(n):
+        return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    rows = members.join(top, "key").select("key", "band", "doc_id", "comp", "top", blocks("n_left").alias("lefts"), blocks("n").alias("rights"))
+    sides = rows.where("comp <> top").select("key", "band", "doc_id", "comp", F.lit(0).alias("side"), slot("lefts").alias("i"), every("rights").alias("j")).unionByName(
+        rows.select("key", "band", "doc_id", "comp", F.lit(1).alias("side"), every("lefts").alias("i"), slot("rights").alias("j")))
+    loads = _texts_of(texts, ids).join(sketch, "doc_id")
+    return sides.join(loads, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_rows(k, threshold, ROWS), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +209,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
 
     ``class_id`` is the smallest id of the connected component of documents at or
     over the threshold, ``copy_of`` the smallest id with the same words, and
-    ``n_links`` the number of verified links of that representative.
+    ``n_links`` the number of verified links of that representative; pairs that
+    other links had joined before are not verified and not counted.
     """
     rows = bounded(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut_lineage(sketches(rows, k), "sketches")
@@ -199,32 +218,23 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     first = full.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("copy_of"))
     copies = cut_lineage(full.join(first, ["h1", "h2", "n_words"]).select("doc_id", "copy_of").distinct(), "copies")
     reps = full.join(copies.where("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    places = cut_lineage(reps.mapInArrow(_band_rows(BANDS, ROWS), "doc_id bigint, key bigint"), "bands")
-    shared = places.groupBy("key").count().where("count > 1")
-    members = cut_lineage(places.join(shared, "key"), "buckets")  # key, doc_id, count
-
-    degree = members.groupBy("doc_id").agg(F.sum("count").alias("degree"))
-    ranked = members.join(degree, "doc_id")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("h")).select("key", (-F.col("h.low")).alias("hub"))
-    star = (members.join(hubs, "key").where("doc_id <> hub")
-            .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct())
-    star = cut_lineage(star, "stars")
-    links = _Links(rows, reps.select("doc_id", "signature"), k, threshold)
-    found = links.verify(star, False)
-    tried, root = star, components(found)
-    for every in (False, True):
-        known = members.select("key", "doc_id").join(root, members["doc_id"] == root["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        cross = _cross_pairs(known.join(mixed, "key"), reps, threshold - SLACK).join(tried, ["a", "b"], "left_anti")
-        if not every:  # the closest member of each other component
-            cross = (cross.join(root.select(F.col("node").alias("b"), F.col("root").alias("comp_b")), "b", "left")
-                     .withColumn("comp_b", F.coalesce("comp_b", "b"))
-                     .withColumn("place", F.row_number().over(Window.partitionBy("a", "comp_b").orderBy(F.desc("estimate"), "b"))).where("place = 1"))
-        cross = cut_lineage(cross.select("a", "b"), "cross")
-        if cross.isEmpty():
-            break
-        found = found.unionByName(links.verify(cross, True))
-        tried, root = tried.unionByName(cross), components(found)
+    reps = cut_lineage(reps.select("doc_id", "signature"), "representatives")
+    places = cut_lineage(reps.mapInArrow(_band_rows(BANDS, ROWS), "doc_id bigint, key bigint, band int"), "bands")
+    shared = cut_lineage(places.groupBy("key").count().where("count > 1"), "shared")
+    members = cut_lineage(places.join(shared, "key").distinct(), "buckets")  # doc_id, key, band, count
+    degree = cut_lineage(members.groupBy("doc_id").agg(F.sum("count").alias("degree")), "degrees")
+    hubs = cut_lineage(members.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("h")), "hubs")
+    best = (members.join(hubs, "key").where(F.col("doc_id") != -F.col("h.low")).groupBy("doc_id").agg(F.max("h").alias("h"))
+            .select("doc_id", (-F.col("h.low")).alias("hub")))
+    star = best.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    found = _verified(star, rows, reps, k, threshold)
+    root = components(found)
+    known = cut_lineage(members.join(root, members["doc_id"] == root["node"], "left").select("key", "band", "doc_id", F.coalesce("root", "doc_id").alias("comp")), "known")
+    mixed = cut_lineage(known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "mixed")
+    if not mixed.isEmpty():
+        cross = _cross_links(cut_lineage(known.join(mixed, "key"), "mixed"), rows, reps, k, threshold)
+        found = found.unionByName(cut_lineage(cross, "links")).distinct()
+        root = components(found)
     ends = found.select(F.col("a").alias("copy_of")).unionByName(found.select(F.col("b").alias("copy_of"))).groupBy("copy_of").agg(F.count("*").alias("n_links"))
     classes = (copies.join(root.withColumnsRenamed({"node": "copy_of", "root": "class_id"}), "copy_of", "left").join(ends, "copy_of", "left")
                .select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))

@@ -111,13 +111,12 @@ def families():
     return out
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_classes_equal_brute_force(table, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+@pytest.mark.parametrize("block", [256, 7])
+def test_classes_equal_brute_force(table, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     want = classes(families())
     assert dict(rows(neardup.near_duplicates(table(families())), "doc_id", "class_id")) == want
-    if small == 64:
+    if block == 256:
         assert {r[0] for r in rows(neardup.keep_first(table(families() + families()[3:5])), "doc_id")} == set(want.values())
 
 
