@@ -10,6 +10,9 @@ equals. A merge taken from the agenda is skipped when a hash keyed by the seed,
 the unit, the unit's variant and the merge's place is below ``dropout``. What is
 left is looked up, or spelt in byte pieces where it is no piece.
 
+Units of ordinary length are encoded together: in each round every unit makes the
+merge that its agenda would give it, as array operations over all of them.
+
 The variant of a unit is a hash of the seed, the document and the place of the
 unit, modulo ``variants``: equal words get different segmentations, and a worker
 encodes each (word, variant) once. With ``dropout=0`` the result is that of the
@@ -37,6 +40,8 @@ from alertloom.llm.batches import bounded
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 8
 MARK = "▁"
+#: characters of a unit up to which units are encoded together, round by round
+LONGEST = 48
 #: units a worker remembers before it starts anew
 REMEMBERED = 800_000
 _M64 = (1 << 64) - 1
@@ -68,6 +73,116 @@ class Vocabulary:
         self.data = np.frombuffer(b"".join(content), dtype=np.uint8)
         self.size = np.array([len(c) for c in content], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
+        self._pairs(len(content))
+
+    def _pairs(self, n: int) -> None:
+        """Every way to make a piece of two others, as sorted keys left * span + right.
+
+        Characters of pieces that are no piece themselves get numbers after the pieces.
+        """
+        number = {p: i for p, (i, _) in self.pieces.items()}
+        for c in sorted({c for p in self.pieces for c in p} - number.keys()):
+            number[c] = n + len(number) - len(self.pieces)
+        self.span = n + len(number) - len(self.pieces) + 1
+        found = sorted((number[p[:k]] * self.span + number[p[k:]], i, score) for p, (i, score) in self.pieces.items()
+                       for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.pair_key = np.array([f[0] for f in found], dtype=np.int64)
+        self.pair_id = np.array([f[1] for f in found], dtype=np.int64)
+        self.pair_score = np.array([f[2] for f in found], dtype=np.float64)
+        single = sorted((ord(p), i) for p, i in number.items() if len(p) == 1 and p != MARK) + [(ord(" "), number.get(MARK, -1))]
+        self.char_code = np.array([c for c, _ in sorted(single)], dtype=np.int64)
+        self.char_id = np.array([i for _, i in sorted(single)], dtype=np.int64)
+        self.n_pieces = n
+
+    def encode_units(self, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids by unit) of many units given as bytes; in each round every unit makes its best merge.
+
+        Units of more than LONGEST characters, and those with characters that
+        take several byte pieces, are encoded one by one.
+        """
+        n = len(bounds) - 1
+        heads = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][bounds]  # characters before each unit
+        code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        size = np.diff(heads)
+        known = np.minimum(np.searchsorted(self.char_code, code), len(self.char_code) - 1)
+        ident = np.where(self.char_code[known] == code, self.char_id[known], -1)
+        unit = np.repeat(np.arange(n), size)
+        alone = size > LONGEST
+        alone[unit[((ident < 0) | (ident >= self.n_pieces)) & (code >= 0x80)]] = True
+        final, alive = ident.copy(), np.ones(len(code), dtype=bool)
+        self._merge(ident, unit, np.arange(len(code)) - heads[:-1][unit], keys, alone, bar, final, alive)
+        single = (final < 0) & (code < 0x80)
+        final[single] = np.array(self.bytes)[code[single]]
+        counts = np.bincount(unit[alive], minlength=n)
+        if not alone.any():
+            return final[alive].astype(np.int32), counts
+        parts = np.split(final[alive].astype(np.int32), np.cumsum(counts)[:-1])
+        for u in np.flatnonzero(alone):
+            parts[u] = np.array(self.encode_unit(data[bounds[u]: bounds[u + 1]].tobytes().decode("utf-8"), int(keys[u]), bar), dtype=np.int32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+
+    def _merge(self, ident, unit, place, keys, alone, bar: int, final, alive) -> None:
+        """Merges the symbols of all units that are not ``alone``; fills the last id and liveness of each symbol."""
+        keep = ~alone[unit]
+        origin = np.flatnonzero(keep)
+        ident, unit, place = ident[keep], unit[keep], place[keep]
+        length = np.ones(len(ident), dtype=np.int64)
+        live = np.ones(len(ident), dtype=bool)
+        score, made = np.full(len(ident), -np.inf), np.full(len(ident), -1)
+        after = before = start = None
+
+        def frame() -> None:
+            nonlocal after, before, start
+            edge = np.r_[True, unit[1:] != unit[:-1]]
+            start = np.flatnonzero(edge)
+            after, before = np.arange(1, len(unit) + 1), np.arange(-1, len(unit) - 1)
+            before[start] = -1
+            after[np.r_[start[1:], len(unit)] - 1] = -1
+
+        def offer(i: np.ndarray) -> None:
+            """Scores of the merges of i with what follows."""
+            j = after[i]
+            score[i] = -np.inf
+            good = (j >= 0) & (ident[i] >= 0) & (ident[j] >= 0)
+            i, j = i[good], j[good]
+            pair = ident[i] * self.span + ident[j]
+            at = np.minimum(np.searchsorted(self.pair_key, pair), len(self.pair_key) - 1)
+            good = self.pair_key[at] == pair
+            i, j, at = i[good], j[good], at[good]
+            if bar:
+                good = _keyed_all(keys[unit[i]], place[i], place[j], length[j]) >= bar
+                i, at = i[good], at[good]
+            score[i], made[i] = self.pair_score[at], self.pair_id[at]
+
+        if not len(ident):
+            return
+        frame()
+        offer(np.arange(len(ident)))
+        while True:
+            best = np.maximum.reduceat(score, start)
+            active = np.isfinite(best)
+            if not active.any():
+                break
+            if active.mean() < 0.7:  # go on with the units that still merge, without dead symbols
+                final[origin], alive[origin] = ident, live
+                keep = live & np.repeat(active, np.diff(np.r_[start, len(unit)]))
+                origin, ident, unit, place, length, score, made = (x[keep] for x in (origin, ident, unit, place, length, score, made))
+                live = np.ones(len(ident), dtype=bool)
+                frame()
+                best = np.maximum.reduceat(score, start)
+            top = np.flatnonzero((score == np.repeat(best, np.diff(np.r_[start, len(unit)]))) & np.isfinite(score))
+            i = top[np.r_[True, unit[top][1:] != unit[top][:-1]]]  # the leftmost of a unit
+            j = after[i]
+            ident[i] = made[i]
+            length[i] += length[j]
+            live[j] = False
+            score[j] = -np.inf
+            after[i] = after[j]
+            follows = after[i] >= 0
+            before[after[i][follows]] = i[follows]
+            offer(i)
+            offer(before[i][before[i] >= 0])
+        final[origin], alive[origin] = ident, live
 
     def encode_unit(self, unit: str, key: int, bar: int) -> list[int]:
         """Ids of one unit; merges whose hash is below ``bar`` (of 2^32) are skipped."""
@@ -120,6 +235,13 @@ def _keyed(key: int, i: int, j: int, size: int) -> int:
     return (x ^ (x >> 31)) & 0xFFFFFFFF
 
 
+def _keyed_all(key: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``_keyed`` of arrays."""
+    i, j, size = (x.astype(np.uint64) for x in (i, j, size))
+    x = key ^ (i * np.uint64(0x9E3779B97F4A7C15)) ^ (j * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (size * np.uint64(0x165667B19E3779F9))
+    return (W.mix(x) & np.uint64(0xFFFFFFFF)).astype(np.int64) if len(x) else np.zeros(0, dtype=np.int64)
+
+
 @lru_cache(maxsize=1)
 def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
@@ -156,13 +278,13 @@ class Encoder:
         self.pool = np.zeros(1 << 16, dtype=np.int32)
         self.first, self.used = [0], 0
 
-    def _add(self, key: int, ids: list[int]) -> None:
+    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         end = self.used + len(ids)
         while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used: end] = ids
-        self.place[key] = len(self.first) - 1
-        self.first.append(end)
+        self.place.update(zip(keys.tolist(), range(len(self.first) - 1, len(self.first) - 1 + len(keys)), strict=True))
+        self.first.extend((self.used + np.cumsum(counts)).tolist())
         self.used = end
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, doc_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +301,12 @@ class Encoder:
         known, example, at = np.unique(key, return_index=True, return_inverse=True)
         if len(self.place) > REMEMBERED:
             self._clear()
-        for k, i in zip(known.tolist(), example.tolist(), strict=True):
-            if k not in self.place:
-                self._add(k, self.vocabulary.encode_unit(units.text(i), k, self.bar))
+        new = np.array([k not in self.place for k in known.tolist()], dtype=bool)
+        if new.any():
+            first, last = units.start[example[new]], units.end[example[new]]
+            ends = np.cumsum(last - first)
+            raw = units.data[np.repeat(first - (ends - (last - first)), last - first) + np.arange(ends[-1])]
+            self._add(known[new], *self.vocabulary.encode_units(raw, np.r_[0, ends], known[new], self.bar))
         place = np.array([self.place[k] for k in known.tolist()], dtype=np.int64)
         first = np.array(self.first, dtype=np.int64)
         low, size = first[place][at], (first[place + 1] - first[place])[at]
