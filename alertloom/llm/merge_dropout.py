@@ -43,7 +43,7 @@ MARK = "▁"
 #: characters of a unit up to which units are encoded together, round by round
 LONGEST = 48
 #: units a worker remembers before it starts anew
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 _M64 = (1 << 64) - 1
 
 
@@ -276,15 +276,18 @@ class Encoder:
     def _clear(self) -> None:
         self.place: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.first, self.used = [0], 0
+        self.first, self.used = np.zeros(1 << 16, dtype=np.int64), 0
 
     def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         end = self.used + len(ids)
         while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used: end] = ids
-        self.place.update(zip(keys.tolist(), range(len(self.first) - 1, len(self.first) - 1 + len(keys)), strict=True))
-        self.first.extend((self.used + np.cumsum(counts)).tolist())
+        low = len(self.place)
+        while low + len(keys) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.place.update(zip(keys.tolist(), range(low, low + len(keys)), strict=True))
+        self.first[low + 1: low + 1 + len(keys)] = self.used + np.cumsum(counts)
         self.used = end
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, doc_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,8 +311,7 @@ class Encoder:
             raw = units.data[np.repeat(first - (ends - (last - first)), last - first) + np.arange(ends[-1])]
             self._add(known[new], *self.vocabulary.encode_units(raw, np.r_[0, ends], known[new], self.bar))
         place = np.array([self.place[k] for k in known.tolist()], dtype=np.int64)
-        first = np.array(self.first, dtype=np.int64)
-        low, size = first[place][at], (first[place + 1] - first[place])[at]
+        low, size = self.first[place][at], (self.first[place + 1] - self.first[place])[at]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(low - (ends - size), size) + np.arange(ends[-1])]
         return ids, np.r_[0, ends][np.searchsorted(units.row, np.arange(n + 1))]
