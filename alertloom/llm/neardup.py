@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     rows = bounded(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut_lineage(sketches(rows, k), "sketches")
     full = sketch.where("n_words > 0 and doc_id is not null")
-    first = full.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("copy_of"))
+    first = cut_lineage(full.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("copy_of")), "firsts")  # so that a hot group can be split
     copies = cut_lineage(full.join(first, ["h1", "h2", "n_words"]).select("doc_id", "copy_of").distinct(), "copies")
     reps = full.join(copies.where("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     reps = cut_lineage(reps.select("doc_id", "signature"), "representatives")

@@ -215,12 +215,12 @@ def factors(docs: DataFrame, n: int = N_WORDS, anchor: int = ANCHOR, doc_id: str
     index = cut_lineage(rows.where("doc_id is not null").mapInArrow(_index_rows(n, anchor), "doc_id bigint, n_words bigint, h1 bigint, h2 bigint, anchors array<bigint>"), "blocks")
     own = index.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("own"))  # one text of an id takes part
     long = index.join(own, "doc_id").where((F.col("n_words") >= n) & (F.col("own.h1") == F.col("h1")) & (F.col("own.h2") == F.col("h2"))).dropDuplicates(["doc_id"]).drop("own")
-    first = long.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("ref_doc"))
+    first = cut_lineage(long.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("ref_doc")), "firsts")  # so that a hot group can be split
     copies = cut_lineage(long.drop("anchors").join(first, ["h1", "h2", "n_words"]).select("doc_id", "h1", "h2", "n_words", "ref_doc"), "copies")
     gone = copies.where("doc_id <> ref_doc")
     reps = long.join(copies.where("doc_id = ref_doc").select("doc_id"), "doc_id", "left_semi")
     blocks = reps.select("doc_id", F.explode("anchors").alias("anchor"))
-    twice = blocks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    twice = cut_lineage(blocks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     found = (blocks.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
              .join(copies.select("doc_id", "h1", "h2"), "doc_id"))
     found = cut_lineage(found, "repeated")
