@@ -43,7 +43,7 @@ MARK = "▁"
 #: characters of a unit up to which units are encoded together, round by round
 LONGEST = 48
 #: units a worker remembers before it starts anew
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _M64 = (1 << 64) - 1
 
 
