@@ -2,13 +2,13 @@
 
 Base patterns find e-mail, ip, card and phone spans. Each found value is a
 protected entity. The words within REACH words of an entity are its context;
-over the whole corpus Spark counts in how many different contexts of an entity a
-term occurs, and in how many documents the term occurs at all. A term discloses
-an entity when it names it often (``share`` = P(entity | term)) and much more
-often than chance (``bits`` = log2 P(entity | term) / P(entity)). Terms over both
+over the whole corpus Spark counts in how many documents a term stands in the
+context of an entity, and in how many documents the term occurs at all. A term
+discloses an entity when it names it often (``share`` = P(entity | term)) and much
+more often than chance (``bits`` = log2 P(entity | term) / P(entity)). Terms over both
 thresholds are spans of kind ``term``: from ``remove_share`` on they are removed,
-below it generalised to a class word. Equal contexts, as copies have them, count
-once; the number of documents of a term counts all.
+below it generalised to a class word. Documents of equal text are one document in
+every count; a passage that stands in different texts counts in each of them.
 
 Terms are words with A-Z lower-cased, compared by 64-bit hash. The set of
 disclosing terms is broadcast when its size is checked to lie below
@@ -112,10 +112,10 @@ def _byte_offsets(text: str, spans) -> list[tuple[int, int]]:
 
 
 def _context_rows(reach: int):
-    """(term, entity, context hash) around every protected value."""
+    """(term, entity) once for every text in which the term is near the entity, and (null, entity) once for every text of the entity."""
     def run(batches):
         for rows, data, bounds in W.slices(batches):
-            terms, entities, contexts = [], [], []
+            terms, entities = [], []
             texts = W.column(rows, "text").to_pylist()
             for r, text in enumerate(texts):
                 spans = base_spans(text) if text else []
@@ -125,23 +125,18 @@ def _context_rows(reach: int):
                 hashes = words.hashes()
                 where = _byte_offsets(text, spans)
                 free = np.ones(len(hashes), dtype=bool)
+                around: dict[int, list[np.ndarray]] = {}
                 for a, b in where:
                     free[np.searchsorted(words.end, a, side="right"): np.searchsorted(words.start, b)] = False
                 for (kind, a, b), (x, y) in zip(spans, where, strict=True):
                     low, high = np.searchsorted(words.end, x, side="right"), np.searchsorted(words.start, y)
                     near = np.r_[max(0, low - reach): low, high: min(len(hashes), high + reach)].astype(np.int64)
-                    near = near[free[near]]
-                    if not len(near):
-                        continue
-                    context = W.row_hashes(hashes[near], np.array([0, len(near)]))[0]
-                    found = np.unique(hashes[near])
-                    terms.append(found)
-                    entities += [_entity(kind, text[a:b])] * len(found)
-                    contexts.append(np.full(len(found), context))
-            none = np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(W.signed(np.concatenate([none, *terms]))), pa.array(entities, pa.int64()),
-                 pa.array(W.signed(np.concatenate([none, *contexts])))], names=["term", "entity", "context"])
+                    around.setdefault(_entity(kind, text[a:b]), []).append(hashes[near[free[near]]])
+                for entity, found in around.items():
+                    near = W.signed(np.unique(np.concatenate(found))).tolist()
+                    terms += [*near, None]
+                    entities += [entity] * (len(near) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(entities, pa.int64())], names=["term", "entity"])
     return run
 
 
@@ -158,16 +153,24 @@ def _count_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(W.signed(known)), pa.array(count.astype(np.int64))], names=["term", "n"])
 
 
+def _different(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(each text once, their number). Only texts whose hash occurs more than once are moved, to be compared as text."""
+    keyed = texts.withColumn("_hash", F.xxhash64("text"))
+    sizes = cut_lineage(keyed.groupBy("_hash").agg(F.count("*").alias("n")), "text-hashes")
+    again = sizes.where("n > 1")
+    copies = keyed.join(again, "_hash", "left_semi").select("text").distinct()
+    return keyed.join(again, "_hash", "left_anti").select("text").unionByName(copies), sizes.count()
+
+
 def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE,
                      remove_share: float = REMOVE_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """``term`` (hash), ``level`` (1 generalise, 2 remove), ``share``, ``bits`` of the terms over the thresholds."""
-    texts = bounded(docs).select(F.col(text).alias("text")).where("text is not null")
-    near = cut_lineage(texts.mapInArrow(_context_rows(reach), "term bigint, entity bigint, context bigint"), "contexts")
-    pairs = near.groupBy("term", "entity").agg(F.count_distinct("context").alias("n_both"))
-    entities = near.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
+    texts, n_docs = _different(bounded(docs).select(F.col(text).alias("text")).where("text is not null"))
+    near = cut_lineage(texts.mapInArrow(_context_rows(reach), "term bigint, entity bigint").groupBy("term", "entity").agg(F.count("*").alias("n")), "contexts")
+    pairs = near.where("term is not null").withColumnRenamed("n", "n_both")
+    entities = near.where("term is null").select("entity", F.col("n").alias("n_entity"))
     corpus = texts.mapInArrow(_count_rows, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    n_docs = texts.count()
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
+    share = F.col("n_both") / F.col("n_term")
     judged = (pairs.where(F.col("n_both") >= min_support).join(entities, "entity").join(corpus, "term")
               .withColumn("share", share).withColumn("bits", F.log2(share / F.least(F.lit(1.0), F.col("n_entity") / F.lit(float(max(n_docs, 1)))))))
     return (judged.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).groupBy("term")
