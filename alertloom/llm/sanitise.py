@@ -4,10 +4,13 @@ Base patterns find e-mail, ip, card and phone spans. Each found value is a
 protected entity. The words within REACH words of an entity are its context;
 over the whole corpus Spark counts in how many documents a term stands in the
 context of an entity, and in how many documents the term occurs at all. A term
-discloses an entity when it names it often (``share`` = P(entity | term)) and much
-more often than chance (``bits`` = log2 P(entity | term) / P(entity)). Terms over both
-thresholds are spans of kind ``term``: from ``remove_share`` on they are removed,
-below it generalised to a class word. Documents of equal text are one document in
+discloses an entity when it names it often (``share`` = P(entity | term)) and more
+often than chance can explain: the statistic G2 of the four counts (both, term
+only, entity only, neither) reaches ``min_g2``, and the share is above P(entity).
+An exclusive term reaches that for frequent entities and in small tables too.
+Terms over both thresholds are spans of kind ``term``: from ``remove_share`` on
+they are removed, below it generalised to a class word. ``bits`` = log2 P(entity |
+term) / P(entity) is given with them and judged only if ``min_bits`` is set. Documents of equal text are one document in
 every count; a passage that stands in different texts counts in each of them.
 
 Terms are words with A-Z lower-cased, compared by 64-bit hash. The set of
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
@@ -39,7 +42,8 @@ LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 REACH = 8
 MIN_SUPPORT = 3
 MIN_SHARE, REMOVE_SHARE = 0.5, 0.8
-MIN_BITS = 6.0
+#: chi-squared with one degree of freedom, p = 0.001
+MIN_G2 = 10.83
 MAX_TERMS = 500_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,19 +166,33 @@ def _different(texts: DataFrame) -> tuple[DataFrame, int]:
     return keyed.join(again, "_hash", "left_anti").select("text").unionByName(copies), sizes.count()
 
 
+def _g2(both, term, entity, n) -> Column:
+    """The log-likelihood ratio of a term and an entity being independent, from numbers of documents."""
+    def part(seen, row, column):
+        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    return 2 * (part(both, term, entity) + part(term - both, term, n - entity) + part(entity - both, n - term, entity)
+                + part(n - term - entity + both, n - term, n - entity))
+
+
 def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE,
-                     remove_share: float = REMOVE_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """``term`` (hash), ``level`` (1 generalise, 2 remove), ``share``, ``bits`` of the terms over the thresholds."""
+                     remove_share: float = REMOVE_SHARE, min_bits: float | None = None, min_g2: float = MIN_G2) -> DataFrame:
+    """``term`` (hash), ``level`` (1 generalise, 2 remove), ``share``, ``bits``, ``g2`` of the terms over the thresholds."""
     texts, n_docs = _different(bounded(docs).select(F.col(text).alias("text")).where("text is not null"))
     near = cut_lineage(texts.mapInArrow(_context_rows(reach), "term bigint, entity bigint").groupBy("term", "entity").agg(F.count("*").alias("n")), "contexts")
     pairs = near.where("term is not null").withColumnRenamed("n", "n_both")
     entities = near.where("term is null").select("entity", F.col("n").alias("n_entity"))
     corpus = texts.mapInArrow(_count_rows, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    share = F.col("n_both") / F.col("n_term")
+    share, n = F.col("n_both") / F.col("n_term"), F.lit(float(max(n_docs, 1)))
+    chance = F.col("n_entity") / n
     judged = (pairs.where(F.col("n_both") >= min_support).join(entities, "entity").join(corpus, "term")
-              .withColumn("share", share).withColumn("bits", F.log2(share / F.least(F.lit(1.0), F.col("n_entity") / F.lit(float(max(n_docs, 1)))))))
-    return (judged.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).groupBy("term")
-            .agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
+              .withColumn("share", share).withColumn("bits", F.log2(share / chance))
+              .withColumn("g2", _g2(*(F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity")), n)))
+    known = (F.col("share") > chance) & (F.col("g2") >= min_g2)
+    if min_bits is not None:
+        known &= F.col("bits") >= min_bits
+    return (judged.where((F.col("share") >= min_share) & known).groupBy("term")
+            .agg(F.max("share").alias("share"), F.max("bits").alias("bits"), F.max("g2").alias("g2"))
             .withColumn("level", F.when(F.col("share") >= remove_share, 2).otherwise(1)))
 
 

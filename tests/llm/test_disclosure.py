@@ -37,3 +37,13 @@ def test_copies_count_once_on_both_sides(spark):
     assert found[key("zorblat")]["share"] == 1.0
     same = [*[some[0]] * 9, *[prose(rng, 30) for _ in range(1500)]]
     assert sanitise.disclosing_terms(table(spark, same)).count() == 0  # nine copies are one document
+
+
+def test_frequent_entities_and_small_tables(spark):
+    rng = random.Random(3)
+    hot = [f"{prose(rng, 12)} ask Helpdeskia at help@x.org {prose(rng, 12)}" for _ in range(60)]
+    texts = hot + [f"{prose(rng, 20)} ask at once {prose(rng, 10)}" for _ in range(120)]
+    found = {r["term"] for r in sanitise.disclosing_terms(table(spark, texts)).collect()}
+    assert key("helpdeskia") in found and key("ask") not in found and key("at") not in found
+    small = [f"{prose(rng, 12)} Zorblat wrote mia@x.org {prose(rng, 12)}" for _ in range(4)] + [prose(rng, 30) for _ in range(20)]
+    assert key("zorblat") in {r["term"] for r in sanitise.disclosing_terms(table(spark, small)).collect()}
