@@ -7,15 +7,20 @@ what follows up to the next one: no piece crosses such a border, so units are
 encoded one by one. The symbols of a unit start as single characters; an agenda
 holds every adjacent pair that is a piece, best score first, leftmost first among
 equals. A merge taken from the agenda is skipped when a hash keyed by the seed,
-the unit, the unit's variant and the merge's place is below ``dropout``. What is
+the document, the unit and its place in the text, and the merge's place in the
+unit is below ``dropout``: every occurrence of a word is drawn for itself. What is
 left is looked up, or spelt in byte pieces where it is no piece.
 
 Units of ordinary length are encoded together: in each round every unit makes the
 merge that its agenda would give it, as array operations over all of them.
 
-The variant of a unit is a hash of the seed, the document and the place of the
-unit, modulo ``variants``: equal words get different segmentations, and a worker
-encodes each (word, variant) once. With ``dropout=0`` the result is that of the
+A segmentation depends on nothing but the unit and the merges that were skipped.
+A worker therefore keeps, by unit and skipped merges, the ids and the merges made;
+an occurrence whose hashes skip none of these has these ids, and else goes on from
+the first merge that it skips. What is kept never limits what can be drawn: an
+occurrence of more than DEPTH skips, and one of a unit of more than SHORT
+characters that skips any, is encoded for itself. ``variants`` bounds the number of
+draws of a unit, and is unbounded by default. With ``dropout=0`` the result is that of the
 plain encoder. Without a seed change the result never changes.
 
 Decoding gives back every text exactly: literal space marks in a text are spelt
@@ -38,11 +43,13 @@ from alertloom.llm import words as W
 from alertloom.llm.batches import bounded
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 1, 8
+DROPOUT, SEED, VARIANTS = 0.1, 1, None
 MARK = "▁"
 #: characters of a unit up to which units are encoded together, round by round
 LONGEST = 48
-#: units a worker remembers before it starts anew
+#: skipped merges, and bytes of a unit, up to which segmentations are kept
+DEPTH, SHORT = 3, 20
+#: segmentations a worker remembers before it starts anew
 REMEMBERED = 600_000
 _M64 = (1 << 64) - 1
 
@@ -94,8 +101,10 @@ class Vocabulary:
         self.char_id = np.array([i for _, i in sorted(single)], dtype=np.int64)
         self.n_pieces = n
 
-    def encode_units(self, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids by unit) of many units given as bytes; in each round every unit makes its best merge.
+    def encode_units(self, data: np.ndarray, bounds: np.ndarray, skips: "Skips") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids by unit, codes of the merges made, number of them by unit) of many units given as bytes.
+
+        In each round every unit makes its best merge.
 
         Units of more than LONGEST characters, and those with characters that
         take several byte pieces, are encoded one by one.
@@ -110,19 +119,28 @@ class Vocabulary:
         alone = size > LONGEST
         alone[unit[((ident < 0) | (ident >= self.n_pieces)) & (code >= 0x80)]] = True
         final, alive = ident.copy(), np.ones(len(code), dtype=bool)
-        self._merge(ident, unit, np.arange(len(code)) - heads[:-1][unit], keys, alone, bar, final, alive)
+        made_unit, made_code = self._merge(ident, unit, np.arange(len(code)) - heads[:-1][unit], skips, alone, final, alive)
+        order = np.argsort(made_unit, kind="stable")
+        codes, n_codes = made_code[order], np.bincount(made_unit, minlength=n)
         single = (final < 0) & (code < 0x80)
         final[single] = np.array(self.bytes)[code[single]]
         counts = np.bincount(unit[alive], minlength=n)
         if not alone.any():
-            return final[alive].astype(np.int32), counts
+            return final[alive].astype(np.int32), counts, codes, n_codes
         parts = np.split(final[alive].astype(np.int32), np.cumsum(counts)[:-1])
+        taken = np.split(codes, np.cumsum(n_codes)[:-1])
         for u in np.flatnonzero(alone):
-            parts[u] = np.array(self.encode_unit(data[bounds[u]: bounds[u + 1]].tobytes().decode("utf-8"), int(keys[u]), bar), dtype=np.int32)
-        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+            ids, steps = self.encode_unit(data[bounds[u]: bounds[u + 1]].tobytes().decode("utf-8"), skips.of(int(u)))
+            parts[u], taken[u] = np.array(ids, dtype=np.int32), np.array(steps, dtype=np.uint64)
+        return (np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64),
+                np.concatenate(taken), np.array([len(x) for x in taken], dtype=np.int64))
+
+    def _merge(self, ident, unit, place, skips, alone, final, alive) -> tuple[np.ndarray, np.ndarray]:
+        """Merges the symbols of all units that are not ``alone``; fills the last id and liveness of each symbol.
 
-    def _merge(self, ident, unit, place, keys, alone, bar: int, final, alive) -> None:
-        """Merges the symbols of all units that are not ``alone``; fills the last id and liveness of each symbol."""
+        Gives the unit and code of every merge made, in order within a unit.
+        """
+        made_unit, made_code = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         keep = ~alone[unit]
         origin = np.flatnonzero(keep)
         ident, unit, place = ident[keep], unit[keep], place[keep]
@@ -149,13 +167,12 @@ class Vocabulary:
             at = np.minimum(np.searchsorted(self.pair_key, pair), len(self.pair_key) - 1)
             good = self.pair_key[at] == pair
             i, j, at = i[good], j[good], at[good]
-            if bar:
-                good = _keyed_all(keys[unit[i]], place[i], place[j], length[j]) >= bar
-                i, at = i[good], at[good]
+            good = ~skips.among(unit[i], _codes(place[i], place[j], length[j]))
+            i, at = i[good], at[good]
             score[i], made[i] = self.pair_score[at], self.pair_id[at]
 
         if not len(ident):
-            return
+            return made_unit[0], made_code[0]
         frame()
         offer(np.arange(len(ident)))
         while True:
@@ -173,6 +190,8 @@ class Vocabulary:
             top = np.flatnonzero((score == np.repeat(best, np.diff(np.r_[start, len(unit)]))) & np.isfinite(score))
             i = top[np.r_[True, unit[top][1:] != unit[top][:-1]]]  # the leftmost of a unit
             j = after[i]
+            made_unit.append(unit[i])
+            made_code.append(_codes(place[i], place[j], length[j]))
             ident[i] = made[i]
             length[i] += length[j]
             live[j] = False
@@ -183,9 +202,11 @@ class Vocabulary:
             offer(i)
             offer(before[i][before[i] >= 0])
         final[origin], alive[origin] = ident, live
+        return np.concatenate(made_unit), np.concatenate(made_code)
 
-    def encode_unit(self, unit: str, key: int, bar: int) -> list[int]:
-        """Ids of one unit; merges whose hash is below ``bar`` (of 2^32) are skipped."""
+    def encode_unit(self, unit: str, skipped) -> tuple[list[int], list[int]]:
+        """(ids, codes of the merges made) of one unit; merges whose code is ``skipped`` are not made."""
+        steps: list[int] = []
         text = [MARK if c == " " else c for c in unit]
         literal = [c == MARK for c in unit]
         n = len(text)
@@ -205,8 +226,10 @@ class Vocabulary:
             _, i, j, size_i, size_j = heapq.heappop(agenda)
             if not (alive[i] and alive[j]) or right[i] != j or len(piece[i]) != size_i or len(piece[j]) != size_j:
                 continue
-            if bar and _keyed(key, i, j, size_j) < bar:
+            code = _code(i, j, size_j)
+            if skipped(code):
                 continue
+            steps.append(code)
             piece[i] += piece[j]
             alive[j] = False
             right[i] = right[j]
@@ -219,7 +242,7 @@ class Vocabulary:
             if alive[i]:
                 known = None if literal[i] else pieces.get(piece[i])
                 out += [known[0]] if known else [self.bytes[b] for b in piece[i].encode()]
-        return out
+        return out, steps
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, one after the other."""
@@ -228,18 +251,59 @@ class Vocabulary:
         return self.data[begin + np.arange(len(begin))]
 
 
-def _keyed(key: int, i: int, j: int, size: int) -> int:
-    x = (key ^ (i * 0x9E3779B97F4A7C15) ^ (j * 0xC2B2AE3D27D4EB4F) ^ (size * 0x165667B19E3779F9)) & _M64
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M64
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M64
-    return (x ^ (x >> 31)) & 0xFFFFFFFF
+def _code(i: int, j: int, size: int) -> int:
+    """The place of a merge: where its two symbols begin and the size of the second."""
+    return ((i * 0x9E3779B97F4A7C15) ^ (j * 0xC2B2AE3D27D4EB4F) ^ (size * 0x165667B19E3779F9)) & _M64
 
 
-def _keyed_all(key: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``_keyed`` of arrays."""
+def _codes(i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``_code`` of arrays."""
     i, j, size = (x.astype(np.uint64) for x in (i, j, size))
-    x = key ^ (i * np.uint64(0x9E3779B97F4A7C15)) ^ (j * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (size * np.uint64(0x165667B19E3779F9))
-    return (W.mix(x) & np.uint64(0xFFFFFFFF)).astype(np.int64) if len(x) else np.zeros(0, dtype=np.int64)
+    return (i * np.uint64(0x9E3779B97F4A7C15)) ^ (j * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (size * np.uint64(0x165667B19E3779F9))
+
+
+def _below(key: np.ndarray, code: np.ndarray, bar: int) -> np.ndarray:
+    """Whether the hashes of merges fall below ``bar`` (of 2^32)."""
+    return (W.mix(key ^ code) & np.uint64(0xFFFFFFFF)).astype(np.int64) < bar if len(key) else np.zeros(0, dtype=bool)
+
+
+class Drawn:
+    """Skips by the hash of each unit's key and the merge."""
+
+    def __init__(self, keys: np.ndarray, bar: int):
+        self.keys, self.bar = keys, bar
+
+    def among(self, unit: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return _below(self.keys[unit], code, self.bar)
+
+    def of(self, unit: int):
+        key, bar = int(self.keys[unit]), self.bar
+
+        def skipped(code: int) -> bool:
+            x = key ^ code
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M64
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M64
+            return ((x ^ (x >> 31)) & 0xFFFFFFFF) < bar
+        return skipped
+
+
+class Listed:
+    """Skips given as up to DEPTH codes by unit; the first ``count`` of a row are used."""
+
+    def __init__(self, codes: np.ndarray, count: np.ndarray):
+        self.codes, self.count = codes, count
+
+    def among(self, unit: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(unit), dtype=bool)
+        for d in range(self.codes.shape[1]):
+            out |= (self.codes[unit, d] == code) & (self.count[unit] > d)
+        return out
+
+    def of(self, unit: int):
+        return set(self.codes[unit, : self.count[unit]].tolist()).__contains__
+
+
+Skips = Drawn | Listed
 
 
 @lru_cache(maxsize=1)
@@ -267,54 +331,113 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> W.Words:
 class Encoder:
     """Encodes slices of texts; keeps the ids of the units it has seen."""
 
-    def __init__(self, model_file: str, dropout: float, seed: int, variants: int):
+    def __init__(self, model_file: str, dropout: float, seed: int, variants: int | None = VARIANTS):
         self.vocabulary = vocabulary(model_file)
         self.bar = int(dropout * (1 << 32))
-        self.seed, self.variants = seed & _M64, max(1, variants)
+        self.seed, self.variants = seed & _M64, None if variants is None else max(1, variants)
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.first, self.used = np.zeros(1 << 16, dtype=np.int64), 0
-
-    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        end = self.used + len(ids)
-        while end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used: end] = ids
+        self.pools = [np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.uint64)]  # ids, merges
+        self.first = [np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)]
+        self.used = [0, 0]
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, n_codes: np.ndarray) -> None:
         low = len(self.place)
-        while low + len(keys) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         self.place.update(zip(keys.tolist(), range(low, low + len(keys)), strict=True))
-        self.first[low + 1: low + 1 + len(keys)] = self.used + np.cumsum(counts)
-        self.used = end
+        for x, (values, sizes) in enumerate(((ids, counts), (codes, n_codes))):
+            end = self.used[x] + len(values)
+            while end > len(self.pools[x]):
+                self.pools[x] = np.concatenate([self.pools[x], np.zeros_like(self.pools[x])])
+            while low + len(keys) + 1 > len(self.first[x]):
+                self.first[x] = np.concatenate([self.first[x], np.zeros_like(self.first[x])])
+            self.pools[x][self.used[x]: end] = values
+            self.first[x][low + 1: low + 1 + len(keys)] = self.used[x] + np.cumsum(sizes)
+            self.used[x] = end
+
+    def _kept(self, x: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, number of them by place) of kept segmentations: their ids (0) or merges (1)."""
+        low = self.first[x][place]
+        size = self.first[x][place + 1] - low
+        ends = np.cumsum(size)
+        return self.pools[x][np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    @staticmethod
+    def _bytes(units: W.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, last = units.start[which], units.end[which]
+        ends = np.cumsum(last - first)
+        return units.data[np.repeat(first - (ends - (last - first)), last - first) + np.arange(ends[-1])], np.r_[0, ends]
+
+    def _find(self, units: W.Words, which: np.ndarray, key: np.ndarray, skips: np.ndarray, depth: int) -> np.ndarray:
+        """Places of the segmentations of the units ``which``, by the key of unit and skips; new ones are encoded."""
+        known, example, at = np.unique(key, return_index=True, return_inverse=True)
+        place = np.array([self.place.get(k, -1) for k in known.tolist()], dtype=np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            example = example[new]
+            low = len(self.place)
+            listed = Listed(skips[example], np.full(len(example), depth))
+            self._add(known[new], *self.vocabulary.encode_units(*self._bytes(units, which[example]), listed))
+            place[new] = np.arange(low, low + len(new))
+        return place[at]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, doc_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds of the rows in them)."""
         units = _units(data, bounds)
         n = units.n_rows
-        if not len(units.start):
+        total = len(units.start)
+        if not total:
             return np.zeros(0, dtype=np.int32), np.zeros(n + 1, dtype=np.int64)
-        key = units.hashes()
-        if self.bar:
-            index = np.arange(len(key), dtype=np.uint64) - units.first()[units.row].astype(np.uint64)
-            variant = W.mix(doc_hash[units.row] + index * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)) % np.uint64(self.variants)
-            key = W.mix(key + (variant + np.uint64(1)) * np.uint64(0xA0761D6478BD642F) + np.uint64(self.seed))
-        known, example, at = np.unique(key, return_index=True, return_inverse=True)
         if len(self.place) > REMEMBERED:
             self._clear()
-        new = np.array([k not in self.place for k in known.tolist()], dtype=bool)
-        if new.any():
-            first, last = units.start[example[new]], units.end[example[new]]
-            ends = np.cumsum(last - first)
-            raw = units.data[np.repeat(first - (ends - (last - first)), last - first) + np.arange(ends[-1])]
-            self._add(known[new], *self.vocabulary.encode_units(raw, np.r_[0, ends], known[new], self.bar))
-        place = np.array([self.place[k] for k in known.tolist()], dtype=np.int64)
-        low, size = self.first[place][at], (self.first[place + 1] - self.first[place])[at]
-        ends = np.cumsum(size)
-        ids = self.pool[np.repeat(low - (ends - size), size) + np.arange(ends[-1])]
-        return ids, np.r_[0, ends][np.searchsorted(units.row, np.arange(n + 1))]
+        key = units.hashes()
+        size = units.end - units.start
+        draw = np.zeros(total, dtype=np.uint64)
+        if self.bar:
+            index = np.arange(total, dtype=np.uint64) - units.first()[units.row].astype(np.uint64)
+            draw = W.mix(doc_hash[units.row] + index * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
+            if self.variants is not None:
+                draw %= np.uint64(self.variants)
+            draw = W.mix(key + (draw + np.uint64(1)) * np.uint64(0xA0761D6478BD642F) + np.uint64(self.seed))
+        final = np.full(total, -1, dtype=np.int64)  # places of kept segmentations; -1: encoded for itself
+        now = np.flatnonzero(size <= LONGEST) if self.bar else np.arange(total)
+        skips = np.zeros((len(now), DEPTH), dtype=np.uint64)
+        node = key[now]
+        for depth in range(DEPTH + 1):
+            if not len(now):
+                break
+            place = self._find(units, now, node, skips, depth)
+            if not self.bar:
+                final[now] = place
+                break
+            codes, count = self._kept(1, place)
+            owner = np.repeat(np.arange(len(now)), count)
+            # the merges before the last skip were drawn before, those that were skipped are not among them
+            hit = np.flatnonzero(_below(draw[now][owner], codes, self.bar))
+            first = hit[np.r_[True, owner[hit][1:] != owner[hit][:-1]]] if len(hit) else hit
+            skip = np.zeros(len(now), dtype=bool)
+            skip[owner[first]] = True
+            final[now[~skip]] = place[~skip]
+            more = owner[first]
+            keep = size[now[more]] <= SHORT
+            if depth == DEPTH:
+                break
+            more, code = more[keep], codes[first[keep]]
+            now, node, skips = now[more], node[more], skips[more]
+            skips[:, depth] = code
+            node = W.mix(node ^ W.mix(code + np.uint64(depth + 1)))
+        own = np.flatnonzero(final < 0)
+        ids, count = self._kept(0, final[final >= 0])
+        if len(own):
+            more, n_more, _, _ = self.vocabulary.encode_units(*self._bytes(units, own), Drawn(draw[own], self.bar))
+            counts = np.zeros(total, dtype=np.int64)
+            counts[final >= 0], counts[own] = count, n_more
+            by_own = np.repeat(final < 0, counts)
+            out = np.zeros(len(by_own), dtype=np.int32)
+            out[by_own], out[~by_own] = more, ids
+            ids, count = out, counts
+        return ids, np.r_[0, np.cumsum(count)][np.searchsorted(units.row, np.arange(n + 1))]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, bounds of the rows), the leading space of each row taken off."""
@@ -355,7 +478,7 @@ def _encode_rows(keep: list[str], text: str, key: tuple):
     return run
 
 
-def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text",
+def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, doc_id: str = "doc_id", text: str = "text",
            model_file: str = MODEL) -> DataFrame:
     """``doc_id, ids, n_ids, lossless``: lossless says that decoding the ids gave the text back."""
     rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("_doc"))
@@ -364,7 +487,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants
                            f"doc_id {kind}, ids array<int>, n_ids bigint, lossless boolean")
 
 
-def with_ids(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, doc_id: str = "doc_id", text: str = "text",
+def with_ids(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, doc_id: str = "doc_id", text: str = "text",
              model_file: str = MODEL) -> DataFrame:
     """``docs`` with ``ids, n_ids, lossless``; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("ids", "n_ids", "lossless")]
