@@ -4,6 +4,8 @@ A rule names a host (with its subdomains) and the start of a path; the longest
 rule that fits decides. Urls that no rule fits take the decision of their
 aliases: pages linked by redirects, by declared canonical urls or by equal
 canonical form are one component, found with distributed connected components.
+Every url of a component is judged by the rules, whether it is a page or only the
+target of a link.
 In a component an explicit allow beats a block; without either, and for a url
 without aliases, the verdict is allow. A url's own rule always stands.
 
@@ -83,6 +85,17 @@ def canonical_form(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, rf"^(?:{ALIAS_LABELS})\.", ""), r"(?:/index)?\.html?(?=$|\?)", "")
 
 
+def _without_dots(rest: Column) -> Column:
+    """Host and path with the steps ``.`` and ``..`` of the path taken."""
+    place, tail = F.regexp_extract(rest, r"^[^?#]*", 0), F.regexp_extract(rest, r"^[^?#]*(.*)$", 1)
+    step = F.split(place, "/")
+    walked = F.aggregate(F.slice(step, 2, F.size(step)), F.slice(step, 1, 1), lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s))))
+    last = F.element_at(step, -1)
+    path = F.concat(F.array_join(walked, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    return F.when(place.rlike(r"/\.\.?(?:/|$)"), F.concat(path, tail)).otherwise(rest)
+
+
 def declared_links(pages: DataFrame) -> DataFrame:
     """``a, b``: each page (``url, html``) with its canonical link and its refresh redirect, and its canonical form."""
     head = F.coalesce(F.col("html"), F.lit(""))
@@ -92,8 +105,16 @@ def declared_links(pages: DataFrame) -> DataFrame:
     base = with_parts(pages.select("url", canonical.alias("canonical"), refresh.alias("refresh"))).where(F.col("host") != "").withColumn("a", node(F.col("rest")))
 
     def target(href: Column) -> Column:
-        far = F.when(href.contains("://"), F.substring_index(href, "://", -1)).when(href.startswith("/"), F.concat("host", href))
-        return node(far)
+        href = F.trim(href)
+        folder = F.regexp_replace(F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")), "[^/]*$", "")
+        far = (F.when(href == "", F.lit(None).cast("string"))
+               .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.regexp_replace(href, "^[^:]*://", ""))
+               .when(href.startswith("//"), F.regexp_replace(href, "^//", ""))
+               .when(href.startswith("/"), F.concat("host", href))
+               .when(href.startswith("?"), F.concat(F.col("host"), F.col("path"), href))
+               .when(href.rlike("^#|^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))  # the page itself; no url of a host
+               .otherwise(F.concat(F.col("host"), folder, href)))
+        return node(_without_dots(far))
 
     links = F.array_compact(F.array(target(F.col("canonical")), target(F.col("refresh")), canonical_form(F.col("a"))))
     return base.select("a", F.explode(links).alias("b")).where(F.col("a") != F.col("b"))
@@ -116,7 +137,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], links: DataFram
     judged = cut_lineage(with_parts(own).withColumn("fit", fitting_rule(rules, F.col("host"), F.col("path"))).select(
         "page_id", "host", "path", F.when(F.col("host") != "", node(F.col("rest"))).alias("node"), "fit.rule", "fit.verdict").join(
         roots.withColumnRenamed("root", "component"), "node", "left"), "urls")
-    classes = (judged.where("component is not null and verdict is not null").groupBy("component")
+    place = F.regexp_extract("node", "^[^/?]*", 0), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1)
+    seen = roots.select(F.col("root").alias("component"), fitting_rule(rules, *place)["verdict"].alias("verdict")).unionByName(judged.select("component", "verdict"))
+    classes = (seen.where("component is not null and verdict is not null").groupBy("component")
                .agg(F.max(F.col("verdict") == "allow").alias("allowed")))
     return judged.join(classes, "component", "left").select(
         "page_id", "host", "path", "rule",
