@@ -16,7 +16,7 @@
 
 Signatures only decide which pairs are looked at: a pair of similarity
 ``threshold`` misses every band with a probability below 1e-5 and has an
-estimate below ``threshold - SLACK`` with about 2e-4; no bucket is capped.
+estimate below ``threshold - SLACK`` with about 3e-6; no bucket is capped.
 
 Texts without words are in no group, whether null, empty or blank; shorter texts
 than a shingle are one shingle. Words are A-Z lower-cased letters and digits.
@@ -41,7 +41,7 @@ from alertloom.session import cut_lineage, is_small
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-SLACK = 0.14
+SLACK = 0.20
 #: rows of a bucket in one block
 BLOCK = 256
 #: ids that may be broadcast to pick texts
