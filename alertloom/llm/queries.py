@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import decontaminate, merge_dropout, merkle, neardup, relative_lz, sanitise, secret_grammar, sql, tool_calls, toxicity, url_filter
+from alertloom.llm import (context_trees, decontaminate, merge_dropout, merkle, neardup, periodic_runs, relative_lz, sanitise, secret_grammar, sql, tool_calls,
+                           toxicity, url_filter, whitening)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +121,25 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = tool_calls.link(*derived_calls(read(spark, sf_dir, "conversations")), TOOLS)
     return (linked.withColumn("problems", F.array_join("problems", ",")).withColumn("position", F.coalesce("position", F.lit(-1)))
             .withColumn("hop", F.coalesce("hop", F.lit(-1)).cast("bigint")))  # -1: no place
+
+
+@query()
+def op11_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; the held-out quarter has taught the model nothing."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = context_trees.train(docs.where(~held_out))
+    return context_trees.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All periodic runs of words of every document, a tenth of which end in a loop."""
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.looped(read(spark, sf_dir, "documents"))))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", whitening.fixed_point("embedding", 64.0, 1_000_000).alias("x"))
+    return whitening.by_component(whitening.whiten(vectors))

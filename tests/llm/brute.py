@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -100,3 +102,61 @@ def secret_spans(text):
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
     return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out)]
+
+
+def loop(doc, words):
+    """The words of a document as the query of periodic runs changes them."""
+    n, h = len(words), zlib.crc32(str(doc).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def runs(words, least=6, exponent=4):
+    """(start, length, period) of all runs by start, then period."""
+    best = {}
+    for q in range(1, len(words) // exponent + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, exponent * q):
+                best.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((a, b - a, q) for (a, b), q in best.items())
+
+
+def run_row(doc, text):
+    words = loop(doc, re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    found = runs(words)
+    gone = {i for a, n, q in found for i in range(a + q, a + n)}
+    top = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    return (doc, len(found), *(top or (None,) * 3), 1000 * top[1] // top[2] if top else None,
+            sha("".join(f"{a},{n},{q}\n" for a, n, q in found)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def code_length(text, training, order):
+    """Bits of a text by prediction by partial matching with exclusion; ``training`` is a list of texts."""
+    seen = {}
+    for raw in (t.encode() for t in training):
+        for i, b in enumerate(raw):
+            for k in range(min(i, order) + 1):
+                seen.setdefault(raw[i - k:i], Counter())[b] += 1
+    raw, total = text.encode(), 0.0
+    for i, b in enumerate(raw):
+        out = set()
+        for k in range(min(i, order), -1, -1):
+            left = {s: n for s, n in seen.get(raw[i - k:i], {}).items() if s not in out}
+            if b in left:
+                total += math.log2(sum(left.values()) + len(left)) - math.log2(left[b])
+                break
+            if left:
+                total += math.log2(sum(left.values()) + len(left)) - math.log2(len(left))
+            out |= set(left)
+        else:
+            total += math.log2(max(256 - len(out), 1))
+    return total
