@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,10 @@ def build_session(app_name: str = "alertloom", master: str | None = None,
     return builder.getOrCreate()
 
 
+#: folders made for local sessions without a shared one, by application
+_local: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
@@ -43,8 +49,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="alertloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="alertloom-"))
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -56,9 +62,48 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: tables written inside the ``own_tables`` blocks that are open, the innermost last
+_open: list[list[str]] = []
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that ``cut_lineage`` wrote inside the block.
+
+    Gives the list of their folders: what is taken out of it stays, and belongs
+    to the block around this one.
+    """
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for path in made:
+            drop_table(spark, path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``cut_lineage`` wrote, in whatever store it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` returns, written; the tables written on the way to it are deleted."""
+    with own_tables(spark) as made:
+        out = cut_lineage(build(), label)
+        kept = made.pop()
+    if _open:
+        _open[-1].append(kept)
+    return out
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm import decontaminate, merge_dropout, neardup, queries, sanitise, toxicity
-from alertloom.session import cut_lineage
+from alertloom.session import cut_lineage, drop_table, own_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that all stages keep, encoded."""
-    docs = queries.read(spark, sf_dir, "documents")
+    """The documents that all stages keep, encoded.
+
+    What a stage wrote on the way goes when its output is written, and so does the
+    output of the stage before.
+    """
+    docs, before = queries.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with own_tables(spark) as made:
+            docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            now = made.pop()
+        if before:
+            drop_table(spark, before)
+        before = now
     return docs
