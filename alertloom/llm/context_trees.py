@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
 from alertloom.llm.batches import bounded
-from alertloom.session import cut_lineage
+from alertloom.session import cut_lineage, own_tables
 
 ORDER = 4
 #: a gram is a 56-bit integer of up to 7 bytes, and its number of bytes above
@@ -161,6 +161,11 @@ class Model:
 
 def train(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, lang: str = "lang", text: str = "text") -> Model:
     """The frozen model of all rows of ``docs`` that have a text and a language."""
+    with own_tables(docs.sparkSession):
+        return _frozen(docs, order, max_nodes, lang, text)
+
+
+def _frozen(docs: DataFrame, order: int, max_nodes: int, lang: str, text: str) -> Model:
     nodes = cut_lineage(count(docs, order, lang, text), "context-counts")
     step = F.floor(F.log2("n") * 16).alias("step")  # some hundred steps, whatever the counts
     sizes = sorted(((r["step"], r["nodes"]) for r in nodes.groupBy(step).agg(F.count("*").alias("nodes")).collect()), reverse=True)

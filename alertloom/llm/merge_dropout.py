@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
-from alertloom.llm.batches import bounded
+from alertloom.llm.batches import bounded, fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, None
@@ -459,11 +459,11 @@ def _encoder(*key) -> Encoder:
     return _ENCODERS[key]
 
 
-def _encode_rows(keep: list[str], text: str, key: tuple):
+def _encode_rows(keep: list[str], text: str, own: str, key: tuple):
     def run(batches):
         coder = _encoder(*key)
         for rows, data, bounds in W.slices(batches, text):
-            seeds = W.column(rows, "_doc").to_numpy(zero_copy_only=False).view(np.uint64)
+            seeds = W.column(rows, own).to_numpy(zero_copy_only=False).view(np.uint64)
             ids, ends = coder.encode(data, bounds, seeds)
             back, back_ends = coder.decode(ids, ends)
             equal = np.array_equal(back_ends, bounds) and np.array_equal(back, data)
@@ -481,9 +481,9 @@ def _encode_rows(keep: list[str], text: str, key: tuple):
 def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, doc_id: str = "doc_id", text: str = "text",
            model_file: str = MODEL) -> DataFrame:
     """``doc_id, ids, n_ids, lossless``: lossless says that decoding the ids gave the text back."""
-    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("_doc"))
+    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("seed"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_encode_rows(["doc_id"], "text", (model_file, dropout, seed, variants)),
+    return rows.mapInArrow(_encode_rows(["doc_id"], "text", "seed", (model_file, dropout, seed, variants)),
                            f"doc_id {kind}, ids array<int>, n_ids bigint, lossless boolean")
 
 
@@ -492,8 +492,9 @@ def with_ids(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, varian
     """``docs`` with ``ids, n_ids, lossless``; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("ids", "n_ids", "lossless")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return (bounded(docs).select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(doc_id)).alias("_doc"))
-            .mapInArrow(_encode_rows(keep, text, (model_file, dropout, seed, variants)), f"{kinds}, ids array<int>, n_ids bigint, lossless boolean"))
+    own, = fresh(keep, "seed")
+    return (bounded(docs).select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(doc_id)).alias(own))
+            .mapInArrow(_encode_rows(keep, text, own, (model_file, dropout, seed, variants)), f"{kinds}, ids array<int>, n_ids bigint, lossless boolean"))
 
 
 def _decode_rows(model_file: str):

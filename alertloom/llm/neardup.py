@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from alertloom.llm import bagminhash as B
 from alertloom.llm import words as W
-from alertloom.llm.batches import bounded
+from alertloom.llm.batches import bounded, fresh, integer_ids
 from alertloom.llm.components import components
-from alertloom.session import cut_lineage, is_small
+from alertloom.session import cut_lineage, is_small, settled
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -212,7 +212,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     ``n_links`` the number of verified links of that representative; pairs that
     other links had joined before are not verified and not counted.
     """
-    rows = bounded(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return settled(docs.sparkSession, "classes", lambda: _classes(docs, k, threshold, doc_id, text))
+
+
+def _classes(docs: DataFrame, k: int, threshold: float, doc_id: str, text: str) -> DataFrame:
+    rows = bounded(integer_ids(docs, doc_id)).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut_lineage(sketches(rows, k), "sketches")
     full = sketch.where("n_words > 0 and doc_id is not null")
     first = cut_lineage(full.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("copy_of")), "firsts")  # so that a hot group can be split
@@ -251,12 +255,13 @@ def keep_first(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     to drop are broadcast while they are few, so that texts are not shuffled.
     """
     classes = near_duplicates(docs, k, threshold, doc_id, text)
-    gone = cut_lineage(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    own, = fresh(docs.columns, "other")
+    gone = cut_lineage(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(own)).distinct(), "gone")
     few = F.broadcast(gone) if is_small(gone, MAX_IDS) else gone
-    left = docs.join(few, F.col(f"`{doc_id}`").cast("bigint") == F.col("_gone"), "left_anti")
-    again = left.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_again"))
+    left = docs.join(few, F.col(f"`{doc_id}`").cast("bigint") == F.col(own), "left_anti")
+    again = left.select(F.col(f"`{doc_id}`").alias(own)).where(F.col(own).isNotNull()).groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own)
     again = cut_lineage(again, "again")
     if again.isEmpty():
         return left
-    repeats = left.join(again, F.col(f"`{doc_id}`") == F.col("_again"), "left_semi").dropDuplicates([doc_id, text])
-    return left.join(again, F.col(f"`{doc_id}`") == F.col("_again"), "left_anti").unionByName(repeats)
+    repeats = left.join(again, F.col(f"`{doc_id}`") == F.col(own), "left_semi").dropDuplicates([doc_id, text])
+    return left.join(again, F.col(f"`{doc_id}`") == F.col(own), "left_anti").unionByName(repeats)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
-from alertloom.llm.batches import bounded
+from alertloom.llm.batches import bounded, integer_ids
 from alertloom.session import cut_lineage, is_small
 
 N_WORDS = 20
@@ -211,7 +211,7 @@ def factors(docs: DataFrame, n: int = N_WORDS, anchor: int = ANCHOR, doc_id: str
 
     ``h1, h2`` name the text among several of one id.
     """
-    rows = bounded(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(integer_ids(docs, doc_id)).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     index = cut_lineage(rows.where("doc_id is not null").mapInArrow(_index_rows(n, anchor), "doc_id bigint, n_words bigint, h1 bigint, h2 bigint, anchors array<bigint>"), "blocks")
     own = index.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("own"))  # one text of an id takes part
     long = index.join(own, "doc_id").where((F.col("n_words") >= n) & (F.col("own.h1") == F.col("h1")) & (F.col("own.h2") == F.col("h2"))).dropDuplicates(["doc_id"]).drop("own")
@@ -265,7 +265,7 @@ def _cut_rows(batches):
 
 def removals(docs: DataFrame, n: int = N_WORDS, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
-    rows = bounded(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(integer_ids(docs, doc_id)).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = factors(rows, n, anchor)
     ids = found.select("doc_id")
     small = is_small(ids, MAX_IDS)

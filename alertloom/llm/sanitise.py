@@ -1,24 +1,32 @@
 """Personal data, and terms that give away whose data it is.
 
 Base patterns find e-mail, ip, card and phone spans. Each found value is a
-protected entity. The words within REACH words of an entity are its context;
-over the whole corpus Spark counts in how many documents a term stands in the
-context of an entity, and in how many documents the term occurs at all. A term
-discloses an entity when it names it often (``share`` = P(entity | term)) and more
-often than chance can explain: the statistic G2 of the four counts (both, term
-only, entity only, neither) reaches ``min_g2``, and the share is above P(entity).
-An exclusive term reaches that for frequent entities and in small tables too.
-Terms over both thresholds are spans of kind ``term``: from ``remove_share`` on
-they are removed, below it generalised to a class word. ``bits`` = log2 P(entity |
-term) / P(entity) is given with them and judged only if ``min_bits`` is set. Documents of equal text are one document in
-every count; a passage that stands in different texts counts in each of them.
+protected entity, and so is the group it belongs to: the domain of an address, the
+first three parts of an ip, the first six digits of a card or phone number. Values often
+stand in one document only; what recurs is the group. The words within REACH words
+of an entity are its context; over the whole corpus Spark counts in how many
+documents a term stands in the context of an entity, and in how many documents the
+term occurs at all. A term discloses an entity when it names it often (``share`` =
+P(entity | term)) and more often than chance can explain: the statistic G2 of the
+four counts (both, term only, entity only, neither) reaches ``min_g2``, and the share
+is above P(entity). An exclusive term reaches that for frequent entities and in
+small tables too. Terms over both thresholds are spans of kind ``term``: those that
+disclose a value with a share of ``remove_share`` or more are removed, others, and those
+that disclose a group only, are generalised to a class word. ``bits`` = log2
+P(entity | term) / P(entity) is given with them and judged only if ``min_bits`` is set.
+
+Documents of equal text are one document in every count; a passage that stands in
+different texts counts in each of them. Texts are told apart by 128-bit hash, and
+only hashes travel: contexts are (term, entity, text) once each, and the corpus is
+counted as (term, text) once each, for terms that stand near one entity in
+``min_support`` documents or more. Those terms are handed to the tasks when their number
+is checked to lie below ``max_terms``; more of them are joined by term.
 
 Terms are words with A-Z lower-cased, compared by 64-bit hash. The set of
-disclosing terms is broadcast when its size is checked to lie below
-``max_terms``; a larger one is joined by term instead.
+disclosing terms is broadcast under the same bound; a larger one meets the texts in one join.
 
 Null and empty texts have no spans. Repeated rows are judged each by itself.
-Offsets are code points, ends exclusive.
+Offsets are code points, ends exclusive. Extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -33,9 +41,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import words as W
-from alertloom.llm.batches import bounded
-from alertloom.llm.toxicity import Lookup
-from alertloom.session import cut_lineage, is_small
+from alertloom.llm.batches import bounded, fresh
+from alertloom.llm.toxicity import Lookup, distinct_pairs
+from alertloom.session import cut_lineage, is_small, settled
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
@@ -97,9 +105,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _entity(kind: int, value: str) -> int:
-    value = value.lower() if kind == 0 else "".join(c for c in value if c.isdigit() or (kind == 1 and c == "."))
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+def entity_names(kind: int, value: str) -> tuple[str, str]:
+    """(value, group) of a span, in a form in which equal ones are equal."""
+    if kind == 0:
+        value = value.lower()
+        return f"0:{value}", f"0:@{value.partition('@')[2]}"
+    value = "".join(c for c in value if c.isdigit() or (kind == 1 and c == "."))
+    return f"{kind}:{value}", f"{kind}:{value.rpartition('.')[0] if kind == 1 else value[:6]}*"
+
+
+def _entity(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _text_names(texts: list[str]) -> tuple[list[int], list[int]]:
+    """Two 64-bit hashes of each text."""
+    both = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+    return tuple([int.from_bytes(x[i: i + 8], "little", signed=True) for x in both] for i in (0, 8))
 
 
 def _byte_offsets(text: str, spans) -> list[tuple[int, int]]:
@@ -115,11 +137,14 @@ def _byte_offsets(text: str, spans) -> list[tuple[int, int]]:
     return [(out[a], out[b]) for _, a, b in spans]
 
 
+_CONTEXT = "term bigint, entity bigint, broad boolean, t1 bigint, t2 bigint"
+
+
 def _context_rows(reach: int):
-    """(term, entity) once for every text in which the term is near the entity, and (null, entity) once for every text of the entity."""
+    """(term, entity, whether it is a group, text) for every term near it, and the same with a null term for every entity of the text."""
     def run(batches):
         for rows, data, bounds in W.slices(batches):
-            terms, entities = [], []
+            terms, entities, broad, own = [], [], [], []
             texts = W.column(rows, "text").to_pylist()
             for r, text in enumerate(texts):
                 spans = base_spans(text) if text else []
@@ -129,41 +154,45 @@ def _context_rows(reach: int):
                 hashes = words.hashes()
                 where = _byte_offsets(text, spans)
                 free = np.ones(len(hashes), dtype=bool)
-                around: dict[int, list[np.ndarray]] = {}
+                around: dict[tuple[str, bool], list[np.ndarray]] = {}
                 for a, b in where:
                     free[np.searchsorted(words.end, a, side="right"): np.searchsorted(words.start, b)] = False
                 for (kind, a, b), (x, y) in zip(spans, where, strict=True):
                     low, high = np.searchsorted(words.end, x, side="right"), np.searchsorted(words.start, y)
                     near = np.r_[max(0, low - reach): low, high: min(len(hashes), high + reach)].astype(np.int64)
-                    around.setdefault(_entity(kind, text[a:b]), []).append(hashes[near[free[near]]])
-                for entity, found in around.items():
+                    for group, name in enumerate(entity_names(kind, text[a:b])):
+                        around.setdefault((name, bool(group)), []).append(hashes[near[free[near]]])
+                for (name, group), found in around.items():
                     near = W.signed(np.unique(np.concatenate(found))).tolist()
                     terms += [*near, None]
-                    entities += [entity] * (len(near) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(entities, pa.int64())], names=["term", "entity"])
+                    entities += [_entity(name)] * (len(near) + 1)
+                    broad += [group] * (len(near) + 1)
+                    own += [r] * (len(near) + 1)
+            names = dict(zip(some := sorted(set(own)), zip(*_text_names([texts[r] for r in some]), strict=True), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.int64()), pa.array(entities, pa.int64()), pa.array(broad, pa.bool_()), *(pa.array([names[r][i] for r in own], pa.int64()) for i in (0, 1))],
+                names=["term", "entity", "broad", "t1", "t2"])
     return run
 
 
-def _count_rows(batches):
-    """(term, documents) of a part of the corpus."""
-    for _, data, bounds in W.slices(batches, limit=8 * W.SLICE):
-        words = W.split(data, bounds, W.ALNUM, lower=True)
-        hashes = words.hashes()
-        order = np.lexsort((words.row, hashes))
-        hashes, row = hashes[order], words.row[order]
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-        known, count = np.unique(hashes[new], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(W.signed(known)), pa.array(count.astype(np.int64))], names=["term", "n"])
-
-
-def _different(texts: DataFrame) -> tuple[DataFrame, int]:
-    """(each text once, their number). Only texts whose hash occurs more than once are moved, to be compared as text."""
-    keyed = texts.withColumn("_hash", F.xxhash64("text"))
-    sizes = cut_lineage(keyed.groupBy("_hash").agg(F.count("*").alias("n")), "text-hashes")
-    again = sizes.where("n > 1")
-    copies = keyed.join(again, "_hash", "left_semi").select("text").distinct()
-    return keyed.join(again, "_hash", "left_anti").select("text").unionByName(copies), sizes.count()
+def _text_rows(known):
+    """(term, text) once for every text and each of its terms among ``known`` (None: all of its terms)."""
+    def run(batches):
+        lookup = known and Lookup(known.value)
+        for rows, data, bounds in W.slices(batches):
+            words = W.split(data, bounds, W.ALNUM, lower=True)
+            hashes = words.hashes()
+            if lookup:
+                row, at = lookup.find(words.row, hashes)
+                hashes = lookup.known[at]
+            else:
+                row, hashes = distinct_pairs(words.row, hashes)
+            if len(row):
+                texts = W.column(rows, "text").to_pylist()
+                where, place = np.unique(row, return_inverse=True)
+                names = _text_names([texts[r] or "" for r in where.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(hashes)), *(pa.array(np.array(x, dtype=np.int64)[place]) for x in names)], names=["term", "t1", "t2"])
+    return run
 
 
 def _g2(both, term, entity, n) -> Column:
@@ -176,24 +205,36 @@ def _g2(both, term, entity, n) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE,
-                     remove_share: float = REMOVE_SHARE, min_bits: float | None = None, min_g2: float = MIN_G2) -> DataFrame:
+                     remove_share: float = REMOVE_SHARE, min_bits: float | None = None, min_g2: float = MIN_G2, max_terms: int = MAX_TERMS) -> DataFrame:
     """``term`` (hash), ``level`` (1 generalise, 2 remove), ``share``, ``bits``, ``g2`` of the terms over the thresholds."""
-    texts, n_docs = _different(bounded(docs).select(F.col(text).alias("text")).where("text is not null"))
-    near = cut_lineage(texts.mapInArrow(_context_rows(reach), "term bigint, entity bigint").groupBy("term", "entity").agg(F.count("*").alias("n")), "contexts")
+    return settled(docs.sparkSession, "disclosing", lambda: _disclosing(docs, text, reach, min_support, min_share, remove_share, min_bits, min_g2, max_terms))
+
+
+def _disclosing(docs: DataFrame, text: str, reach: int, min_support: int, min_share: float, remove_share: float, min_bits: float | None, min_g2: float, max_terms: int) -> DataFrame:
+    texts = bounded(docs).select(F.col(text).alias("text")).where("text is not null")
+    n_docs = texts.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).distinct().count()
+    near = texts.mapInArrow(_context_rows(reach), _CONTEXT).distinct().groupBy("term", "entity", "broad").agg(F.count("*").alias("n"))
+    near = cut_lineage(near.where(f"term is null or n >= {int(min_support)}"), "contexts")
     pairs = near.where("term is not null").withColumnRenamed("n", "n_both")
-    entities = near.where("term is null").select("entity", F.col("n").alias("n_entity"))
-    corpus = texts.mapInArrow(_count_rows, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    entities = near.where("term is null").select("entity", "broad", F.col("n").alias("n_entity"))
+    wanted = cut_lineage(pairs.select("term").distinct(), "context-terms")
+    if is_small(wanted, max_terms):
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["term"].to_numpy().view(np.uint64)))
+        places = texts.mapInArrow(_text_rows(known), "term bigint, t1 bigint, t2 bigint")
+    else:
+        places = texts.mapInArrow(_text_rows(None), "term bigint, t1 bigint, t2 bigint").join(wanted, "term", "left_semi")
+    corpus = places.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     share, n = F.col("n_both") / F.col("n_term"), F.lit(float(max(n_docs, 1)))
     chance = F.col("n_entity") / n
-    judged = (pairs.where(F.col("n_both") >= min_support).join(entities, "entity").join(corpus, "term")
+    judged = (pairs.join(entities, ["entity", "broad"]).join(corpus, "term")
               .withColumn("share", share).withColumn("bits", F.log2(share / chance))
               .withColumn("g2", _g2(*(F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity")), n)))
-    known = (F.col("share") > chance) & (F.col("g2") >= min_g2)
+    known_better = (F.col("share") > chance) & (F.col("g2") >= min_g2)
     if min_bits is not None:
-        known &= F.col("bits") >= min_bits
-    return (judged.where((F.col("share") >= min_share) & known).groupBy("term")
-            .agg(F.max("share").alias("share"), F.max("bits").alias("bits"), F.max("g2").alias("g2"))
-            .withColumn("level", F.when(F.col("share") >= remove_share, 2).otherwise(1)))
+        known_better &= F.col("bits") >= min_bits
+    return (judged.where((F.col("share") >= min_share) & known_better).groupBy("term")
+            .agg(F.max("share").alias("share"), F.max("bits").alias("bits"), F.max("g2").alias("g2"),
+                 F.max(F.when(~F.col("broad") & (F.col("share") >= remove_share), 2).otherwise(1)).alias("level")))
 
 
 class Terms:
@@ -250,8 +291,8 @@ def rewrite(text: str, spans: list[tuple[int, int, int, int]]) -> str:
 _SPANS = "array<struct<kind:string,start:int,end:int,level:int>>"
 
 
-def _apply(known, keep: list[str], text: str, rewritten: bool):
-    """known: a broadcast Terms, or None when each row brings its own terms in the column ``_terms``."""
+def _apply(known, keep: list[str], text: str, rewritten: bool, own_terms: str = ""):
+    """known: a broadcast Terms, or None when each row brings its own terms in the column ``own_terms``."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("level", pa.int32())]))
 
     def run(batches):
@@ -263,7 +304,7 @@ def _apply(known, keep: list[str], text: str, rewritten: bool):
                 terms = known.value.spans(data, bounds, texts)
             else:
                 terms = [Terms([(x["term"], x["level"]) for x in own or ()]).spans(data[bounds[r]: bounds[r + 1]], bounds[r: r + 2] - bounds[r], [texts[r]])[0]
-                         for r, own in enumerate(W.column(rows, "_terms").to_pylist())]
+                         for r, own in enumerate(W.column(rows, own_terms).to_pylist())]
             found = [all_spans(t, more) for t, more in zip(texts, terms, strict=True)]
             arrays = [W.column(rows, c) for c in keep]
             if rewritten:
@@ -281,17 +322,21 @@ def _run(docs: DataFrame, terms: DataFrame, keep: list[str], text: str, rewritte
     if is_small(terms, max_terms):
         known = docs.sparkSession.sparkContext.broadcast(Terms([(r["term"], r["level"]) for r in terms.collect()]))
         return bounded(docs).mapInArrow(_apply(known, keep, text, rewritten), schema)
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    own = (docs.select(key.alias("_key"), F.col(text).alias("text")).distinct().mapInArrow(_term_rows, "_key string, term bigint").join(terms, "term")
-           .groupBy("_key").agg(F.collect_list(F.struct("term", "level")).alias("_terms")))
-    return docs.join(own, key == own["_key"], "left").drop("_key").mapInArrow(_apply(None, keep, text, rewritten), schema)
+    t1, t2, own_terms = fresh(docs.columns, "t1", "t2", "terms")
+    names = [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))]
+    own = (docs.select(names[0].alias("t1"), names[1].alias("t2"), F.col(text).alias("text")).where("text is not null").mapInArrow(_named_rows, "term bigint, t1 bigint, t2 bigint")
+           .distinct().join(terms, "term").groupBy("t1", "t2").agg(F.collect_list(F.struct("term", "level")).alias(own_terms))
+           .withColumnsRenamed({"t1": t1, "t2": t2}))
+    rows = docs.withColumns({t1: names[0], t2: names[1]}).join(own, [t1, t2], "left").select(*docs.columns, own_terms)
+    return bounded(rows).mapInArrow(_apply(None, keep, text, rewritten, own_terms), schema)
 
 
-def _term_rows(batches):
+def _named_rows(batches):
+    """(term, text) of texts that bring their names along."""
     for rows, data, bounds in W.slices(batches):
         words = W.split(data, bounds, W.ALNUM, lower=True)
-        pairs = pa.table({"_key": W.column(rows, "_key").take(pa.array(words.row)), "term": pa.array(W.signed(words.hashes()))})
-        yield from pairs.group_by(["_key", "term"]).aggregate([]).select(["_key", "term"]).to_batches()
+        row, hashes = distinct_pairs(words.row, words.hashes())
+        yield pa.RecordBatch.from_arrays([pa.array(W.signed(hashes)), *(W.column(rows, c).take(pa.array(row)) for c in ("t1", "t2"))], names=["term", "t1", "t2"])
 
 
 def find(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:

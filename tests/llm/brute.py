@@ -160,3 +160,31 @@ def code_length(text, training, order):
         else:
             total += math.log2(max(256 - len(out), 1))
     return total
+
+
+def disclosing(texts, group, spans, reach=8, min_support=3, min_share=0.5, remove_share=0.8, min_g2=10.83):
+    """term -> (level, share) by dictionaries. ``spans``(text): (kind, start, end); ``group``(kind, value): names of value and group."""
+    texts = sorted({t for t in texts if t is not None})
+    near, entities, terms = Counter(), Counter(), Counter()
+    for t in texts:
+        found = spans(t)
+        words = [(m.group(), m.start(), m.end()) for m in ALNUM.finditer(t.translate(UPPER))]
+        terms.update({w for w, _, _ in words})
+        free = [not any(a < y and x < b for _, a, b in found) for _, x, y in words]
+        here = set()
+        for kind, a, b in found:
+            left = [i for i, (_, _, y) in enumerate(words) if y <= a][-reach:]
+            right = [i for i, (_, x, _) in enumerate(words) if x >= b][:reach]
+            for broad, name in enumerate(group(kind, t[a:b])):
+                here |= {(None, name, broad)} | {(words[i][0], name, broad) for i in left + right if free[i]}
+        near.update(x for x in here if x[0] is not None)
+        entities.update(x[1:] for x in here if x[0] is None)
+    out, n = {}, len(texts)
+    for (term, name, broad), both in near.items():
+        a, b = terms[term], entities[name, broad]
+        cells = [(both, a, b), (a - both, a, n - b), (b - both, n - a, b), (n - a - b + both, n - a, n - b)]
+        g2 = 2 * sum(x * math.log(x * n / (r * c)) for x, r, c in cells if x > 0)
+        if both >= min_support and both / a >= min_share and both / a > b / n and g2 >= min_g2:
+            level = 2 if not broad and both / a >= remove_share else 1
+            out[term] = max(out.get(term, (0, 0.0)), (level, 0.0))[0], max(out.get(term, (0, 0.0))[1], both / a)
+    return out

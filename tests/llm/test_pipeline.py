@@ -53,3 +53,16 @@ def test_run_handles_odd_rows(spark, tmp_path, sf):
         assert out.where("ids is not null and not lossless").count() == 0
         if some:
             assert got[-1][1].startswith("mail [EMAIL] word")
+
+
+def test_stages_take_clashing_names(spark, sf):
+    """Columns named as the helpers of the stages are, in every stage."""
+    names = ["_doc", "seed", "other", "_gone", "_again", "hash", "t1", "t2", "terms", "h1", "n_words", "score", "row", "key", "class_id", "spans", "letters"]
+    rows = [(i, f"text number {i} " + "word " * 30 + f"{i * 7} a{i}@b.org", *["x"] * len(names)) for i in range(8)] + [(3, "again", *["x"] * len(names)), (3, "again", *["x"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, sf)
+        assert after.count() <= len(rows), name
+        if name != "encoding":
+            assert after.columns == docs.columns
+        docs = after
