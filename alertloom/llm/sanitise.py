@@ -19,8 +19,12 @@ Documents of equal text are one document in every count; a passage that stands i
 different texts counts in each of them. Texts are told apart by 128-bit hash, and
 only hashes travel: contexts are (term, entity, text) once each, and the corpus is
 counted as (term, text) once each, for terms that stand near one entity in
-``min_support`` documents or more. Those terms are handed to the tasks when their number
-is checked to lie below ``max_terms``; more of them are joined by term.
+``min_support`` documents or more. A term that more documents hold than its best entity
+could account for is left out as soon as a part of the corpus shows it: first one text
+in 64 is counted, then one in 8 for the terms left, at last all of them. So what is
+counted follows the number of contexts, not that of words, and every share is exact.
+The terms are handed to the tasks when their number is checked to lie below
+``max_terms``; more of them are joined by term.
 
 Terms are words with A-Z lower-cased, compared by 64-bit hash. The set of
 disclosing terms is broadcast under the same bound; a larger one meets the texts in one join.
@@ -53,6 +57,8 @@ MIN_SHARE, REMOVE_SHARE = 0.5, 0.8
 #: chi-squared with one degree of freedom, p = 0.001
 MIN_G2 = 10.83
 MAX_TERMS = 500_000
+#: one text in so many is counted, round by round; the last round counts all
+PARTS = (64, 8, 1)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a run of digits is entered at its start only: if that fails, so does every later digit of it
@@ -210,6 +216,17 @@ def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, mi
     return settled(docs.sparkSession, "disclosing", lambda: _disclosing(docs, text, reach, min_support, min_share, remove_share, min_bits, min_g2, max_terms))
 
 
+def _counted(texts: DataFrame, terms: DataFrame, part: int, max_terms: int) -> DataFrame:
+    """``term, n_term``: different texts of one in ``part`` (by hash) that hold the term."""
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0) if part > 1 else texts
+    if is_small(terms, max_terms):
+        known = texts.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy().view(np.uint64)))
+        places = some.mapInArrow(_text_rows(known), "term bigint, t1 bigint, t2 bigint")
+    else:
+        places = some.mapInArrow(_text_rows(None), "term bigint, t1 bigint, t2 bigint").join(terms, "term", "left_semi")
+    return places.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+
+
 def _disclosing(docs: DataFrame, text: str, reach: int, min_support: int, min_share: float, remove_share: float, min_bits: float | None, min_g2: float, max_terms: int) -> DataFrame:
     texts = bounded(docs).select(F.col(text).alias("text")).where("text is not null")
     n_docs = texts.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).distinct().count()
@@ -217,16 +234,13 @@ def _disclosing(docs: DataFrame, text: str, reach: int, min_support: int, min_sh
     near = cut_lineage(near.where(f"term is null or n >= {int(min_support)}"), "contexts")
     pairs = near.where("term is not null").withColumnRenamed("n", "n_both")
     entities = near.where("term is null").select("entity", "broad", F.col("n").alias("n_entity"))
-    wanted = cut_lineage(pairs.select("term").distinct(), "context-terms")
-    if is_small(wanted, max_terms):
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["term"].to_numpy().view(np.uint64)))
-        places = texts.mapInArrow(_text_rows(known), "term bigint, t1 bigint, t2 bigint")
-    else:
-        places = texts.mapInArrow(_text_rows(None), "term bigint, t1 bigint, t2 bigint").join(wanted, "term", "left_semi")
-    corpus = places.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    corpus = cut_lineage(pairs.groupBy("term").agg(F.max("n_both").alias("most")), "context-terms")
+    for part in PARTS:
+        corpus = corpus.select("term", "most").join(_counted(texts, corpus.select("term"), part, max_terms), "term", "left").fillna(0, ["n_term"])
+        corpus = cut_lineage(corpus.where(F.col("most") >= F.col("n_term") * min_share), "context-terms")
     share, n = F.col("n_both") / F.col("n_term"), F.lit(float(max(n_docs, 1)))
     chance = F.col("n_entity") / n
-    judged = (pairs.join(entities, ["entity", "broad"]).join(corpus, "term")
+    judged = (pairs.join(entities, ["entity", "broad"]).join(corpus.drop("most"), "term")
               .withColumn("share", share).withColumn("bits", F.log2(share / chance))
               .withColumn("g2", _g2(*(F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity")), n)))
     known_better = (F.col("share") > chance) & (F.col("g2") >= min_g2)
