@@ -236,18 +236,21 @@ def _(t: Tables):
     return ac.session_limit(sessions(t)).select("session_id", "user_id")
 
 
-@query("st10_session_consistency", """WITH a AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, event_id, epoch_us(ts) AS ts_us,
+@query("st10_session_consistency", (CONSISTENCY := """WITH a AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, event_id, epoch_us(ts) AS ts_us,
   '10.0.' || (user_id % 9) || '.' || CASE WHEN event_id % 11 = 0 THEN 2 ELSE 1 END AS ip, CASE WHEN event_id % 13 = 0 THEN 'curl' ELSE 'Mozilla' END AS user_agent FROM events),
 f AS (SELECT session_id, arg_min(ip, (ts_us, event_id)) AS fip, arg_min(user_agent, (ts_us, event_id)) AS fua FROM a GROUP BY 1)
 SELECT session_id, min(ts_us) AS closed_us, arg_min(CASE WHEN ip <> fip THEN 'ip_mismatch' ELSE 'user_agent_mismatch' END, (ts_us, event_id)) AS reason, count(*) AS changes
-FROM a JOIN f USING (session_id) WHERE ip <> fip OR user_agent <> fua GROUP BY 1""")
+FROM a JOIN f USING (session_id) WHERE ip <> fip OR user_agent <> fua GROUP BY 1"""))
 def _(t: Tables):
+    return ac.session_consistency(session_activity(t.events))
+
+
+def session_activity(events):
     n = F.col("event_id")
-    rows = t.events.select(
-        F.concat("user_id", F.lit("/"), F.to_date("ts").cast("string")).alias("session_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+    return events.select(
+        F.concat("user_id", F.lit("/"), F.to_date("ts").cast("string")).alias("session_id"), "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.concat(F.lit("10.0."), F.col("user_id") % 9, F.lit("."), F.when(n % 11 == 0, 2).otherwise(1)).alias("ip"),
         F.when(n % 13 == 0, "curl").otherwise("Mozilla").alias("user_agent"))
-    return ac.session_consistency(rows)
 
 
 # --- permissions ----------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertloom.catalog.base import Tables, query, with_alerts
-from alertloom.catalog.guard import ACCEPTANCE, AUDIT, audit
+from alertloom.catalog.guard import ACCEPTANCE, AUDIT, CONSISTENCY, audit, session_activity
 from alertloom.catalog.logs import ISSUES
 from alertloom.catalog.rollups import CATALOG, DAILY, SUMMARY, catalog, chain
 from alertloom.operators import counts, issues as iss, joins
@@ -21,11 +21,23 @@ us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
 class StreamTables(Tables):
     """The event table as a stream of files; other tables as usual."""
 
+    def __init__(self, spark, sf_dir):
+        super().__init__(spark, sf_dir)
+        self.beats = scratch_dir(spark, "beats")
+
     @property
     def events(self):
         schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
+        stream = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events*.parquet")
         # The watermark needs a timestamp with zone; the session zone is UTC.
-        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+        return jobs.with_heartbeats(stream, self.spark, self.beats).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def close(self):
+        """A heartbeat long after the last event: all windows, timers and sessions of the events end."""
+        jobs.heartbeat(self.spark, self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema, self.beats, "2100-01-01 00:00:00")
+
+    def run(self, stream, label):
+        return jobs.run_to_table(stream, self.spark, label, then=self.close)
 
 
 def streamed(t: Tables) -> StreamTables:
@@ -122,50 +134,61 @@ def _(t: Tables):
 
 @query("st02_stream_dedup", "SELECT DISTINCT sha256(event_type || '|' || user_id || '|' || CAST(CAST(ts AS DATE) AS VARCHAR)) AS sha256 FROM events")
 def _(t: Tables):
-    logs = streamed(t).events.select("ts", F.sha2(F.concat_ws("|", "event_type", "user_id", F.to_date("ts").cast("string")), 256).alias("sha256"))
-    return jobs.run_to_table(jobs.dedup_stream(logs, delay="31 days"), t.spark, "dedup").select("sha256")
+    s = streamed(t)
+    logs = s.events.select("ts", F.sha2(F.concat("event_type", F.lit("|"), "user_id", F.lit("|"), F.to_date("ts").cast("string")), 256).alias("sha256"))
+    # equal hashes are of one day, so a day of state is enough
+    return s.run(jobs.dedup_stream(logs, delay="1 day"), "dedup").select("sha256").where("sha256 IS NOT NULL")
 
 
-@query("st03_minute_counts", """WITH m AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1)
-SELECT epoch_us(minute) AS minute_us, n FROM m WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+@query("st03_minute_counts", """SELECT epoch_us(date_trunc('minute', ts)) AS minute_us, count(*) AS n FROM events GROUP BY 1""")
 def _(t: Tables):
-    out = jobs.run_to_table(jobs.minute_counts(streamed(t).events), t.spark, "minutes")
-    return out.select(us("window.start").alias("minute_us"), "n")
+    s = streamed(t)
+    return s.run(jobs.minute_counts(s.events), "minutes").select(us("window.start").alias("minute_us"), "n")
 
 
 @query("st04_sliding_rates", """WITH e AS (SELECT event_type AS kind, epoch_us(ts) AS t FROM events),
-w AS (SELECT kind, CAST(floor(t / 600000000) - k AS BIGINT) * 600000000 AS start FROM e, range(6) r(k)),
-g AS (SELECT kind, start, count(*) AS n FROM w GROUP BY 1, 2)
-SELECT kind, start AS start_us, n FROM g WHERE n >= 6 AND start + 3600000000 <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 - 600000000 FROM events)""")
+w AS (SELECT kind, CAST(floor(t / 600000000) - k AS BIGINT) * 600000000 AS start FROM e, range(6) r(k))
+SELECT kind, start AS start_us, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 6""")
 def _(t: Tables):
-    events = streamed(t).events.select("ts", F.col("event_type").alias("kind"))
-    out = jobs.run_to_table(jobs.sliding_rates(events, 3600, 600, 6), t.spark, "sliding")
-    return out.select("kind", us("window.start").alias("start_us"), "n")
+    s = streamed(t)
+    events = s.events.select("ts", F.col("event_type").alias("kind"))
+    return s.run(jobs.sliding_rates(events, 3600, 600, 6), "sliding").select("kind", us("window.start").alias("start_us"), "n")
 
 
-@query("st05_stream_rate_limit", ACCEPTANCE + " SELECT event_id AS request_id, ip, CASE WHEN accepted THEN 'pass' ELSE 'limited' END AS verdict FROM walk WHERE rn > 0")
+@query("st05_stream_rate_limit", ACCEPTANCE + """, v AS (SELECT *, count(*) FILTER (WHERE NOT accepted) OVER (PARTITION BY ip ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM walk WHERE rn > 0)
+SELECT event_id AS request_id, ip, CASE WHEN earlier > 10 THEN 'blocked' WHEN accepted THEN 'pass' ELSE 'limited' END AS verdict,
+  least(earlier + CASE WHEN accepted THEN 0 ELSE 1 END, 11) AS violations FROM v""")
 def _(t: Tables):
-    requests = streamed(t).events.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("ip"), "ts", us("ts").alias("ts_us"))
-    out = jobs.run_to_table(jobs.rate_limit_stream(requests, limit=8, window_s=3600, burst=2, burst_s=600, max_violations=10**9), t.spark, "limit")
-    return out.select("request_id", "ip", "verdict")
+    s = streamed(t)
+    requests = s.events.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("ip"), "ts", us("ts").alias("ts_us"))
+    out = s.run(jobs.rate_limit_stream(requests, limit=8, window_s=3600, burst=2, burst_s=600), "limit")
+    return out.select("request_id", "ip", "verdict", "violations")
 
 
 @query("st06_stream_lockout", """WITH c AS (SELECT event_type AS user_id, epoch_us(ts) AS ts_us,
   count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events)
-SELECT user_id, ts_us FROM c WHERE n >= 5""")
+SELECT DISTINCT user_id, ts_us FROM c WHERE n >= 5""")
+def _(t: Tables):
+    s = streamed(t)
+    failures = s.events.select("ts", F.col("event_type").alias("user_id"), us("ts").alias("ts_us"), "event_id")
+    return s.run(jobs.lockout_stream(failures, minutes=60), "lockout")
+
+
+@query("st07_sessions", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+walk AS (SELECT user_id, rn, t, t AS start, 1 AS part FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, e.t, CASE WHEN e.t - w.t >= 21600000000 OR e.t - w.start >= 28800000000 THEN e.t ELSE w.start END,
+    CASE WHEN e.t - w.t >= 21600000000 THEN 1 WHEN e.t - w.start >= 28800000000 THEN w.part + 1 ELSE w.part END FROM walk w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT user_id, start AS start_us, least(max(t) + 21600000000, start + 28800000000) AS end_us, count(*) AS events, CAST(part AS INTEGER) AS part FROM walk GROUP BY user_id, start, part""")
 def _(t: Tables):
-    failures = streamed(t).events.select("ts", F.col("event_type").alias("user_id"), us("ts").alias("ts_us"))
-    return jobs.run_to_table(jobs.lockout_stream(failures, minutes=60), t.spark, "lockout")
+    s = streamed(t)
+    return s.run(jobs.sessions(s.events.select("user_id", "ts", us("ts").alias("ts_us"), "event_id"), idle=360), "sessions")
 
 
-@query("st07_sessions", """WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT user_id, t, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM e),
-g AS (SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS events FROM s GROUP BY user_id, n)
-SELECT user_id, start_us, events, CAST(greatest(1, ceil((floor(end_us / 1000000) - floor(start_us / 1000000)) / 3600 / 8)) AS INTEGER) AS parts FROM g
-WHERE end_us <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 - 7200000000 FROM events)""")
+@query("st10_session_stream", CONSISTENCY.replace(", count(*) AS changes", ""))
 def _(t: Tables):
-    out = jobs.run_to_table(jobs.sessions(streamed(t).events, idle=360), t.spark, "sessions")
-    return out.select("user_id", us("session_window.start").alias("start_us"), "events", "parts")
+    s = streamed(t)
+    return s.run(jobs.consistency_stream(session_activity(s.events)), "consistency")
 
 
 @query("st08_audit_fanout", with_alerts(AUDIT + """SELECT 'audit' AS sink, event_id FROM audit UNION ALL SELECT 'compliance', event_id FROM audit WHERE tags <> ''
@@ -181,16 +204,19 @@ def _(t: Tables):
 
 
 @query("st09_issue_upsert", with_alerts("""
-i AS (SELECT substr(sha256(title), 1, 10) AS issue_id, title, ts, full_log, alert_id FROM (SELECT *, rule_desc || ' on ' || agent_name AS title FROM alerts) a),
-n AS (SELECT issue_id, arg_max(title, (ts, full_log)) AS title, max(ts) AS ts FROM i GROUP BY 1)
-SELECT issue_id, title, epoch_us(ts) AS ts_us FROM n"""))
+i AS (SELECT substr(sha256(title), 1, 10) AS issue_id, title, ts, full_log FROM (SELECT *, rule_desc || ' on ' || agent_name AS title FROM alerts) a)
+SELECT issue_id, arg_min(title, (ts, full_log)) AS title, epoch_us(min(ts)) AS ts_us, arg_min(full_log, (ts, full_log)) AS summary
+FROM i WHERE issue_id NOT IN (SELECT substr(sha256('error on host-' || x), 1, 10) FROM range(5) r(x)) GROUP BY 1"""))
 def _(t: Tables):
     root = scratch_dir(t.spark, "issues")
     title = F.concat("rule_desc", F.lit(" on "), "agent_name")
-    found = streamed(t).alerts.select(
-        iss.issue_id(title).alias("issue_id"), "ts", F.lit("medium").alias("severity"), title.alias("title"),
-        F.col("full_log").alias("summary"), F.lit("operational").alias("category"))
-    query_ = jobs.issue_upsert(found, f"{root}/table", f"{root}/checkpoint")
-    query_.awaitTermination()
-    last = query_.lastProgress["batchId"] if query_.lastProgress else 0
-    return t.spark.read.parquet(f"{root}/table/v={last}").select("issue_id", "title", us("ts").alias("ts_us"))
+    detected = t.alerts.select("ts", F.lit("medium").alias("severity"), title.alias("title"), F.col("full_log").alias("summary"), F.lit("operational").alias("category"))
+    third = t.events.select(F.percentile_approx(F.unix_seconds(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3], 100).alias("b")).first()["b"]
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    bounds = [at < third[0], (at >= third[0]) & (at < third[1]), at >= third[1]] if third else [F.lit(True)]
+    ignored = t.spark.range(5).select(iss.issue_id(F.concat(F.lit("error on host-"), "id")).alias("issue_id"))
+    for part in bounds:  # three files, in the order of their times; each is a batch of the same resumed stream
+        detected.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(detected.schema).parquet(f"{root}/in")
+        jobs.issue_upsert(stream, f"{root}/table", f"{root}/checkpoint", ignored).awaitTermination()
+    return jobs.read_issues(t.spark, f"{root}/table").select("issue_id", "title", us("ts").alias("ts_us"), "summary")

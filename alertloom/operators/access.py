@@ -162,6 +162,27 @@ def rate_limit(requests: DataFrame, limit: int = config.REQUESTS_PER_MINUTE, win
     return final.select("request_id", "ip", "ts_us", "accepted").unionByName(free)
 
 
+def rate_verdicts(decided: DataFrame, max_violations: int = config.MAX_VIOLATIONS) -> DataFrame:
+    """``decided`` (the result of ``rate_limit``) with a verdict: pass, limited, or blocked.
+
+    A rejected request is a violation; after ``max_violations`` + 1 of them an ip is
+    blocked for good and what it sends is neither counted nor accepted. Only that
+    violation is looked for, by a rank with a limit, and met by a join with one row per ip.
+    """
+    last = top_per_group(decided.where(~F.col("accepted")).select("ip", "ts_us", "request_id"), ["ip"], [F.col("ts_us"), F.col("request_id")], max_violations + 1)
+    ends = last.groupBy("ip").agg(F.count("*").alias("n"), F.max(F.struct("ts_us", "request_id")).alias("end")).where(F.col("n") > max_violations)
+    here = F.struct("ts_us", "request_id")
+    joined = decided.join(ends.select(F.col("ip").alias("blocked_ip"), "end"), F.col("ip").eqNullSafe(F.col("blocked_ip")), "left")
+    verdict = F.when(F.col("end").isNotNull() & (here > F.col("end")), "blocked").when(F.col("accepted"), "pass").otherwise("limited")
+    return joined.withColumn("verdict", verdict).drop("blocked_ip", "end")
+
+
+def violations_per_ip(verdicts: DataFrame) -> DataFrame:
+    """``ip, requests, violations, blocked`` of judged requests, for block lists and statistics."""
+    return verdicts.groupBy("ip").agg(F.count("*").alias("requests"), F.count_if(F.col("verdict") == "limited").alias("violations"),
+                                      (F.count_if(F.col("verdict") == "blocked") > 0).alias("blocked"))
+
+
 # --- requests --------------------------------------------------------------------------
 
 def request_flags(requests: DataFrame, blocked: list[str] | None = None, methods: list[str] | None = None) -> DataFrame:

@@ -58,9 +58,9 @@ def new_issues(detected: DataFrame, existing: DataFrame, ignored: DataFrame) ->
     d = d.withColumn("issue_id", issue_id(F.col("title")))
     known = existing.select(signature(F.col("severity"), F.col("title"), F.col("summary")).alias("signature")).distinct()
     d = d.join(known, "signature", "left_anti").join(ignored.select("issue_id").distinct(), "issue_id", "left_anti")
-    for key in ("signature", "issue_id"):
-        d = (d.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("ord")))
-             .where("rn = 1").drop("rn"))
+    columns = d.columns
+    for key in ("signature", "issue_id"):  # a partial aggregate, so that a frequent issue is a row per task
+        d = d.groupBy(key).agg(F.min_by(F.struct(*columns), "ord").alias("first")).select("first.*")
     return d.join(existing.select("issue_id").distinct(), "issue_id", "left_anti")
 
 
