@@ -56,7 +56,7 @@ def brute_pairs(data, threshold, metric):
 @pytest.mark.parametrize("metric,threshold", [("cosine", 0.9), ("cosine", 0.2), ("l2", 1.2)])
 def test_pairs_are_complete_with_small_blocks(spark, cloud, metric, threshold):
     reps, _ = cl.representatives(vectors(spark, cloud))
-    pairs = cl.similar_pairs(reps, threshold, metric, block=16, pivots=5)
+    pairs = cl.similar_pairs(reps, threshold, metric, block=16, rows_per_cell=20)
     rows = [(r.a, r.b) for r in pairs.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute_pairs(cloud, threshold, metric)
 
@@ -157,3 +157,32 @@ def test_related_terms(spark):
     assert got[:3] == ["db-1.corp.net", "db", "db-1.corp.net login"] and got[-1] == "db-1.corp.net security event"
     got = spark.range(1).select(rt.related_terms(F.lit("USER"), F.lit("CORP\\jo"))).first()[0]
     assert got[1] == "jo"
+
+
+def grouped_points(n, groups, width=16, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, width)) * 4
+    return [(i, [float(x) for x in centres[i % groups] + rng.normal(size=width) * 0.15]) for i in range(n)]
+
+
+@pytest.mark.parametrize("metric, threshold", [("cosine", 0.995), ("l2", 0.9)])
+def test_pair_search_prunes_and_stays_exact(spark, metric, threshold):
+    rows = grouped_points(900, 30)
+    points = spark.createDataFrame(rows, "id long, vec array<double>")
+    found = cl.similar_pairs(points, threshold, metric, block=64, rows_per_cell=20)
+    m = np.array([v for _, v in rows])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    value = unit @ unit.T if metric == "cosine" else np.sqrt(np.maximum((m * m).sum(1)[:, None] + (m * m).sum(1)[None] - 2 * m @ m.T, 0))
+    i, j = np.nonzero(np.triu(np.round(value, 9) >= threshold if metric == "cosine" else np.round(value, 9) <= threshold, 1))
+    got = [(r.a, r.b) for r in found.collect()]
+    assert sorted(got) == list(zip(i.tolist(), j.tolist())) and len(got) > 500
+    work = cl.pair_work(points, threshold, metric, block=64, rows_per_cell=20)
+    assert len(got) <= work < 900 * 900 / 5
+
+
+def test_pair_search_in_one_cell_and_of_no_rows(spark):
+    points = spark.createDataFrame(grouped_points(50, 3), "id long, vec array<double>")
+    assert cl.pair_work(points, 0.9) == 50 * 50
+    assert cl.similar_pairs(points.limit(0), 0.9).count() == 0
+    text = points.select(F.concat(F.lit("k"), "id").alias("id"), "vec")
+    assert text.count() == 50 and cl.similar_pairs(text, 0.99).count() == cl.similar_pairs(points, 0.99).count()
