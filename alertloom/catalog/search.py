@@ -245,10 +245,9 @@ def _(t: Tables):
     return user_queries(t.alerts).select("query_id", F.array_join(rt.analysed_keywords(F.col("query"), given), ",").alias("keywords"))
 
 
-# --- comprehensive search of the two users with most failures --------------------------------
+# --- comprehensive search of all users --------------------------------
 
-WORST = """worst AS (SELECT src_user FROM alerts WHERE outcome = 'FAILURE' GROUP BY 1 ORDER BY count(*) DESC, src_user LIMIT 2)"""
-SEARCH = WORST + ", " + USERS.replace("FROM alerts)", "FROM alerts WHERE src_user IN (SELECT src_user FROM worst))") + ", " + STRATEGIES + f""",
+SEARCH = USERS + ", " + STRATEGIES + f""",
 asks AS (SELECT query_id || '#' || strategy_index AS search_id, search, keywords, least(k, greatest(10, CAST(floor(200 / count(*) OVER (PARTITION BY query_id)) AS INTEGER))) AS k FROM strategies),
 corpus AS (SELECT alert_id AS id, full_log AS text FROM alerts), {HYBRID},
 hits AS (SELECT s.query_id, h.id AS alert_id, strategy_index, rank, strategy, priority, entity, ip, u, semantic_score, bm25_score, hybrid_score
@@ -263,29 +262,22 @@ found AS (SELECT *, least(100e0, hybrid_score * 40 + CASE priority WHEN 'high' T
         FROM capped c JOIN alerts a USING (alert_id)) x)"""
 
 
-def worst_users(alerts):
-    """Questions about the two users with most failures."""
-    worst = (alerts.where("outcome = 'FAILURE'").groupBy("src_user").agg(F.count("*").alias("n"))
-             .orderBy(F.col("n").desc(), "src_user").limit(2).select("src_user"))
-    return user_queries(alerts.join(worst, "src_user"))
-
-
 @query("u01_union_strategies", with_alerts(SEARCH + "SELECT query_id, alert_id, strategy_index, rank FROM hits"))
 def _(t: Tables):
     alerts = t.alerts
-    return rt.strategy_hits(alerts, worst_users(alerts), digits=DIGITS).select("query_id", "alert_id", "strategy_index", big("rank"))
+    return rt.strategy_hits(alerts, user_queries(alerts), digits=DIGITS).select("query_id", "alert_id", "strategy_index", big("rank"))
 
 
 @query("w02_first_strategy_wins", with_alerts(SEARCH + "SELECT query_id, alert_id, strategy_index, strategy, rank FROM wins"))
 def _(t: Tables):
     alerts = t.alerts
-    first = joins.first_strategy_wins(rt.strategy_hits(alerts, worst_users(alerts), digits=DIGITS))
+    first = joins.first_strategy_wins(rt.strategy_hits(alerts, user_queries(alerts), digits=DIGITS))
     return first.select("query_id", "alert_id", "strategy_index", "strategy", big("rank"))
 
 
 def searched(t: Tables):
     alerts = t.alerts
-    return rt.comprehensive_search(alerts, worst_users(alerts), digits=DIGITS).withColumn("relevance", r6("relevance"))
+    return rt.comprehensive_search(alerts, user_queries(alerts), digits=DIGITS).withColumn("relevance", r6("relevance"))
 
 
 @query("v13_comprehensive_search", with_alerts(SEARCH + """SELECT query_id, alert_id, strategy, priority, coalesce(entity, '') AS entity,
@@ -310,7 +302,7 @@ def _(t: Tables):
 @query("t02_hybrid_order", with_alerts(SEARCH + """SELECT search_id, id, hybrid_score, rank FROM hybrid"""))
 def _(t: Tables):
     alerts = t.alerts
-    hits = rt.strategy_hits(alerts, worst_users(alerts), digits=DIGITS)
+    hits = rt.strategy_hits(alerts, user_queries(alerts), digits=DIGITS)
     return hits.select(F.concat("query_id", F.lit("#"), "strategy_index").alias("search_id"), F.col("alert_id").alias("id"),
                        "hybrid_score", big("rank")).orderBy("search_id", "rank")
 
@@ -340,7 +332,7 @@ HOST_TERMS = ["e", *suffixed("e", config.ENTITY_SEARCH_SUFFIXES), *suffixed("spl
 
 
 @query("v15_entity_search", with_alerts(f"""
-w AS (SELECT agent_name AS e FROM alerts WHERE outcome = 'FAILURE' GROUP BY 1 ORDER BY count(*) DESC, agent_name LIMIT 2),
+w AS (SELECT DISTINCT agent_name AS e FROM alerts),
 p AS (SELECT e, unnest([{', '.join(HOST_TERMS)}]) AS search, unnest(range({len(HOST_TERMS)})) AS i FROM w),
 asks AS (SELECT e || '#' || i AS search_id, search, e AS keywords, 20 AS k FROM p),
 corpus AS (SELECT alert_id AS id, full_log AS text FROM alerts), {HYBRID},
@@ -349,26 +341,22 @@ f AS (SELECT p.e AS entity, id AS alert_id, hybrid_score FROM hybrid h JOIN p ON
 SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY hybrid_score DESC, alert_id) AS INTEGER) AS place FROM f QUALIFY place <= 100"""))
 def _(t: Tables):
     alerts = t.alerts
-    worst = (alerts.where("outcome = 'FAILURE'").groupBy("agent_name").agg(F.count("*").alias("n"))
-             .orderBy(F.col("n").desc(), "agent_name").limit(2))
-    wanted = worst.select(F.col("agent_name").alias("entity"), F.lit("COMPUTER").alias("entity_type"))
+    wanted = alerts.select(F.col("agent_name").alias("entity"), F.lit("COMPUTER").alias("entity_type")).distinct()
     return rt.entity_search(alerts, wanted, digits=DIGITS).select(F.col("query_id").alias("entity"), "alert_id", "hybrid_score", "place")
 
 
 @query("j12_issue_context", with_alerts(ISSUES + f""",
-top AS (SELECT * FROM issues ORDER BY CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, issue_id LIMIT 2),
-p AS (SELECT issue_id, unnest([title, summary, title || ' error failure', title || ' authentication certificate cryptographic']) AS search, unnest(range(4)) AS i FROM top),
+p AS (SELECT issue_id, unnest([title, summary, title || ' error failure', title || ' authentication certificate cryptographic']) AS search, unnest(range(4)) AS i FROM issues),
 asks AS (SELECT issue_id || '#' || i AS search_id, search, '' AS keywords, 30 AS k FROM p),
 corpus AS (SELECT alert_id AS id, full_log AS text FROM alerts), {HYBRID},
 parts AS (
-  SELECT issue_id, alert_id, 0 AS part, pos + 1 AS rank FROM (SELECT issue_id, unnest(related_logs[1:10]) AS sha256, unnest(range(10)) AS pos FROM top) r JOIN alerts USING (sha256)
+  SELECT issue_id, alert_id, 0 AS part, pos + 1 AS rank FROM (SELECT issue_id, unnest(related_logs[1:10]) AS sha256, unnest(range(10)) AS pos FROM issues) r JOIN alerts USING (sha256)
   UNION ALL SELECT issue_id, id, i + 1, rank FROM hybrid h JOIN p ON h.search_id = p.issue_id || '#' || p.i),
 u AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY issue_id, alert_id ORDER BY part, rank) = 1)
 SELECT issue_id, alert_id, CAST(part AS BIGINT) AS part, CAST(row_number() OVER (PARTITION BY issue_id ORDER BY part, rank) AS INTEGER) AS seq FROM u QUALIFY seq <= 50"""))
 def _(t: Tables):
     alerts = t.alerts
-    top = filters.issue_order(iss.detect_from_alerts(alerts)).limit(2)
-    return rt.issue_context(alerts, top, digits=DIGITS).select("issue_id", "alert_id", big("part"), "seq")
+    return rt.issue_context(alerts, iss.detect_from_alerts(alerts), digits=DIGITS).select("issue_id", "alert_id", big("part"), "seq")
 
 
 # --- relations, trends, digests ------------------------------------------------------------------

@@ -79,43 +79,64 @@ def _rounded(score: Column, digits: int | None) -> Column:
 
 
 def bm25(corpus: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "text",
-         only: DataFrame | None = None, k1: float = config.BM25_K1, b: float = config.BM25_B, digits: int | None = None) -> DataFrame:
+         only: DataFrame | None = None, k1: float = config.BM25_K1, b: float = config.BM25_B, digits: int | None = None,
+         copies: str | None = None) -> DataFrame:
     """BM25 score of every (query, document) pair that shares a term.
 
     ``only`` (query_id, id) restricts scoring to candidates; document counts
-    are always those of the whole corpus. The corpus is reduced to query terms
+    are always those of the whole corpus, in which a row stands for ``copies`` documents of its text. The corpus is reduced to query terms
     inside each task, and term counts are combined there before any shuffle.
     """
-    docs = spread(corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", tokens(F.col("text")).alias("tokens"))
+    many = F.col(copies) if copies else F.lit(1)
+    docs = spread(corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text"), many.cast("bigint").alias("copies"))).select(
+        "id", "copies", tokens(F.col("text")).alias("tokens"))
     # The length is a column of its own: otherwise every exploded term would carry the whole token array.
     docs = docs.withColumn("len", F.size("tokens"))
     # A scalar subquery: one row of corpus statistics without a join.
-    stats = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")).alias("s")).scalar()
+    stats = docs.agg(F.struct(F.sum("copies").alias("n_docs"), (F.sum(F.col("copies") * F.col("len")) / F.sum("copies")).alias("mean_len")).alias("s")).scalar()
     wanted = terms.select("term").distinct()
     if is_small(wanted, TERM_LIMIT):
         # Checked: a batch of questions has few terms, so tokens meet them before any shuffle.
         wanted = F.broadcast(wanted)
-    count = lambda part: (exploded(part, ["id", "len"], F.col("tokens"), "term").join(wanted, "term")
-                          .groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
+    count = lambda part: (exploded(part, ["id", "copies", "len"], F.col("tokens"), "term").join(wanted, "term")
+                          .groupBy("id", "copies", "len", "term").agg(F.count("*").alias("tf")))
     if only is None:
         tf = count(docs)
         seen = tf
     else:
         tf = count(docs.join(only.select("id").distinct(), "id"))
-        seen = exploded(docs, ["id"], F.array_distinct("tokens"), "term").join(wanted, "term")
-    df = seen.groupBy("term").agg(F.count("*").alias("df"))
-    pairs = tf.join(terms.join(df, "term").withColumn("stats", stats), "term")
-    if only is not None:
-        pairs = pairs.join(only, ["query_id", "id"], "left_semi")
+        seen = exploded(docs, ["id", "copies"], F.array_distinct("tokens"), "term").join(wanted, "term")
+    df = seen.groupBy("term").agg(F.sum("copies").alias("df"))
+    if only is None:
+        pairs = tf.join(terms.join(df, "term").withColumn("stats", stats), "term")
+    else:  # the candidates of a query meet its own terms first: no row for a document that is none
+        pairs = only.join(terms, "query_id").join(tf, ["id", "term"]).join(df.withColumn("stats", stats), "term")
     idf = F.log(1 + (F.col("stats.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("stats.mean_len")))
     return pairs.groupBy("query_id", "id").agg(_rounded(F.sum(F.col("weight") * idf * part), digits).alias("bm25"))
 
 
+def _members_of(near: DataFrame, sizes: DataFrame, members: DataFrame, wanted: Column) -> DataFrame:
+    """The best ``wanted`` documents of each query among the copies of the texts near it, equal scores by document.
+
+    Texts behind better ones that already hold enough documents are left out before their members are joined.
+    """
+    near = near.join(sizes, "text_id")
+    better = Window.partitionBy("query_id").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = near.groupBy("query_id", "score").agg(F.sum("copies").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(better), F.lit(0)))
+    needed = near.join(steps.drop("here"), ["query_id", "score"]).where(F.col("before") < wanted).drop("before", "copies", "rank")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    rows = needed.join(members.select(F.col("id").alias("text_id"), F.col("member").alias("id")), "text_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
+
+
 def hybrid_search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec_col: str = "embedding",
-                  text: str = "text", digits: int | None = None) -> DataFrame:
+                  text: str = "text", digits: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """Semantic candidates reranked by keywords.
 
+    With ``members`` (id, member) a row of the corpus is a text that stands for its ``copies`` documents: each text
+    is searched once, and the results are members. A text needs no more members than are asked for.
+
     Ranks follow exact scores unless ``digits`` rounds every score first.
 
     ``queries``: query_id, embedding, keywords (text, may be empty), k. Twice
@@ -126,15 +147,19 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec
     if not widest:
         raise ValueError("queries need a positive k")
     ask = queries.select("query_id", "k", (F.trim("keywords") != "").alias("keyed"))
-    near = vector_search(corpus, queries, widest, "l2", id_col, vec_col, digits=digits).join(ask, "query_id").where(
-        F.col("rank") <= F.when(F.col("keyed"), F.col("k") * 2).otherwise(F.col("k")))
+    wanted = F.when(F.col("keyed"), F.col("k") * 2).otherwise(F.col("k"))
+    near = vector_search(corpus, queries, widest, "l2", id_col, vec_col, digits=digits).join(ask, "query_id").withColumnRenamed("id", "text_id")
+    if members is None:
+        near = near.where(F.col("rank") <= wanted).withColumn("id", F.col("text_id"))
+    else:
+        near = _members_of(near, corpus.select(F.col(id_col).alias("text_id"), "copies"), members, wanted)
     # Three later steps read the candidates; at most 2k rows per query are kept.
     near = cut_lineage(near, "near")
-    candidates = near.select("query_id", "id")
-    words = bm25(corpus, query_terms(queries, F.col("keywords")), id_col, text, only=candidates, digits=digits)
+    candidates = near.select("query_id", F.col("text_id").alias("id")).distinct()
+    words = bm25(corpus, query_terms(queries, F.col("keywords")), id_col, text, only=candidates, digits=digits, copies=None if members is None else "copies")
     best = words.groupBy("query_id").agg(F.max("bm25").alias("top"))
-    scaled = words.join(best, "query_id").select("query_id", "id", F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(0.0).alias("bm25_score"))
-    merged = near.drop("rank").join(scaled, ["query_id", "id"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
+    scaled = words.join(best, "query_id").select("query_id", F.col("id").alias("text_id"), F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(0.0).alias("bm25_score"))
+    merged = near.drop("rank").join(scaled, ["query_id", "text_id"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     mixed = merged.withColumn("hybrid_score", F.when(
         F.col("keyed"), _rounded(config.SEMANTIC_WEIGHT * F.col("score") + config.KEYWORD_WEIGHT * F.col("bm25_score"), digits)).otherwise(F.col("score")))
     order = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), "id")

@@ -9,8 +9,9 @@ from alertloom import config
 from alertloom.functions.entities import entities, query_entities
 from alertloom.functions.vectors import hashed_embedding
 from alertloom.operators import joins
+from alertloom.operators.patterns import top_per_group
 from alertloom.operators.search import hybrid_search, relevance
-from alertloom.session import spread
+from alertloom.session import cut_lineage, spread
 
 
 def with_suffixes(value: Column, suffixes: list[str]) -> Column:
@@ -88,23 +89,34 @@ def plan_strategies(queries: DataFrame) -> DataFrame:
         "query_id", "query", "basic", "n_strategies", "strategy_index", "s.*")
 
 
-def search_text(logs: DataFrame, embed=None) -> DataFrame:
-    """Corpus form of alerts: id, text and embedding.
+def search_texts(logs: DataFrame, members: int, embed=None) -> tuple[DataFrame, DataFrame]:
+    """(texts: id, text, copies, embedding; members: id, member) of alerts.
 
-    ``embed`` is any Arrow UDF from text to a vector. Alerts that were embedded
-    at ingest carry an ``embedding`` column, which is used as it is.
+    Logs repeat their texts, so each different text is embedded, counted and searched once, under the
+    smallest alert of it; a text keeps its ``members`` smallest alerts. Both are stored, as several steps read them.
+    ``embed`` is any Arrow UDF from text to a vector. Alerts that were embedded at ingest carry an
+    ``embedding`` column, which is used as it is.
     """
-    if "embedding" in logs.columns:
-        return logs.select(F.col("alert_id").alias("id"), F.col("full_log").alias("text"), "embedding")
-    embed = embed or hashed_embedding()
-    return spread(logs).select(F.col("alert_id").alias("id"), F.col("full_log").alias("text"), embed("full_log").alias("embedding"))
-
-
-def run_searches(corpus: DataFrame, searches: DataFrame, embed=None, digits: int | None = None) -> DataFrame:
-    """Hybrid search of (search_id, search, keywords, k) rows."""
-    embed = embed or hashed_embedding()
-    asked = searches.select(F.col("search_id").alias("query_id"), embed("search").alias("embedding"), "keywords", "k")
-    return hybrid_search(corpus, asked, digits=digits).withColumnRenamed("query_id", "search_id")
+    ready = "embedding" in logs.columns
+    full = F.coalesce("full_log", F.lit(""))
+    keyed = logs.select("alert_id", full.alias("full_log"), F.sha2(full, 256).alias("h"), *(["embedding"] if ready else []))
+    extra = [F.any_value("embedding").alias("embedding")] if ready else []
+    texts = keyed.groupBy("h").agg(F.min("alert_id").alias("id"), F.any_value("full_log").alias("text"), F.count("*").alias("copies"), *extra)
+    if not ready:
+        texts = spread(texts).withColumn("embedding", (embed or hashed_embedding())("text"))
+    texts = cut_lineage(texts, "texts")
+    smallest = top_per_group(keyed.select("h", "alert_id"), ["h"], [F.col("alert_id")], members)
+    held = cut_lineage(smallest.select("h", F.col("alert_id").alias("member")).join(texts.select("h", "id"), "h").select("id", "member"), "members")
+    return texts.drop("h"), held
+
+
+def run_searches(logs: DataFrame, searches: DataFrame, embed=None, digits: int | None = None) -> DataFrame:
+    """Hybrid search of (search_id, search, keywords, k) rows over the texts of alerts."""
+    asked = searches.select(F.col("search_id").alias("query_id"), "search", "keywords", "k")
+    asked = cut_lineage(asked.withColumn("embedding", (embed or hashed_embedding())("search")).drop("search"), "asked")
+    widest = 2 * (asked.agg(F.max("k")).first()[0] or 1)
+    texts, members = search_texts(logs, widest, embed)
+    return hybrid_search(texts, asked, digits=digits, members=members).withColumnRenamed("query_id", "search_id")
 
 
 def strategy_hits(logs: DataFrame, queries: DataFrame, max_results: int = 200, embed=None, digits: int | None = None) -> DataFrame:
@@ -113,7 +125,7 @@ def strategy_hits(logs: DataFrame, queries: DataFrame, max_results: int = 200, e
     budget = F.greatest(F.lit(10), F.floor(F.lit(max_results) / F.col("n_strategies")).cast("int"))
     plan = plan.withColumn("k", F.least("k", budget)).withColumn(
         "search_id", F.concat("query_id", F.lit("#"), "strategy_index"))
-    hits = run_searches(search_text(logs, embed), plan, embed, digits)
+    hits = run_searches(logs, plan, embed, digits)
     return hits.join(plan.select("search_id", "query_id", "basic", "strategy", "priority", "entity", "strategy_index"), "search_id").select(
         "query_id", F.col("id").alias("alert_id"), "strategy_index", "rank", "strategy", "priority", "entity", "basic",
         "semantic_score", "bm25_score", "hybrid_score")
@@ -141,7 +153,7 @@ def entity_search(logs: DataFrame, wanted: DataFrame, per_term: int = 20, cap: i
         F.array(e), with_suffixes(e, config.ENTITY_SEARCH_SUFFIXES), with_suffixes(base_name(e), ["failure", "error"]))).otherwise(F.array(e)))
     plan = wanted.select("entity", F.posexplode_outer(terms).alias("strategy_index", "search")).select(
         "*", F.col("entity").alias("keywords"), F.lit(per_term).alias("k"), F.concat("entity", F.lit("#"), "strategy_index").alias("search_id"))
-    hits = run_searches(search_text(logs, embed), plan, embed, digits).join(plan.select("search_id", "entity", "strategy_index"), "search_id")
+    hits = run_searches(logs, plan, embed, digits).join(plan.select("search_id", "entity", "strategy_index"), "search_id")
     first = joins.first_strategy_wins(hits.select(F.col("entity").alias("query_id"), F.col("id").alias("alert_id"), "strategy_index", "rank", "hybrid_score"))
     best = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), "alert_id")
     return first.withColumn("place", F.row_number().over(best)).where(F.col("place") <= cap)
@@ -171,7 +183,7 @@ def issue_context(logs: DataFrame, issues: DataFrame, cap: int = 50, related: in
     texts = F.array(title, summary, F.concat(title, F.lit(" error failure")), F.concat(title, F.lit(" authentication certificate cryptographic")))
     plan = issues.select("issue_id", F.posexplode_outer(texts).alias("i", "search")).select(
         "*", F.lit("").alias("keywords"), F.lit(per_query).alias("k"), F.concat("issue_id", F.lit("#"), "i").alias("search_id"))
-    hits = run_searches(search_text(logs, embed), plan, embed, digits).join(plan.select("search_id", "issue_id", "i"), "search_id")
+    hits = run_searches(logs, plan, embed, digits).join(plan.select("search_id", "issue_id", "i"), "search_id")
     parts = [refs] + [hits.where(F.col("i") == n).select("issue_id", F.col("id").alias("alert_id"), "rank") for n in range(4)]
     united = joins.ordered_union(parts, ["issue_id", "alert_id"])
     order = Window.partitionBy("issue_id").orderBy("part", "rank")
