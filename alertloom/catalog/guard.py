@@ -160,20 +160,42 @@ def _(t: Tables):
     return flags(t).select("request_id", "verdict", "slow", "failed")
 
 
-@query("a37_request_stats", f"""WITH {REQUESTS}, {FLAGS} SELECT count(*) AS total, count(*) FILTER (WHERE verdict NOT IN ('ok', 'suspicious_user_agent')) AS blocked,
-  count(*) FILTER (WHERE failed) AS limited, count(*) FILTER (WHERE verdict = 'suspicious_user_agent') AS suspicious,
-  round(count(*) FILTER (WHERE verdict NOT IN ('ok', 'suspicious_user_agent')) / count(*) * 100, 6) AS percent_blocked, count(DISTINCT ip) AS active_ips FROM flags""")
+# Requests by the rate limit of their address: 2 in six hours, 1 in ten minutes; blocked for good after the fourth violation.
+RATED = f"""{REQUESTS}, q AS (SELECT request_id, ip, ts_us AS t, row_number() OVER (PARTITION BY ip ORDER BY ts_us, request_id) AS rn FROM requests),
+walk AS (
+  SELECT ip, 0::BIGINT AS rn, NULL::BIGINT AS request_id, false AS accepted, CAST([] AS BIGINT[]) AS acc, 0 AS strikes FROM (SELECT DISTINCT ip FROM q) x
+  UNION ALL
+  SELECT ip, rn, request_id, passed, CASE WHEN passed THEN list_append(kept, t) ELSE kept END, strikes + CASE WHEN passed THEN 0 ELSE 1 END FROM (
+    SELECT *, len(kept) < 2 AND len(list_filter(kept, lambda a: a > t - 600000000)) < 1 AS passed FROM (
+      SELECT q.ip, q.rn, q.request_id, q.t, w.strikes, list_filter(w.acc, lambda a: a > q.t - 21600000000) AS kept FROM walk w JOIN q ON q.ip = w.ip AND q.rn = w.rn + 1) k) p),
+rated AS (SELECT request_id, ip, CASE WHEN strikes - CASE WHEN accepted THEN 0 ELSE 1 END > 3 THEN 'blocked' WHEN accepted THEN 'pass' ELSE 'limited' END AS rate FROM walk WHERE rn > 0)"""
+
+
+def rated(asked):
+    decided = ac.rate_limit(asked.select("request_id", "ip", "ts_us"), limit=2, window_s=6 * 3600, burst=1, burst_s=600, chunk_s=24 * 3600)
+    return ac.rate_verdicts(decided, max_violations=3).select("request_id", "ip", "verdict")
+
+
+@query("w05_rate_verdicts", f"WITH RECURSIVE {RATED} SELECT ip, count(*) AS requests, count(*) FILTER (WHERE rate = 'limited') AS violations, count(*) FILTER (WHERE rate = 'blocked') > 0 AS blocked FROM rated GROUP BY 1")
 def _(t: Tables):
-    return ac.request_stats(flags(t).withColumn("limited", F.col("failed"))).withColumn("percent_blocked", F.round("percent_blocked", 6))
+    return ac.violations_per_ip(rated(requests(t)))
 
 
-@query("j11_ip_lists", f"""WITH {REQUESTS}, p AS (SELECT ip, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS violations FROM requests GROUP BY 1),
+@query("a37_request_stats", f"""WITH RECURSIVE {RATED}, {FLAGS}, v AS (SELECT f.ip, rate, CASE WHEN rate = 'blocked' THEN 'ip_blocked' ELSE verdict END AS verdict FROM flags f JOIN rated USING (request_id))
+SELECT count(*) AS total, count(*) FILTER (WHERE verdict NOT IN ('ok', 'suspicious_user_agent')) AS blocked,
+  count(*) FILTER (WHERE rate = 'limited') AS limited, count(*) FILTER (WHERE verdict = 'suspicious_user_agent') AS suspicious,
+  round(count(*) FILTER (WHERE verdict NOT IN ('ok', 'suspicious_user_agent')) / count(*) * 100, 6) AS percent_blocked, count(DISTINCT ip) AS active_ips FROM v""")
+def _(t: Tables):
+    return ac.request_stats(ac.with_rates(flags(t), rated(requests(t)))).withColumn("percent_blocked", F.round("percent_blocked", 6))
+
+
+@query("j11_ip_lists", f"""WITH RECURSIVE {RATED}, p AS (SELECT ip, count(*) AS requests, count(*) FILTER (WHERE rate = 'limited') AS violations FROM rated GROUP BY 1),
 b AS (SELECT DISTINCT ip FROM requests WHERE user_agent = 'nmap' AND length > 3000000), a AS (SELECT DISTINCT ip FROM requests WHERE method = 'GET' AND path <> '/view')
-SELECT ip, requests, violations, CASE WHEN ip IN (FROM b) THEN 'block_list' WHEN ip NOT IN (FROM a) THEN 'not_allowed' WHEN violations > 10 THEN 'violations' ELSE 'pass' END AS verdict FROM p""")
+SELECT ip, requests, violations, CASE WHEN ip IN (FROM b) THEN 'block_list' WHEN ip NOT IN (FROM a) THEN 'not_allowed' WHEN violations > 3 THEN 'violations' ELSE 'pass' END AS verdict FROM p""")
 def _(t: Tables):
     r = requests(t)
-    return ac.ip_verdicts(r.select("ip", (F.col("status") >= 400).alias("violation")), r.where("user_agent = 'nmap' AND length > 3000000"),
-                          r.where("method = 'GET' AND path <> '/view'"))
+    return ac.ip_verdicts(rated(r).select("ip", (F.col("verdict") == "limited").alias("violation")), r.where("user_agent = 'nmap' AND length > 3000000"),
+                          r.where("method = 'GET' AND path <> '/view'"), max_violations=3)
 
 
 ACCEPTANCE = """WITH RECURSIVE e AS (
@@ -294,6 +316,59 @@ def _(t: Tables):
     return ac.access_review(asked, granted(t)).select("o_orderkey", "decision")
 
 
+# Grants of nations hold for one year or for all, and some of them under conditions; requests name both or none.
+SCOPED = """sperms AS (SELECT 'nation-' || n_nationkey AS role, CASE n_nationkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS resource,
+    CASE WHEN n_nationkey % 7 = 0 THEN 'admin' ELSE 'write' END AS action, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE CAST(1992 + n_nationkey % 7 AS VARCHAR) END AS resource_id,
+    CASE WHEN n_nationkey % 3 = 0 THEN [] WHEN n_nationkey % 3 = 1 THEN ['status=O'] ELSE ['status=F', 'tier=low'] END AS conditions FROM nation
+  UNION ALL SELECT 'region-' || r_regionkey, '3-MEDIUM', 'read', CAST(1992 + r_regionkey AS VARCHAR), ['tier=low'] FROM region),
+srole AS (SELECT DISTINCT role, role AS source FROM sperms UNION SELECT child, parent FROM parents UNION SELECT a.child, b.parent FROM parents a JOIN parents b ON a.parent = b.child),
+sgrant AS (SELECT DISTINCT user_id, resource, action, resource_id, conditions FROM active JOIN srole USING (role) JOIN sperms ON sperms.role = srole.source)"""
+
+
+def scoped_grants(t: Tables):
+    nation, region = F.concat(F.lit("nation-"), "n_nationkey"), F.concat(F.lit("region-"), "r_regionkey")
+    pick = lambda key, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(key) % len(names) + 1).cast("int"))
+    rule = lambda *pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    third = F.col("n_nationkey") % 3
+    perms = t.nation.select(
+        nation.alias("role"), pick("n_nationkey", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW").alias("resource"),
+        F.when(F.col("n_nationkey") % 7 == 0, "admin").otherwise("write").alias("action"),
+        F.when(F.col("n_nationkey") % 2 != 0, (1992 + F.col("n_nationkey") % 7).cast("string")).alias("resource_id"),
+        F.when(third == 1, rule(("status", "O"))).when(third == 2, rule(("status", "F"), ("tier", "low"))).alias("conditions")).unionByName(
+        t.region.select(region.alias("role"), F.lit("3-MEDIUM").alias("resource"), F.lit("read").alias("action"),
+                        (1992 + F.col("r_regionkey")).cast("string").alias("resource_id"), rule(("tier", "low")).alias("conditions")))
+    parents = t.nation.select(F.concat(F.lit("region-"), "n_regionkey").alias("parent"), nation.alias("child")).unionByName(
+        t.region.select(F.lit("all").alias("parent"), region.alias("child")))
+    people = t.customer.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("nation-"), "c_nationkey").alias("role"),
+                               F.when(F.col("c_acctbal") < 0, 1).otherwise(3).alias("expires_at"))
+    return ac.effective_permissions(people, parents, perms, F.lit(2))
+
+
+@query("j10_scoped_permissions", f"WITH {PERMISSIONS}, {SCOPED} SELECT user_id, resource, action, resource_id, array_to_string(list_sort(conditions), ',') AS conditions FROM sgrant")
+def _(t: Tables):
+    pair = lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    return scoped_grants(t).withColumn("conditions", F.coalesce(F.array_join(F.transform("conditions", pair), ","), F.lit("")))
+
+
+@query("j10_scoped_review", f"""WITH {PERMISSIONS}, {SCOPED}, r AS (SELECT o_orderkey, o_custkey AS user_id, o_orderpriority AS resource,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'read' ELSE 'write' END AS action,
+  CASE WHEN o_orderkey % 4 <> 0 THEN CAST(year(o_orderdate) AS VARCHAR) END AS resource_id,
+  CASE o_orderkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['status=' || o_orderstatus] ELSE ['status=' || o_orderstatus, CASE WHEN o_totalprice < 150000 THEN 'tier=low' ELSE 'tier=high' END] END AS asked FROM orders)
+SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM sgrant g WHERE g.user_id = r.user_id AND g.resource = r.resource AND
+  (g.action = 'admin' OR g.action = r.action OR (g.action = 'write' AND r.action = 'read')) AND (r.resource_id IS NULL OR g.resource_id = r.resource_id)
+  AND (len(asked) = 0 OR len(conditions) = 0 OR list_has_all(conditions, asked))) THEN 'allow' ELSE 'deny' END AS decision FROM r""")
+def _(t: Tables):
+    key = F.col("o_orderkey")
+    status = F.create_map(F.lit("status"), F.col("o_orderstatus"))
+    tier = F.create_map(F.lit("tier"), F.when(F.col("o_totalprice") < 150000, "low").otherwise("high"))
+    asked = t.orders.select(
+        "o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("resource"),
+        F.when(key % 11 == 0, "delete").when(key % 3 == 0, "read").otherwise("write").alias("action"),
+        F.when(key % 4 != 0, F.year("o_orderdate").cast("string")).alias("resource_id"),
+        F.when(key % 3 == 1, status).when(key % 3 == 2, F.map_concat(status, tier)).alias("conditions"))
+    return ac.scoped_review(asked, scoped_grants(t)).select("o_orderkey", "decision")
+
+
 # --- audit -----------------------------------------------------------------------------------
 
 AUDIT = """raw AS (SELECT alert_id AS event_id, epoch_us(ts) AS ts_us, src_user AS user_id, src_ip AS source_ip, full_log AS details, rule_desc AS action,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertloom import config
-from alertloom.catalog.base import Tables, query
+from alertloom.catalog.base import Tables, query, with_alerts
 from alertloom.functions import entities as ent
 from alertloom.functions import pii, redaction
 from alertloom.functions.matching import exploded
-from alertloom.operators import joins
+from alertloom.operators import joins, lookup
 from alertloom.plans import redact as job
 
 # --- SQL builders -------------------------------------------------------------
@@ -72,11 +72,19 @@ IP_VALID = (rf"(len({IP_PARTS}) = 4 AND NOT regexp_matches(value, '(^|\.)0[0-9]'
             f"list_max(list_transform({IP_PARTS}, lambda p: try_cast(p AS BIGINT))) <= 255)")
 IP_NUM = (f"(CAST({IP_PARTS}[1] AS BIGINT) * 16777216 + CAST({IP_PARTS}[2] AS BIGINT) * 65536 + "
           f"CAST({IP_PARTS}[3] AS BIGINT) * 256 + CAST({IP_PARTS}[4] AS BIGINT))")
-IP_SCOPE = f"""CASE WHEN kind <> 'ip_address' THEN NULL WHEN contains(value, ':') THEN 'ipv6'
+# the reserved ranges as numbers: 0/8, 192.0.0/24, 192.0.2/24, 198.18/15, 198.51.100/24, 203.0.113/24, 240/4
+RESERVED = [(0, 16777215), (3221225472, 3221225727), (3221225984, 3221226239), (3323068416, 3323199487), (3325256704, 3325256959),
+            (3405803776, 3405804031), (4026531840, 4294967295)]
+IP6 = "array_to_string(list_transform(string_split(lower(value), ':'), lambda g: lpad(g, 4, '0')), '')"
+IP_SCOPE = f"""CASE WHEN kind <> 'ip_address' THEN NULL
+  WHEN contains(value, ':') THEN CASE WHEN regexp_matches({IP6}, {lit(config.SYSTEM_IPV6)}) THEN 'ipv6_system'
+    WHEN regexp_matches({IP6}, {lit(config.RESERVED_IPV6)}) AND NOT regexp_matches({IP6}, {lit(config.RESERVED_IPV6_EXCEPT)}) THEN 'ipv6_reserved' ELSE 'ipv6' END
   WHEN NOT {IP_VALID} THEN 'invalid'
   WHEN starts_with(value, '127.') OR starts_with(value, '169.254.') THEN 'system'
   WHEN starts_with(value, '10.') OR starts_with(value, '192.168.')
-    OR (starts_with(value, '172.') AND CAST({IP_PARTS}[2] AS INT) BETWEEN 16 AND 31) THEN 'private' ELSE 'public' END"""
+    OR (starts_with(value, '172.') AND CAST({IP_PARTS}[2] AS INT) BETWEEN 16 AND 31) THEN 'private'
+  WHEN {" OR ".join(f"{IP_NUM} BETWEEN {low} AND {high}" for low, high in RESERVED)} THEN
+    CASE WHEN value IN ('192.0.0.9', '192.0.0.10') THEN 'public' ELSE 'reserved' END ELSE 'public' END"""
 
 KEPT = ", ".join(lit(k) for k in config.INDICATOR_KEPT)
 MINIMUM = "CASE kind " + " ".join(f"WHEN {lit(k)} THEN {m}e0" for k, (_, m) in config.INDICATOR_POLICY.items()) + " ELSE 0.7e0 END"
@@ -92,8 +100,8 @@ iscored AS (
   FROM (SELECT *, CASE WHEN scope = 'invalid' THEN s2 * 0.5e0 ELSE s2 END AS confidence FROM (
     SELECT *, CASE WHEN {any_of('c', config.INDICATOR_EXAMPLE_WORDS)} THEN s1 * 0.7e0 ELSE s1 END AS s2 FROM (
       SELECT *, CASE WHEN {any_of('c', config.INDICATOR_ALERT_WORDS)} THEN least(base * 1.1e0, 1e0) ELSE base END AS s1 FROM (
-        SELECT *, CASE WHEN kind IN ('file_hash', 'cve') THEN 0.95e0 WHEN scope = 'system' THEN 0.9e0
-                       WHEN scope = 'private' THEN 0.85e0 WHEN scope = 'invalid' THEN 0.3e0 ELSE 0.8e0 END AS base
+        SELECT *, CASE WHEN kind IN ('file_hash', 'cve') THEN 0.95e0 WHEN scope IN ('system', 'ipv6_system') THEN 0.9e0
+                       WHEN scope IN ('private', 'reserved', 'ipv6_reserved') THEN 0.85e0 WHEN scope = 'invalid' THEN 0.3e0 ELSE 0.8e0 END AS base
         FROM iscoped) x) y) z) w)"""
 
 TOKEN = f"upper(kind) || '_TOKEN_' || upper(substr(md5(value || {lit(config.DEFAULT_SALT)}), 1, 8))"
@@ -109,7 +117,23 @@ MASK = rf"""CASE WHEN regexp_matches(value, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')
   ELSE left(value, 2) || repeat('*', length(value) - 4) || right(value, 2) END"""
 
 
-def sql_redacted(mode: str) -> str:
+# The threat table of the queries: addresses, hashes and domains of every second text, and a network of each address.
+BOOST = "CASE s.kind " + " ".join(f"WHEN {lit(k)} THEN {b}e0" for k, b in config.THREAT_BOOST.items()) + " END"
+THREATS = f"""intel AS (SELECT DISTINCT kind, lower(value) AS v FROM iscored WHERE doc_id % 2 = 0 AND kind IN ('ip_address', 'file_hash', 'domain')),
+intel_net AS (SELECT DISTINCT {IP_NUM} // 65536 AS net FROM iscored WHERE doc_id % 4 = 0 AND kind = 'ip_address' AND NOT contains(value, ':') AND scope <> 'invalid'),
+threatened AS (SELECT s.* REPLACE (least(1e0, confidence * CASE WHEN is_threat THEN {BOOST} ELSE 1e0 END) AS confidence, keep OR is_threat AS keep)
+  FROM (SELECT *, (kind, lower(value)) IN (SELECT (kind, v) FROM intel) OR coalesce(CASE WHEN kind = 'ip_address' AND NOT contains(value, ':') AND scope <> 'invalid'
+    THEN {IP_NUM} // 65536 END IN (SELECT net FROM intel_net), false) AS is_threat FROM iscored) s),
+listed AS (SELECT * REPLACE (confidence >= {MINIMUM} AS reaches) FROM threatened)"""
+
+
+def intel(t: Tables):
+    hits = job.indicator_hits(t.documents.where("doc_id % 2 = 0"), candidates=True).where(F.col("kind").isin(list(config.THREAT_BOOST)))
+    near = F.when((F.col("doc_id") % 4 == 0) & (F.col("kind") == "ip_address") & (pii.ip_version(F.col("value")) == 4), F.concat("value", F.lit("/16")))
+    return hits.select("kind", F.explode(F.array("value", near)).alias("value")).where("value is not null").distinct()
+
+
+def sql_redacted(mode: str, scored: str = "iscored") -> str:
     """CTEs ending in ``done(doc_id, redacted, redactions, indicators)``."""
     keep, aggressive, _, _ = config.REDACTION_MODES[mode]
     base = "0.6e0" if aggressive else "0.7e0"
@@ -117,9 +141,9 @@ def sql_redacted(mode: str) -> str:
         f"WHEN {lit(k)} THEN {min(m, 0.6) if aggressive else m}e0" for k, (_, _, m) in config.REDACTION_RULES.items()
     ) + f" ELSE {base} END"
     masked = ", ".join(lit(k) for k, (s, _, _) in config.REDACTION_RULES.items() if s == "mask")
-    kept = """UNION ALL SELECT doc_id, 0, start, len, kind, 'indicator', CASE WHEN keep THEN value ELSE token END
-      FROM iscored WHERE reaches""" if keep else ""
-    return f"""{PII}, {INDICATORS},
+    kept = f"""UNION ALL SELECT doc_id, 0, start, len, kind, 'indicator', CASE WHEN keep THEN value ELSE token END
+      FROM {scored} WHERE reaches""" if keep else ""
+    return f"""{PII}, {INDICATORS}{"" if scored == "iscored" else ", " + THREATS},
 actions AS (
   SELECT doc_id, 1 AS ord, start, len, kind, 'pii' AS source,
          CASE WHEN kind IN ({masked}) THEN {MASK} ELSE {TOKEN} END AS repl
@@ -193,13 +217,13 @@ def _(t: Tables):
 
 
 @query("p07_enrich_ip", f"""WITH {INDICATORS}
-SELECT doc_id, value, start, scope, CASE WHEN scope IN ('ipv6', 'invalid') THEN -1 ELSE {IP_NUM} END AS number, token
-FROM iscored WHERE kind = 'ip_address'""")
+SELECT doc_id, value, start, scope, CASE WHEN contains(value, ':') OR scope = 'invalid' THEN -1 ELSE {IP_NUM} END AS number, token,
+  CASE WHEN contains(value, ':') THEN 6 WHEN scope = 'invalid' THEN 0 ELSE 4 END AS version FROM iscored WHERE kind = 'ip_address'""")
 def _(t: Tables):
     hits = job.indicator_hits(t.documents, candidates=True).where("kind = 'ip_address'")
     return hits.select("doc_id", "value", big("start"), pii.ip_scope(F.col("value")).alias("scope"),
                        F.coalesce(pii.ip_number(F.col("value")), F.lit(-1)).alias("number"),
-                       pii.indicator_token(F.col("kind"), F.col("value")).alias("token"))
+                       pii.indicator_token(F.col("kind"), F.col("value")).alias("token"), pii.ip_version(F.col("value")).alias("version"))
 
 
 @query("p08_enrich_domain", f"""WITH {INDICATORS}
@@ -234,8 +258,8 @@ DONE = """SELECT doc_id, md5(redacted) AS redacted_md5, redactions, indicators,
        round(redactions / greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 1), 6) AS ratio FROM done"""
 
 
-def redacted(t: Tables, mode: str):
-    return job.redact(t.documents, mode=mode).select(
+def redacted(t: Tables, mode: str, threats=None):
+    return job.redact(t.documents, mode=mode, intel=threats).select(
         "doc_id", F.md5("redacted").alias("redacted_md5"), big("redactions"), big("indicators"), big("length_after"),
         rounded("ratio"))
 
@@ -337,15 +361,51 @@ def _(t: Tables):
         F.sum("length_before").alias("length_before"), F.sum("length_after").alias("length_after"))
 
 
-@query("j08_threat_intel", f"""WITH {INDICATORS},
-intel AS (SELECT DISTINCT kind, lower(value) AS v FROM iscored WHERE doc_id % 2 = 0 AND kind IN ('ip_address', 'file_hash', 'domain'))
-SELECT doc_id, s.kind, value, start, round(CASE WHEN v IS NULL THEN confidence ELSE least(1e0, confidence *
-  CASE s.kind WHEN 'ip_address' THEN 1.2e0 WHEN 'domain' THEN 1.3e0 ELSE 1.5e0 END) END, 6) AS confidence, v IS NOT NULL AS is_threat
-FROM iscored s LEFT JOIN intel i ON s.kind = i.kind AND lower(s.value) = i.v""")
+@query("j08_threat_intel", f"""WITH {INDICATORS}, {THREATS}
+SELECT doc_id, kind, value, start, round(confidence, 6) AS confidence, is_threat, keep FROM listed""")
 def _(t: Tables):
     hits = job.indicator_hits(t.documents, candidates=True)
-    intel = hits.where("doc_id % 2 = 0 AND kind IN ('ip_address', 'file_hash', 'domain')").select("kind", "value")
-    return joins.threat_intel(hits, intel).select("doc_id", "kind", "value", big("start"), rounded("confidence"), "is_threat")
+    kept = pii.keep_original(F.col("kind"), F.col("value"), listed=F.col("is_threat"))
+    return joins.threat_intel(hits, intel(t)).select("doc_id", "kind", "value", big("start"), rounded("confidence"), "is_threat", kept.alias("keep"))
+
+
+@query("p10_keep_policy_threats", f"WITH {INDICATORS}, {THREATS} SELECT kind, keep, reaches, is_threat, count(*) AS n FROM listed GROUP BY ALL")
+def _(t: Tables):
+    hits = joins.threat_intel(job.indicator_hits(t.documents, candidates=True), intel(t))
+    keep = pii.keep_original(F.col("kind"), F.col("value"), listed=F.col("is_threat"))
+    reaches = F.col("confidence") >= pii.policy_minimum(F.col("kind"))
+    return hits.groupBy("kind", keep.alias("keep"), reaches.alias("reaches"), "is_threat").agg(F.count("*").alias("n"))
+
+
+@query("red01_redact_threats", f"WITH RECURSIVE {sql_redacted('embedding', 'listed')} {DONE}")
+def _(t: Tables):
+    return redacted(t, "embedding", intel(t))
+
+
+# Networks of the addresses that failed: /24 of every address, /28 of every third user.
+@query("j08_networks", with_alerts("""a AS (SELECT alert_id, src_ip, src_user, outcome, list_reduce(list_transform(string_split(src_ip, '.'), lambda p: CAST(p AS BIGINT)), lambda x, y: x * 256 + y) AS num FROM alerts),
+n AS (SELECT DISTINCT num // 256 AS net, 256 AS size, 120 AS bits FROM a WHERE outcome = 'FAILURE' AND alert_id % 40 = 0
+  UNION SELECT DISTINCT num // 16, 16, 124 FROM a WHERE outcome = 'FAILURE' AND alert_id % 3 = 0)
+SELECT alert_id, src_ip, coalesce((SELECT max(bits) FROM n WHERE n.net = a.num // n.size), 0) AS bits FROM a"""))
+def _(t: Tables):
+    alerts = t.alerts.select("alert_id", "src_ip", "outcome")
+    failed = alerts.where("outcome = 'FAILURE'")
+    networks = failed.where("alert_id % 40 = 0").select(F.concat("src_ip", F.lit("/24")).alias("network")).unionByName(
+        failed.where("alert_id % 3 = 0").select(F.concat("src_ip", F.lit("/28")).alias("network"))).distinct()
+    found = lookup.longest_network(alerts, networks, "src_ip").select(F.col("ip").alias("src_ip"), "bits")
+    return alerts.join(found, "src_ip", "left").select("alert_id", "src_ip", F.coalesce("bits", F.lit(0)).alias("bits"))
+
+
+@query("p08_listed_domains", """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages),
+l AS (SELECT DISTINCT host AS name FROM h WHERE page_id % 7 = 0 UNION SELECT 'com'),
+m AS (SELECT h.page_id, arg_max(name, length(name)) AS name FROM h JOIN l ON host = name OR ends_with(host, '.' || name) GROUP BY 1)
+SELECT page_id, host, coalesce(name, '') AS listed_as FROM h LEFT JOIN m USING (page_id)""")
+def _(t: Tables):
+    hosts = t.pages.select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1)).alias("host"))
+    names = hosts.where("page_id % 7 = 0").select(F.col("host").alias("name")).unionByName(
+        t.pages.limit(1).select(F.lit("com").alias("name"))).distinct()
+    found = lookup.longest_domain(hosts, names, "host").select(F.col("domain").alias("host"), "name")
+    return hosts.join(found, "host", "left").select("page_id", "host", F.coalesce("name", F.lit("")).alias("listed_as"))
 
 
 # --- entities ----------------------------------------------------------------------

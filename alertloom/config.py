@@ -164,12 +164,23 @@ INDICATOR_POLICY = {
     "port": ("always", 0.8),
 }
 INDICATOR_MINIMUM = 0.7
+# type -> factor of the confidence of a listed value
+THREAT_BOOST = {"ip_address": 1.2, "domain": 1.3, "file_hash": 1.5}
 KNOWN_DOMAINS = [
     "microsoft.com", "google.com", "amazon.com", "apple.com", "github.com",
     "stackoverflow.com", "cloudflare.com",
 ]
 HASH_TYPES = {32: "MD5", 40: "SHA1", 64: "SHA256", 128: "SHA512"}
 
+# --- Fixed values: special address ranges of the public registries ------------
+# Dotted addresses outside the private, loopback and link-local ranges.
+RESERVED_IPV4 = r"^(?:0\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2[45][0-9]\.)"
+RESERVED_IPV4_EXCEPT = ["192.0.0.9", "192.0.0.10"]
+# IPv6 as 32 hexadecimal digits: loopback and link local; private and reserved ranges; exceptions to those.
+SYSTEM_IPV6 = r"^(?:0{31}1$|fe[89ab])"
+RESERVED_IPV6 = r"^(?:0{32}$|0{20}ffff|0064ff9b0001|0100000000000000|2001(?:00|01)|20010db8|2002|3fff0|f[cd])"
+RESERVED_IPV6_EXCEPT = r"^(?:20010001000000000000000000000001$|20010001000000000000000000000002$|20010003|200100040112|2001002|2001003)"
+
 # --- Fixed values: redaction ------------------------------------------------
 # type -> (strategy, keep format, minimum confidence)
 REDACTION_RULES = {

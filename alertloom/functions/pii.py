@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from alertloom import config
+from alertloom.functions.addresses import STRICT_IPV4, ip_number, ipv6_digits, let  # noqa: F401
 from alertloom.functions.matching import contains_any, context_of, find_all
 
 def _digits(value: Column) -> Column:
@@ -135,35 +136,43 @@ def overall_confidence(hits: Column) -> Column:
 
 # --- indicators ---------------------------------------------------------------
 
-STRICT_IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
+def ip_scope(ip: Column) -> Column:
+    """Kind of an address: system, private, reserved, public, ipv6_system, ipv6_reserved, ipv6, or invalid.
+
+    System is loopback and link local. Only IPv4 has ``private``, the networks
+    whose addresses become tokens; reserved ranges score as private and stay readable.
+    """
+    reserved = ip.rlike(config.RESERVED_IPV4) & ~ip.isin(config.RESERVED_IPV4_EXCEPT)
+    v4 = (F.when(~ip.rlike(STRICT_IPV4), "invalid")
+          .when(ip.rlike(r"^(?:127|169\.254)\."), "system")
+          .when(ip.rlike(r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."), "private")
+          .when(reserved, "reserved").otherwise("public"))
+    v6 = let(ipv6_digits(ip), lambda d: F.when(d.isNull(), "invalid").when(d.rlike(config.SYSTEM_IPV6), "ipv6_system").when(
+        d.rlike(config.RESERVED_IPV6) & ~d.rlike(config.RESERVED_IPV6_EXCEPT), "ipv6_reserved").otherwise("ipv6"))
+    return F.when(ip.contains(":"), v6).otherwise(v4)
 
 
-def ip_number(ip: Column) -> Column:
-    """Dotted IPv4 text as a bigint, null when it is not an address."""
-    part = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).cast("bigint")
-    return F.when(ip.rlike(STRICT_IPV4), ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
+def ip_version(ip: Column) -> Column:
+    """4 or 6, 0 when ``ip`` is no address."""
+    return F.when(ip.contains(":"), F.when(ipv6_digits(ip).isNotNull(), 6).otherwise(0)).otherwise(F.when(ip.rlike(STRICT_IPV4), 4).otherwise(0))
 
 
-def ip_scope(ip: Column) -> Column:
-    """``system`` (loopback, link local), ``private``, ``public``, ``ipv6`` or ``invalid``."""
-    return (F.when(ip.contains(":"), "ipv6").when(~ip.rlike(STRICT_IPV4), "invalid")
-            .when(ip.rlike(r"^(?:127|169\.254)\."), "system")
-            .when(ip.rlike(r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."), "private")
-            .otherwise("public"))
+def tokenised_ip(ip: Column) -> Column:
+    """True for IPv4 addresses of the private, loopback and link-local networks."""
+    return ip.rlike(STRICT_IPV4) & ip.rlike(r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
 
 
 def indicator_confidence(kind: str, value: Column, low: Column) -> Column:
+    def in_context(base: Column) -> Column:
+        raised = F.when(contains_any(low, config.INDICATOR_ALERT_WORDS), F.least(base * 1.1, F.lit(1.0))).otherwise(base)
+        return F.when(contains_any(low, config.INDICATOR_EXAMPLE_WORDS), raised * 0.7).otherwise(raised)
+
     if kind == "ip_address":
         # An address that does not parse starts at 0.3 and counts half.
-        scope = ip_scope(value)
-        base = (F.when(scope == "invalid", 0.3).when(scope == "system", 0.9).when(scope == "private", 0.85).otherwise(0.8))
-    elif kind in ("file_hash", "cve"):
-        base = F.lit(0.95)
-    else:
-        base = F.lit(0.8)
-    raised = F.when(contains_any(low, config.INDICATOR_ALERT_WORDS), F.least(base * 1.1, F.lit(1.0))).otherwise(base)
-    scored = F.when(contains_any(low, config.INDICATOR_EXAMPLE_WORDS), raised * 0.7).otherwise(raised)
-    return F.when(ip_scope(value) == "invalid", scored * 0.5).otherwise(scored) if kind == "ip_address" else scored
+        base = lambda scope: F.when(scope == "invalid", 0.3).when(scope.isin("system", "ipv6_system"), 0.9).when(
+            scope.isin("private", "reserved", "ipv6_reserved"), 0.85).otherwise(0.8)
+        return let(ip_scope(value), lambda scope: in_context(base(scope)) * F.when(scope == "invalid", 0.5).otherwise(1.0))
+    return in_context(F.lit(0.95 if kind in ("file_hash", "cve") else 0.8))
 
 
 def indicator_candidates(text: Column) -> Column:
@@ -183,15 +192,17 @@ def policy_minimum(kind: Column, policy: dict[str, tuple[str, float]] | None = N
     return result
 
 
-def keep_original(kind: Column, value: Column, policy: dict[str, tuple[str, float]] | None = None) -> Column:
-    """Whether an indicator stays readable: by type, address scope, known domain, policy."""
+def keep_original(kind: Column, value: Column, policy: dict[str, tuple[str, float]] | None = None, listed: Column | None = None) -> Column:
+    """Whether an indicator stays readable: by type, address scope, known domain, threat list, policy."""
     low = F.lower(value)
     known = F.lit(False)
     for domain in config.KNOWN_DOMAINS:
         known = known | low.endswith(domain)
     keep = (kind.isin(config.INDICATOR_KEPT)
-            | ((kind == "ip_address") & ~ip_scope(value).isin("private", "system"))
+            | ((kind == "ip_address") & ~tokenised_ip(value))
             | ((kind == "domain") & known))
+    if listed is not None:
+        keep = keep | listed
     for name, (mode, _) in (policy or config.INDICATOR_POLICY).items():
         if mode in ("always", "never"):
             keep = F.when(kind == name, F.lit(mode == "always")).otherwise(keep)
@@ -200,14 +211,40 @@ def keep_original(kind: Column, value: Column, policy: dict[str, tuple[str, floa
 
 def indicator_token(kind: Column, value: Column) -> Column:
     """``TYPE_`` and eight hex digits of the value's md5, upper case."""
-    prefix = F.when((kind == "ip_address") & ip_scope(value).isin("private", "system"), "PRIVATE_IP").otherwise(F.upper(kind))
+    prefix = F.when((kind == "ip_address") & tokenised_ip(value), "PRIVATE_IP").otherwise(F.upper(kind))
     hashed = F.when(kind == "domain", F.lower(value)).otherwise(value)
     return F.concat(prefix, F.lit("_"), F.upper(F.substring(F.md5(hashed), 1, 8)))
 
 
-def detect_indicators(text: Column, policy: dict[str, tuple[str, float]] | None = None) -> Column:
-    """Indicator hits that reach the minimum confidence of their type."""
-    return F.filter(indicator_candidates(text), lambda h: h["confidence"] >= policy_minimum(h["kind"], policy))
+def threat_key(kind: Column, value: Column) -> Column:
+    """How a listed value of a text is named in its array of threats."""
+    return F.concat(kind, F.lit(":"), F.lower(value))
+
+
+def boosted(kind: Column, confidence: Column, listed: Column) -> Column:
+    """The confidence of a hit, raised by its type where a threat table lists it."""
+    factor = F.lit(1.0)
+    for name, boost in config.THREAT_BOOST.items():
+        factor = F.when(kind == name, boost).otherwise(factor)
+    return F.when(listed, F.least(F.lit(1.0), confidence * factor)).otherwise(confidence)
+
+
+def with_threats(hits: Column, threats: Column) -> Column:
+    """Hits with ``listed`` and the confidence raised; ``threats`` holds the ``threat_key`` of the text's listed values."""
+    def judge(h):
+        listed = F.coalesce(F.array_contains(threats, threat_key(h["kind"], h["value"])), F.lit(False))
+        return F.struct(*[h[c].alias(c) for c in ("kind", "value", "start", "len", "context", "low")],
+                        boosted(h["kind"], h["confidence"], listed).alias("confidence"), listed.alias("listed"))
+
+    return F.transform(hits, judge)
+
+
+def detect_indicators(text: Column, policy: dict[str, tuple[str, float]] | None = None, threats: Column | None = None) -> Column:
+    """Indicator hits that reach the minimum confidence of their type, listed ones with the raised confidence."""
+    hits = indicator_candidates(text)
+    if threats is not None:
+        hits = with_threats(hits, threats)
+    return F.filter(hits, lambda h: h["confidence"] >= policy_minimum(h["kind"], policy))
 
 
 def hash_type(value: Column) -> Column:

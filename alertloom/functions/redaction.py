@@ -77,9 +77,11 @@ def rule_replacement(kind: Column, value: Column, rules: dict, salt: str) -> Col
 
 
 def redaction_actions(text: Column, mode: str = "embedding", rules: dict | None = None,
-                      salt: str = config.DEFAULT_SALT) -> Column:
+                      salt: str = config.DEFAULT_SALT, threats: Column | None = None) -> Column:
     """Non-overlapping replacements of a text, ordered by position.
 
+    Indicators that ``threats`` lists (see ``pii.with_threats``) stay readable.
+
     Indicators come before personal data, then the longer, then the earlier
     hit; a hit that overlaps an accepted one is dropped.
     """
@@ -93,8 +95,9 @@ def redaction_actions(text: Column, mode: str = "embedding", rules: dict | None
         h["kind"].alias("kind"), F.lit(source).alias("source"), new.alias("replacement"))
     actions = F.transform(personal, lambda h: action(h, 1, "pii", rule_replacement(h["kind"], h["value"], rules, salt)))
     if keep_indicators:
-        kept = F.transform(pii.detect_indicators(text), lambda h: action(h, 0, "indicator", F.when(
-            pii.keep_original(h["kind"], h["value"]), h["value"]).otherwise(pii.indicator_token(h["kind"], h["value"]))))
+        listed = (lambda h: h["listed"]) if threats is not None else (lambda h: None)
+        kept = F.transform(pii.detect_indicators(text, threats=threats), lambda h: action(h, 0, "indicator", F.when(
+            pii.keep_original(h["kind"], h["value"], listed=listed(h)), h["value"]).otherwise(pii.indicator_token(h["kind"], h["value"]))))
         actions = F.concat(kept, actions)
     ranked = F.array_sort(actions)
     apart = lambda a, b: (a["start"] + a["len"] <= b["start"]) | (b["start"] + b["len"] <= a["start"])

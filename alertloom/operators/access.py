@@ -199,6 +199,16 @@ def request_flags(requests: DataFrame, blocked: list[str] | None = None, methods
                            (F.col("status") >= 400).alias("failed"))
 
 
+def with_rates(flagged: DataFrame, rated: DataFrame) -> DataFrame:
+    """Flagged requests with the verdict of their address's rate limit (``request_id, verdict`` from ``rate_verdicts``).
+
+    Adds ``limited``; requests of an address that has been blocked are blocked whatever else they are.
+    """
+    rate = rated.select("request_id", F.col("verdict").alias("rate"))
+    return flagged.join(rate, "request_id").withColumn("limited", F.col("rate") == "limited").withColumn(
+        "verdict", F.when(F.col("rate") == "blocked", "ip_blocked").otherwise(F.col("verdict"))).drop("rate")
+
+
 def ip_verdicts(requests: DataFrame, blocked: DataFrame, allowed: DataFrame | None = None,
                 max_violations: int = config.MAX_VIOLATIONS) -> DataFrame:
     """Requests, violations and verdict per ip: block list, allow list, too many violations.
@@ -272,7 +282,9 @@ def effective_permissions(assignments: DataFrame, parents: DataFrame, permission
     """Distinct permissions of each user through roles and their parents.
 
     ``assignments``: user_id, role, expires_at; ``parents``: parent, child
-    (the child role inherits from the parent); ``permissions``: role, resource, action.
+    (the child role inherits from the parent); ``permissions``: role, resource,
+    action and, where grants are narrower, resource_id and conditions (a map or
+    its entries). ``conditions`` come out as sorted entries, as maps have no order.
     """
     from alertloom.operators.joins import closure
 
@@ -280,9 +292,20 @@ def effective_permissions(assignments: DataFrame, parents: DataFrame, permission
     inherited = closure(parents).select(F.col("descendant").alias("role"), F.col("ancestor").alias("source"))
     own = permissions.select(F.col("role"), F.col("role").alias("source")).distinct()
     roles = inherited.unionByName(own).distinct()
+    scope = [c for c in ("resource", "action", "resource_id", "conditions") if c in permissions.columns]
+    held = permissions.select(F.col("role").alias("source"), *(_entries(permissions).alias(c) if c == "conditions" else c for c in scope))
     # Roles are expanded to their permissions first, so the user side is joined once.
-    granted = roles.join(permissions.withColumnRenamed("role", "source"), "source").select("role", "resource", "action").distinct()
-    return active.join(granted, "role").select("user_id", "resource", "action").distinct()
+    granted = roles.join(held, "source").select("role", *scope).distinct()
+    return active.join(granted, "role").select("user_id", *scope).distinct()
+
+
+def _entries(rows: DataFrame) -> Column:
+    """The column ``conditions`` as sorted (key, value) entries, null when there are none."""
+    if "conditions" not in rows.columns:
+        return F.lit(None).cast("array<struct<key:string,value:string>>")
+    kind = rows.schema["conditions"].dataType.typeName()
+    entries = F.array_sort(F.map_entries("conditions") if kind == "map" else F.col("conditions"))
+    return F.when(F.size(entries) > 0, entries)
 
 
 def access_review(requests: DataFrame, granted: DataFrame) -> DataFrame:
@@ -293,3 +316,41 @@ def access_review(requests: DataFrame, granted: DataFrame) -> DataFrame:
     reads = (F.col("action") == "read") & F.array_contains("actions", "write")
     allowed = F.col("all_actions") | F.array_contains("actions", F.col("action")) | reads
     return joined.withColumn("decision", F.when(allowed, "allow").otherwise("deny")).drop("all_actions", "actions")
+
+
+def scoped_review(requests: DataFrame, granted: DataFrame) -> DataFrame:
+    """``access_review`` of requests that may name a ``resource_id`` and ``conditions``.
+
+    One grant has to fit as a whole: its action covers the asked one, its
+    resource_id is the asked one (a request without an id asks for any; a grant
+    without one does not cover a named resource), and it holds every asked
+    condition. A grant or a request without conditions sets none. Users or
+    resources that are null fit no grant.
+
+    Equal requests are decided once: the different ones meet the grants of their
+    user and resource in a semi join, which puts out no pairs.
+    """
+    def id_of(rows: DataFrame) -> Column:
+        return F.when(F.col("resource_id") != "", F.col("resource_id")) if "resource_id" in rows.columns else F.lit(None).cast("string")
+
+    shape = F.struct("user_id", "resource", "action", id_of(requests).alias("resource_id"), _entries(requests).alias("conditions"))
+    asked = requests.select(shape.alias("shape")).distinct()
+    grants = granted.select(
+        F.col("user_id").alias("holder"), F.col("resource").alias("held"), F.col("action").alias("can"),
+        id_of(granted).alias("only_id"), _entries(granted).alias("only_if"))
+    want = {c: F.col(f"shape.{c}") for c in ("user_id", "resource", "action", "resource_id", "conditions")}
+    covers = (F.col("can") == "admin") | (F.col("can") == want["action"]) | ((F.col("can") == "write") & (want["action"] == "read"))
+    same_id = want["resource_id"].isNull() | F.coalesce(F.col("only_id") == want["resource_id"], F.lit(False))
+    holds = want["conditions"].isNull() | F.col("only_if").isNull() | (F.size(F.array_except(want["conditions"], F.col("only_if"))) == 0)
+    fits = (F.col("holder") == want["user_id"]) & (F.col("held") == want["resource"]) & covers & same_id & holds
+    key, flag = _free("shape", requests), _free("allowed", requests)
+    allowed = asked.join(grants, fits, "left_semi").select(F.col("shape").alias(key), F.lit(True).alias(flag))
+    judged = requests.withColumn(key, shape).join(allowed, key, "left")
+    return judged.withColumn("decision", F.when(F.col(flag), "allow").otherwise("deny")).drop(key, flag)
+
+
+def _free(name: str, rows: DataFrame) -> str:
+    """``name``, lengthened until no column of ``rows`` has it."""
+    while name in rows.columns:
+        name = "_" + name
+    return name

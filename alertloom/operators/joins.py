@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions import pii
 from alertloom.functions.matching import exploded
+from alertloom.operators import lookup
+
 
 def hits_to_logs(hits: DataFrame, logs: DataFrame, key: str = "alert_id") -> DataFrame:
     return hits.join(logs, key)
@@ -80,14 +83,20 @@ def in_period(children: DataFrame, parents: DataFrame, grain: str) -> DataFrame:
 
 
 def threat_intel(indicators: DataFrame, intel: DataFrame) -> DataFrame:
-    """Flag indicators that an intelligence table lists, by type and lower-cased value."""
-    known = intel.select(F.col("kind"), F.lower("value").alias("lowered"), F.lit(True).alias("listed")).distinct()
-    joined = indicators.withColumn("lowered", F.lower("value")).join(known, ["kind", "lowered"], "left")
-    boost = F.when(F.col("kind") == "ip_address", 1.2).when(F.col("kind") == "domain", 1.3).otherwise(1.5)
+    """Flag indicators that an intelligence table lists, by type and lower-cased value.
+
+    Addresses may be listed by network, domains by a parent. Listed ones gain confidence;
+    ``pii.keep_original`` takes the flag to keep them readable. The different values are
+    looked up once.
+    """
+    found = lookup.listed_values(indicators, intel).select(
+        F.col("kind").alias("listed_kind"), F.col("value").alias("listed_value"), F.lit(True).alias("listed"))
+    same = (F.col("kind") == F.col("listed_kind")) & (F.lower("value") == F.col("listed_value"))
+    joined = indicators.join(found, same, "left")
     flagged = F.coalesce("listed", F.lit(False))
     return joined.select(
         *[c for c in indicators.columns if c != "confidence"],
-        F.when(flagged, F.least(F.lit(1.0), F.col("confidence") * boost)).otherwise(F.col("confidence")).alias("confidence"),
+        pii.boosted(F.col("kind"), F.col("confidence"), flagged).alias("confidence"),
         flagged.alias("is_threat"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertloom import config
 from alertloom.functions import pii, redaction
 from alertloom.functions.matching import exploded, words
+from alertloom.operators import lookup
 from alertloom.session import spread
 
 
@@ -31,10 +32,31 @@ def indicator_hits(docs: DataFrame, key: str = "doc_id", text: str = "text", can
     return exploded(spread(docs.select(key, text)), [key], hits, "h").select(key, *HIT)
 
 
+def text_threats(docs: DataFrame, intel: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, threats``: the listed indicator values of each text that has some.
+
+    Hits are looked up without their texts; a list is no longer than the different hits of its texts.
+    """
+    kinds = list(config.THREAT_BOOST)
+    hits = indicator_hits(docs, key, text, candidates=True).where(F.col("kind").isin(kinds)).select(
+        key, "kind", F.lower("value").alias("value")).distinct()
+    listed = hits.join(lookup.listed_values(hits, intel).select("kind", "value"), ["kind", "value"])
+    return listed.groupBy(key).agg(F.sort_array(F.collect_set(pii.threat_key(F.col("kind"), F.col("value")))).alias("threats"))
+
+
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "embedding", rules=None,
-           salt: str = config.DEFAULT_SALT) -> DataFrame:
-    """Redacted text per row with its statistics. Narrow: no shuffle."""
-    acted = spread(docs.select(key, text)).withColumn("actions", redaction.redaction_actions(F.col(text), mode, rules, salt))
+           salt: str = config.DEFAULT_SALT, intel: DataFrame | None = None) -> DataFrame:
+    """Redacted text per row with its statistics. Narrow: no shuffle.
+
+    With a threat table ``intel`` (``kind, value``) listed indicators stay readable
+    and gain confidence; the texts then meet their lists in one join on ``key``.
+    """
+    rows, threats = docs.select(key, text), None
+    if intel is not None:
+        lists = text_threats(rows, intel, key, text).withColumnRenamed(key, "threats_of")
+        rows = rows.join(lists, F.col(key).eqNullSafe(F.col("threats_of")), "left")
+        threats = F.col("threats")
+    acted = spread(rows).withColumn("actions", redaction.redaction_actions(F.col(text), mode, rules, salt, threats))
     n = F.size(F.filter("actions", lambda a: a["source"] == "pii"))
     return acted.withColumn("redacted", redaction.apply_actions(F.col(text), F.col("actions"))).select(
         key, "redacted", n.alias("redactions"),
