@@ -134,13 +134,20 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], links: DataFram
         ends = links.select(F.col("a").alias("from"), F.col("b").alias("to")).where("instr(`from`, '://') > 0 and instr(`to`, '://') > 0")
         edges = edges.unionByName(ends.select(*(node(F.expr(f"substring(`{c}`, instr(`{c}`, '://') + 3)")).alias(n) for c, n in (("from", "a"), ("to", "b")))))
     roots = components(edges)
-    judged = cut_lineage(with_parts(own).withColumn("fit", fitting_rule(rules, F.col("host"), F.col("path"))).select(
-        "page_id", "host", "path", F.when(F.col("host") != "", node(F.col("rest"))).alias("node"), "fit.rule", "fit.verdict").join(
-        roots.withColumnRenamed("root", "component"), "node", "left"), "urls")
+    parted = with_parts(own).withColumn("fit", fitting_rule(rules, F.col("host"), F.col("path"))).select(
+        "page_id", "host", "path", F.when(F.col("host") != "", node(F.col("rest"))).alias("node"), "fit.rule", "fit.verdict")
+    # rows that can meet nothing stay out of the joins: null keys would all be one task's
+    placed = parted.where("node is not null").join(roots.withColumnRenamed("root", "component"), "node", "left")
+    alone = parted.where("node is null").withColumn("component", F.lit(None).cast("string"))
+    judged = cut_lineage(placed.unionByName(alone), "urls")
     place = F.regexp_extract("node", "^[^/?]*", 0), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1)
     seen = roots.select(F.col("root").alias("component"), fitting_rule(rules, *place)["verdict"].alias("verdict")).unionByName(judged.select("component", "verdict"))
-    classes = (seen.where("component is not null and verdict is not null").groupBy("component")
-               .agg(F.max(F.col("verdict") == "allow").alias("allowed")))
-    return judged.join(classes, "component", "left").select(
-        "page_id", "host", "path", "rule",
-        F.coalesce("verdict", F.when(~F.col("allowed"), F.lit("block")), F.lit("allow")).alias("verdict"), "component")
+    # written, so that the join below has sides of its own: a large component's pages can be split there
+    classes = cut_lineage(seen.where("component is not null and verdict is not null").groupBy("component")
+                          .agg(F.max(F.col("verdict") == "allow").alias("allowed")), "classes")
+    open_ = F.col("component").isNotNull() & F.col("verdict").isNull()
+    inherited = judged.where(open_).join(classes, "component", "left").withColumn(
+        "verdict", F.when(~F.col("allowed"), F.lit("block")).otherwise(F.lit("allow")))
+    own_rule = judged.where(~open_).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    columns = ["page_id", "host", "path", "rule", "verdict", "component"]
+    return inherited.select(columns).unionByName(own_rule.select(columns))
