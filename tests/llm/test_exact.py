@@ -42,10 +42,31 @@ def test_contamination_of_empty_tables(spark, table):
     assert rows(decontaminate.contamination(table(CASES), items.limit(0)), "doc_id", "n_hit") == [(i, 0) for i, _ in CASES]
 
 
-def test_hit_spans_can_be_cut_out(spark, table):
+@pytest.mark.parametrize("max_grams", [10**6, 1])
+def test_hit_spans_can_be_cut_out(spark, table, max_grams):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = dict(rows(decontaminate.decontaminate(table([(1, "keep é short, item é this"), (2, "none")]), items, remove="spans"), "doc_id", "text"))
-    assert got == {1: "keep é  é this", 2: "none"}
+    texts = [(1, "keep é short, item é this"), (2, "none"), (3, "none"), (4, None), (1, "short item, short item"), (5, "a short item b SHORT item")]
+    docs = table(texts).withColumnRenamed("hash", "text_key").withColumnRenamed("h1", "spans")
+    got = decontaminate.decontaminate(docs, items, remove="spans", max_grams=max_grams)
+    assert got.columns == docs.columns
+    assert sorted(got.select("doc_id", "text").fillna("null").collect()) == sorted(
+        [(1, "keep é  é this"), (2, "none"), (3, "none"), (4, "null"), (1, ""), (5, "a  b ")])
+
+
+def test_joined_benchmark_gives_the_broadcast_result(spark, docs, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    small, large = (decontaminate.contamination(docs, items, max_grams=m) for m in (10**6, 1))
+    assert rows(large, *large.columns) == rows(small, *large.columns)
+    for remove in ("documents", "spans"):
+        kept = [rows(decontaminate.decontaminate(docs, items, remove, max_grams=m), "doc_id", "text") for m in (10**6, 1)]
+        assert kept[0] == kept[1] and kept[0]
+
+
+@pytest.mark.parametrize("max_grams", [10**6, 1])
+def test_items_without_an_id_hit_unlisted(spark, table, max_grams):
+    items = spark.createDataFrame([(None, "short item"), (2, "other words")], "item_id long, text string")
+    found = decontaminate.contamination(table([(1, "a short item"), (None, "other words"), (None, None)]), items, max_grams=max_grams)
+    assert sorted((r["doc_id"] or 0, r["n_hit"], r["items"]) for r in found.collect()) == [(0, 0, []), (0, 2, ["2"]), (1, 2, [])]
 
 
 def repeats():
