@@ -23,23 +23,42 @@ tables give empty results.
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.session import cut_lineage
 
-#: name -> {argument: (type, required)}; types: string, integer, number, boolean
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: name -> {argument: (type, required)}; types: string, integer, number, boolean, object, array, null, ``array<type>``, a list
+#: of the allowed JSON values (an enum), or {member: (type, required)} for an object with these members and no others
+Schemas = dict[str, dict[str, tuple[str | list | dict, bool]]]
 _ARGS = "map<string,string>"
 _NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 
 
-def _typed(raw: Column, kind: str) -> Column:
-    """Whether a JSON scalar, as ``variant`` text, has the type."""
+def _typed(raw: Column, kind: str | list | dict) -> Column:
+    """Whether a JSON value, as ``variant`` text, has the type. Numbers of equal value have one text, so 1.0 is an integer."""
+    if isinstance(kind, list):
+        allowed = [F.to_json(F.parse_json(F.lit(json.dumps(v)))) for v in kind]
+        return raw.isin(*allowed) if allowed else F.lit(False)
+    if isinstance(kind, dict):
+        members = _raw_arguments(raw)
+        fits = [F.when(F.map_contains_key(members, F.lit(m)), _typed(F.try_element_at(members, F.lit(m)), of)).otherwise(F.lit(not required))
+                for m, (of, required) in sorted(kind.items())]
+        known = F.forall(F.map_keys(members), lambda k: k.isin(*kind) if kind else F.lit(False))
+        return F.when(members.isNull(), F.lit(False)).otherwise(functools.reduce(operator.and_, fits, known))
+    if kind.startswith("array<") and kind.endswith(">"):
+        items = F.transform(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), lambda v: F.to_json(v))
+        return F.when(raw.startswith("["), F.coalesce(F.forall(items, lambda v: _typed(F.coalesce(v, F.lit("null")), kind[6:-1])), F.lit(False))).otherwise(F.lit(False))
+    if kind in ("object", "array"):
+        return raw.startswith("{" if kind == "object" else "[")
     if kind == "string":
         return raw.startswith('"')
-    if kind == "boolean":
-        return raw.isin("true", "false")
+    if kind in ("boolean", "null"):
+        return raw.isin("true", "false") if kind == "boolean" else raw == "null"
     if kind == "integer":
         return raw.rlike(r"^-?(?:0|[1-9][0-9]*)$")
     if kind == "number":

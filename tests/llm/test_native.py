@@ -100,6 +100,21 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
+NESTED = {"t": {"o": ("object", False), "l": ("array", False), "n": ("array<integer>", False), "e": (["a", 1, None], False), "u": ("null", False),
+                "p": ({"x": ("number", True), "y": ("array<array<string>>", False)}, False)}}
+FITS = ['{"o":{},"l":[],"n":[],"e":"a"}', '{"o":{"k":[1]},"l":[1,"b"],"n":[1,-2],"e":1}', '{"e":null,"u":null,"p":{"x":1.5}}', '{"p":{"y":[["a"],[]],"x":2}}']
+FAILS = [('{"o":[]}', "o"), ('{"l":{}}', "l"), ('{"n":[1,"2"]}', "n"), ('{"n":[null]}', "n"), ('{"n":1}', "n"), ('{"e":"b"}', "e"), ('{"u":0}', "u"), ('{"p":{}}', "p"),
+         ('{"p":{"x":"1"}}', "p"), ('{"p":{"x":1,"z":1}}', "p"), ('{"p":{"x":1,"y":[[1]]}}', "p"), ('{"p":3}', "p"), ('{"o":"{}"}', "o"), ('{"l":"[1]"}', "l")]
+
+
+def test_nested_schemas(spark):
+    wanted = [(a, []) for a in FITS] + [(a, [f"type:{m}"]) for a, m in FAILS]
+    calls = spark.createDataFrame([(1, i, str(i), "t", a) for i, (a, _) in enumerate(wanted)], "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([(1, 99, str(i), "r") for i in range(len(wanted))], "conv_id long, turn long, call_id string, content string")
+    got = {r["turn"]: r["problems"] for r in tool_calls.link(calls, results, NESTED).collect()}
+    assert [got[i] for i in range(len(wanted))] == [p for _, p in wanted]
+
+
 TEXTS = [(1, None), (2, ""), (3, "ab"), (4, "One. Two!\nThree.\n\nFour"), (5, "One. Two!\nThree.\n\nFour"), (7, "x" * 100_000), (9, "\n\n\n"), (11, "é日\U0001F600" * 40), (11, "other"), (None, "none")]
 
 
