@@ -49,36 +49,46 @@ def scores(metric: str, block: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def exact_scores(metric: str, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Scores of a few rows, row by row: equal rows get equal bits, and near ones do not cancel."""
+    """Scores of a few rows, row by row, with one query or one per row: equal rows get equal bits, and near ones do not cancel."""
     if metric == "cosine":
-        size = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum())
+        size = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum(axis=-1))
         return (rows * query).sum(axis=1) / np.maximum(size, 1e-12)
     return 1.0 / (1.0 + ((rows - query) ** 2).sum(axis=1))
 
 
 def best_rows(metric: str, ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
-              digits: int | None = None, chunk: int = 4096) -> pd.DataFrame:
+              digits: int | None = None, chunk: int = 4096, lot: int = 512) -> pd.DataFrame:
     """Best ``k`` rows of a block per query by exact score; equal scores go to the smaller id.
 
     ``digits`` rounds scores first, for callers that need equal ranks from other engines.
     The matrix product only chooses candidates: all rows whose score may reach
-    the k-th one within its rounding error are scored again by difference.
+    the k-th one so far within its rounding error are scored again by difference.
     """
     kept: list[pd.DataFrame] = []
     size = 1.0 + float((block * block).sum(axis=1).max(initial=0.0) + (queries * queries).sum(axis=1).max(initial=0.0))
     error = 1e-12 * (size if metric == "l2" else 1.0) + (10.0 ** -digits if digits is not None else 0.0)
-    for first in range(0, len(ids), chunk):
-        part_ids, rows_of = ids[first:first + chunk], block[first:first + chunk]
-        part = scores(metric, rows_of, queries)
-        for j, query_id in enumerate(query_ids):
-            column = part[:, j]
-            rows = np.arange(len(column))
-            if len(column) > k:
-                rows = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k] - error)
-            exact = exact_scores(metric, rows_of[rows], queries[j])
+    for start in range(0, len(query_ids), lot):
+        asked = queries[start:start + lot]
+        floor = np.full(len(asked), -np.inf)
+        held_q, held_r, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for first in range(0, len(ids), chunk):
+            rows_of = block[first:first + chunk]
+            part = scores(metric, rows_of, asked)
+            if not first and len(rows_of) > k:
+                floor = np.partition(part, len(rows_of) - k, axis=0)[len(rows_of) - k] - error
+            r, q = np.nonzero(part >= floor)
+            if not len(r):
+                continue
+            exact = exact_scores(metric, rows_of[r], asked[q])
             exact = exact if digits is None else np.round(exact, digits)
-            order = np.lexsort((part_ids[rows], -exact))[:k]
-            kept.append(pd.DataFrame({"query_id": query_id, "id": part_ids[rows[order]], "score": exact[order]}))
+            held_q, held_r, held_s = np.concatenate([held_q, q]), np.concatenate([held_r, first + r]), np.concatenate([held_s, exact])
+            order = np.lexsort((ids[held_r], -held_s, held_q))
+            place = np.arange(len(order)) - np.searchsorted(held_q[order], held_q[order])
+            order = order[place < k]
+            held_q, held_r, held_s = held_q[order], held_r[order], held_s[order]
+            last = place[place < k] == k - 1
+            floor[held_q[last]] = held_s[last] - error
+        kept.append(pd.DataFrame({"query_id": query_ids[start + held_q], "id": ids[held_r], "score": held_s}))
     if not kept:
         return pd.DataFrame({"query_id": query_ids[:0], "id": ids[:0], "score": np.zeros(0)})
     return pd.concat(kept, ignore_index=True)

@@ -15,7 +15,10 @@ from alertloom.functions.vectors import best_rows, partition_search
 from alertloom.session import cut_lineage, is_small, spread
 
 QUERY_BLOCK = 1024
-CORPUS_BLOCK = 50_000
+#: rows of either side of a pair of blocks; a row travels once per block of the other side
+PAIR_BLOCK = 65_536
+#: small batches are cut into this many blocks, so that all tasks have work
+LEAST_BLOCKS = 32
 TERM_LIMIT = 20_000
 
 
@@ -29,7 +32,8 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
     A query batch of at most ``query_block`` rows travels to the tasks and the
     corpus is read once without a shuffle; every task keeps ``k`` rows per
     query. A larger batch never leaves the executors: both sides are cut into
-    blocks and every pair of blocks is one group of bounded size.
+    blocks and every pair of blocks is one group of bounded size. Queries of
+    equal vectors are searched once.
     """
     points = spread(corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("qvec"))
@@ -41,15 +45,20 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
             return points.sparkSession.createDataFrame([], shape + ", rank int")
         found = points.mapInPandas(partition_search(metric, batch["query_id"].to_numpy(), np.stack(batch["qvec"]), k, digits), shape)
     else:
-        found = _block_search(points, asked, k, metric, shape, query_block, digits)
+        one = cut_lineage(asked.groupBy("qvec").agg(F.min("query_id").alias("query_id")), "different")
+        best = top_k(_block_search(points, one, k, metric, shape, digits), k, "query_id", "score", "id").withColumnRenamed("query_id", "first")
+        same = asked.join(one.withColumnRenamed("query_id", "first"), "qvec").select("query_id", "first")
+        return same.join(best, "first").select("query_id", "id", "score", "rank")
     return top_k(found, k, "query_id", "score", "id")
 
 
-def _block_search(points: DataFrame, asked: DataFrame, k: int, metric: str, shape: str, query_block: int, digits: int | None) -> DataFrame:
+def _block_search(points: DataFrame, asked: DataFrame, k: int, metric: str, shape: str, digits: int | None) -> DataFrame:
     """Every corpus block against every query block, by an equality join on the block pair."""
-    n_query = math.ceil(asked.count() / query_block * 1.25)
-    n_point = math.ceil(points.count() / CORPUS_BLOCK * 1.25)
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    n = asked.count()
+    n_query = max(math.ceil(n / PAIR_BLOCK * 1.25), min(math.ceil(n / QUERY_BLOCK), LEAST_BLOCKS))
+    n_point = math.ceil(points.count() / PAIR_BLOCK * 1.25)
+    # of the type of the sequence: cogroup compares keys as they are, and a bigint is dealt to another partition than its int
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = points.withColumn("pb", block("id", n_point)).withColumn("qb", every(n_query))
     right = asked.withColumn("qb", block("query_id", n_query)).withColumn("pb", every(n_point))

@@ -38,6 +38,23 @@ def test_vector_search_is_exact_in_both_forms(spark, cloud, metric, block):
         assert [got[(q, r + 1)] for r in range(5)] == list(best)
 
 
+def test_blocks_meet_in_every_partition(spark, cloud):
+    """Keys of two integer types are dealt to different partitions; only coalesced ones hid it."""
+    queries = np.concatenate([cloud[::4]] * 2)
+    corpus, asked = vectors(spark, cloud, vec_col="embedding"), vectors(spark, queries, "query_id", "embedding")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        found = se.vector_search(corpus, asked, 3, query_block=3).collect()
+    finally:
+        spark.conf.set(name, "true")
+    got = {(r.query_id, r["rank"]): r.id for r in found}
+    assert len(found) == len(got) == 3 * len(queries)
+    for q, query in enumerate(queries):
+        best = np.lexsort((np.arange(len(cloud)), -np.round(1 / (1 + ((cloud - query) ** 2).sum(1)), 12)))[:3]
+        assert [got[(q, r + 1)] for r in range(3)] == list(best)
+
+
 def brute_pairs(data, threshold, metric):
     ids = np.sort(np.unique(data, axis=0, return_index=True)[1])
     out = set()
