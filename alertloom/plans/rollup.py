@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.functions.entities import entities
+from alertloom.functions.entities import alert_entities
 from alertloom.operators import patterns as pt
 from alertloom.operators.patterns import top_per_group
 from alertloom.session import cut_lineage, spread
@@ -52,12 +52,16 @@ class ClusterLevel:
 
 
 def host_day_rows(alerts: DataFrame) -> DataFrame:
-    """Alerts keyed by host and day, the grouping the daily report is built on."""
+    """Alerts keyed by host and day, the grouping the daily report is built on.
+
+    The address and the user of an alert are entities where it has these fields.
+    """
     day = F.to_date("ts")
+    declared = [c for c in ("src_ip", "src_user") if c in alerts.columns]
     return spread(alerts).select(
         F.concat(day.cast("string"), F.lit("/"), "agent_name").alias("cluster_id"), day.alias("day"), "alert_id", "sha256",
         "ts", "rule_id", F.split_part("full_log", F.lit(" for "), F.lit(1)).alias("rule_desc"), "rule_level", "agent_name",
-        "location", "full_log", entities(F.col("full_log")).alias("entities"))
+        "location", "full_log", alert_entities(F.col("full_log"), declared).alias("entities"))
 
 
 def cluster_level(rows: DataFrame) -> ClusterLevel:
@@ -207,8 +211,11 @@ def major_incidents(incidents: DataFrame, trends: DataFrame, top: int | None = N
 def weekly_entities(daily: DataFrame, top: int | None = None) -> DataFrame:
     """Entity behaviour over a week from the daily entities, all or the ``top`` of highest risk."""
     week = daily.withColumn("week", week_of()).groupBy("week", "entity", "entity_type").agg(
-        F.avg("activity").alias("activity"), F.var_pop("activity").alias("variance"),
+        F.sum("activity").alias("total"), F.sum(F.col("activity") * F.col("activity")).alias("squares"),
         F.count("*").alias("days"), F.sum("events").alias("events"))
+    # From sums: those of whole numbers are exact, so half the mean compares alike in any order of the rows.
+    days, total = F.col("days"), F.col("total")
+    week = week.withColumn("activity", total / days).withColumn("variance", (days * F.col("squares") - total * total) / (days * days)).drop("total", "squares")
     flags = F.concat_ws(",", F.when(F.col("variance") > F.col("activity") * 0.5, "irregular_activity_pattern"),
                         F.when(F.col("days") == 1, "single_day_activity").when(F.col("days") >= 6, "persistent_activity"))
     scored = week.withColumn("flags", flags).withColumn(
