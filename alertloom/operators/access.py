@@ -65,8 +65,12 @@ def lockouts(failures: DataFrame, key: str = "user_id", minutes: int = config.LO
     return trailing_counts(failures, [key], minutes * 60, inclusive=False).where(F.col("n") >= limit)
 
 
+#: chunks that a repeated run of ``rate_limit`` takes along at most
+STRETCH = 32
+
+
 def _limiter(limit: int, window_us: int, burst: int, burst_us: int):
-    """Sequential acceptance over rows sorted by key, chunk and time; state is bounded by the limit.
+    """Sequential acceptance over rows sorted by key, stretch and time; state is bounded by the limit.
 
     Python steps follow the accepted requests, not all of them.
     """
@@ -74,7 +78,7 @@ def _limiter(limit: int, window_us: int, burst: int, burst_us: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, deque(maxlen=max(limit, burst, 1))
         for batch in batches:
-            ip, chunk, ts = (batch[c].to_numpy() for c in ("ip", "chunk", "ts_us"))
+            ip, chunk, ts = (batch[c].to_numpy() for c in ("ip", "stretch", "ts_us"))
             passed = np.zeros(len(batch), dtype=bool)
             edges = np.flatnonzero((ip[1:] != ip[:-1]) | (chunk[1:] != chunk[:-1])) + 1
             for low, high in zip([0, *edges], [*edges, len(batch)]):
@@ -110,7 +114,9 @@ def rate_limit(requests: DataFrame, limit: int = config.REQUESTS_PER_MINUTE, win
     Acceptance depends on earlier decisions, so an ip is a sequence. It is cut
     into chunks that run in parallel from an empty window; a chunk whose
     predecessor ends with accepted requests is run again with them, until no
-    carried window changes. The result is that of one pass, without holding an
+    carried window changes. Under steady load every chunk depends on the one
+    before, so a repeated chunk takes along those behind it in its stretch of
+    ``STRETCH`` chunks. The result is that of one pass, without holding an
     ip in one task; a task holds at most ``limit`` times.
     """
     if chunk_s < window_s:
@@ -125,8 +131,9 @@ def rate_limit(requests: DataFrame, limit: int = config.REQUESTS_PER_MINUTE, win
     shape = f"request_id {kinds['request_id']}, ip {kinds['ip']}, chunk bigint, ts_us bigint, accepted boolean"
     step = _limiter(limit, window_us, burst, burst_s * 1_000_000)
 
-    def decide(part: DataFrame) -> DataFrame:
-        ordered = part.repartition(*key).sortWithinPartitions(*key, "ts_us", "request_id")
+    def decide(part: DataFrame, stretch: Column) -> DataFrame:
+        part = part.withColumn("stretch", stretch)
+        ordered = part.repartition("ip", "stretch").sortWithinPartitions("ip", "stretch", "ts_us", "request_id")
         return cut_lineage(ordered.mapInPandas(step, shape), "rate")
 
     def tails(decided: DataFrame) -> DataFrame:
@@ -134,9 +141,10 @@ def rate_limit(requests: DataFrame, limit: int = config.REQUESTS_PER_MINUTE, win
         late = decided.where(F.col("accepted") & (F.col("ts_us") > (F.col("chunk") + 1) * chunk_us - window_us))
         return late.groupBy("ip", (F.col("chunk") + 1).alias("chunk")).agg(F.sort_array(F.collect_list("ts_us")).alias("carry"))
 
-    first = decide(rows.withColumn("carry", F.array().cast("array<bigint>")))
-    rounds = [first]
+    first = decide(rows.withColumn("carry", F.array().cast("array<bigint>")), F.col("chunk"))
+    rounds, stretch_of = [first], F.floor(F.col("chunk") / STRETCH)
     chunks = cut_lineage(first.select(*key).distinct(), "rate")
+    latest = chunks.withColumn("round", F.lit(0))
     carried = cut_lineage(tails(first).join(chunks, key, "left_semi"), "rate")
     used = chunks.select(*key, F.array().cast("array<bigint>").alias("was")).where("false")
     while True:
@@ -146,19 +154,25 @@ def rate_limit(requests: DataFrame, limit: int = config.REQUESTS_PER_MINUTE, win
             *key, F.coalesce("carry", empty).alias("carry")), "rate")
         if changed.isEmpty():
             break
-        again = decide(rows.join(changed, key))
+        starts = changed.groupBy("ip", stretch_of.alias("stretch")).agg(F.min("chunk").alias("start"), F.min_by("carry", "chunk").alias("carry"))
+        behind = lambda part: part.withColumn("stretch", stretch_of).join(starts, ["ip", "stretch"]).where(F.col("chunk") >= F.col("start"))
+        again = decide(behind(rows), stretch_of)
+        run = cut_lineage(behind(chunks).select(*key), "rate")
+        latest = latest.unionByName(run.withColumn("round", F.lit(len(rounds))))
         rounds.append(again)
-        touched = changed.select("ip", (F.col("chunk") + 1).alias("chunk"))
+        touched = run.select("ip", (F.col("chunk") + 1).alias("chunk"))
         carried = cut_lineage(carried.join(touched, key, "left_anti").unionByName(tails(again).join(chunks, key, "left_semi")), "rate")
-        used = cut_lineage(used.join(changed, key, "left_anti").unionByName(changed.withColumnRenamed("carry", "was")), "rate")
+        # the first chunk of a run began with what had been carried to it, the others with what this run carried to them
+        began = starts.select("ip", F.col("start").alias("chunk"), F.col("carry").alias("was"))
+        along = carried.join(run, key, "left_semi").join(began, key, "left_anti").withColumnRenamed("carry", "was")
+        used = cut_lineage(used.join(run, key, "left_anti").unionByName(began).unionByName(along), "rate")
     tagged = None
     for i, part in enumerate(rounds):
         part = part.withColumn("round", F.lit(i))
         tagged = part if tagged is None else tagged.unionByName(part)
     final = tagged
     if len(rounds) > 1:
-        latest = tagged.groupBy(*key).agg(F.max("round").alias("round"))
-        final = tagged.join(latest, [*key, "round"])
+        final = tagged.join(latest.groupBy(*key).agg(F.max("round").alias("round")), [*key, "round"])
     return final.select("request_id", "ip", "ts_us", "accepted").unionByName(free)
 
 
