@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_guard import brute_limit, feed
@@ -149,3 +151,85 @@ def test_limiter_forgets_quiet_addresses(rows, now, wake):
     assert step("ip", known, [], 10**6)[1:] == (None, None)
     blocked = step("ip", ([], 9), [(10, 1)], 20)
     assert blocked[0][0][3] == "blocked" and blocked[1] == ([], 9) and blocked[2] is None
+
+
+class Cells(dict):
+    """Map or value state of one group, in memory."""
+
+    calls = 0
+
+    def exists(self):
+        return bool(len(self))
+
+    def get(self, key="value"):
+        return dict.get(self, key)
+
+    getValue = get
+    removeKey = dict.pop
+
+    def keys(self):
+        return iter(list(super().keys()))
+
+    def update(self, value):
+        self["value"] = value
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+
+class Clock:
+    """Handle and timer values of a processor."""
+
+    def __init__(self):
+        self.states, self.timers, self.now = {}, set(), 0
+
+    def getMapState(self, name, *kinds):
+        return self.states.setdefault(name, Cells())
+
+    getValueState = getMapState
+    registerTimer = property(lambda self: self.timers.add)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_rows_of_a_group_come_in_order_and_in_parts(monkeypatch):
+    monkeypatch.setattr(ordered, "PAGE", 10)
+    monkeypatch.setattr(ordered, "CHUNK", 50)
+    monkeypatch.setattr(ordered, "HELD", 5)
+    rng, seen, clock = random.Random(5), [], Clock()
+
+    def step(key, known, rows, now):
+        seen.append(len(rows))
+        assert all(r[0] <= now for r in rows)
+        count, last = known or (0, -1)
+        assert not rows or rows[0][0] > last  # a moment is never cut
+        last = rows[-1][0] if rows else last
+        return [(key, *r) for r in rows], None if last + 40_000 <= now else (count + len(rows), last), last + 40_000
+
+    schema = pa.schema([("t", pa.int64()), ("id", pa.int64()), ("key", pa.string()), ("wake_", pa.bool_())])
+    work = ordered.InOrder(step, schema, "string", "n bigint, last bigint", ["key", "t", "id"])
+    work.init(clock)
+    rows = [(1000 * rng.randrange(300), i, rng.choice(["hot"] * 9 + list("abcdefgh")), False) for i in range(2000)]
+    got = []
+    for part, until in ((rows, 100), (rows[:0], 200), ([(250_500, 9000, "late", False)], 10**6)):
+        if part:
+            list(work.handleInputRows((1,), iter([pd.DataFrame(part[i: i + 30], columns=schema.names) for i in range(0, len(part), 30)]), clock))
+        clock.now = until
+        while any(t <= until for t in clock.timers):
+            clock.timers.discard(min(clock.timers))
+            got += [tuple(r) for frame in work.handleExpiredTimer((1,), clock, None) for r in frame.itertuples(index=False)]
+    want = sorted([(k, t, i) for t, i, k, _ in rows] + [("late", 250_500, 9000)])
+    assert sorted(got) == want
+    for key in {k for _, _, k, _ in rows}:
+        assert [r for r in got if r[0] == key] == [r for r in want if r[0] == key]
+    # pages of several runs may overlap, so a part can be larger than CHUNK but stays far below the rows of the key
+    assert max(seen) < 500 < sum(k == "hot" for _, _, k, _ in rows)
+    assert not clock.states["known"] and not clock.states["waiting"]
+
+
+def test_a_session_forgotten_after_a_pause_begins_anew():
+    step = ordered.consistency(100)
+    out, _, _ = step("s", None, [(1, 1, "a", "m"), (101, 2, "b", "m"), (150, 3, "c", "m")], 160)
+    assert out == [("s", 150, "ip_mismatch")]
