@@ -338,14 +338,16 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # sorted by key
         self.pools = [np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.uint64)]  # ids, merges
         self.first = [np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)]
         self.used = [0, 0]
 
     def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, n_codes: np.ndarray) -> None:
-        low = len(self.place)
-        self.place.update(zip(keys.tolist(), range(low, low + len(keys)), strict=True))
+        low = len(self.keys)
+        at = np.searchsorted(self.keys, keys)  # the new keys are sorted and none is known
+        self.keys = np.insert(self.keys, at, keys)
+        self.places = np.insert(self.places, at, np.arange(low, low + len(keys), dtype=np.int32))
         for x, (values, sizes) in enumerate(((ids, counts), (codes, n_codes))):
             end = self.used[x] + len(values)
             while end > len(self.pools[x]):
@@ -372,11 +374,15 @@ class Encoder:
     def _find(self, units: W.Words, which: np.ndarray, key: np.ndarray, skips: np.ndarray, depth: int) -> np.ndarray:
         """Places of the segmentations of the units ``which``, by the key of unit and skips; new ones are encoded."""
         known, example, at = np.unique(key, return_index=True, return_inverse=True)
-        place = np.array([self.place.get(k, -1) for k in known.tolist()], dtype=np.int64)
+        place = np.full(len(known), -1, dtype=np.int64)
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, known), len(self.keys) - 1)
+            same = self.keys[spot] == known
+            place[same] = self.places[spot[same]]
         new = np.flatnonzero(place < 0)
         if len(new):
             example = example[new]
-            low = len(self.place)
+            low = len(self.keys)
             listed = Listed(skips[example], np.full(len(example), depth))
             self._add(known[new], *self.vocabulary.encode_units(*self._bytes(units, which[example]), listed))
             place[new] = np.arange(low, low + len(new))
@@ -389,7 +395,7 @@ class Encoder:
         total = len(units.start)
         if not total:
             return np.zeros(0, dtype=np.int32), np.zeros(n + 1, dtype=np.int64)
-        if len(self.place) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._clear()
         key = units.hashes()
         size = units.end - units.start

@@ -42,6 +42,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 SLACK = 0.20
+#: bytes of text that are verified at once; the shingles of a text take many times its bytes
+PART = 1 << 18
 #: rows of a bucket in one block
 BLOCK = 256
 #: ids that may be broadcast to pick texts
@@ -98,7 +100,7 @@ def _verify_rows(k: int, threshold: float):
     """Pairs with both texts whose exact weighted Jaccard similarity reaches the threshold."""
     def run(batches):
         for batch in batches:
-            for rows, _, _ in W.slices([batch], "text_a"):
+            for rows, _, _ in W.slices([batch], "text_a", PART):
                 bags = [B.bags(*_hashed(W.column(rows, c)), k) for c in ("text_a", "text_b")]
                 n = rows.num_rows
                 total = sum(np.bincount(r, weights=c, minlength=n) for r, _, c in bags)

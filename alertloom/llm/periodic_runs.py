@@ -49,9 +49,9 @@ class _Prefix:
     """Hashes of stretches of a sequence."""
 
     def __init__(self, values: np.ndarray):
-        self.up, self.down = W._POWERS.setdefault(_BASE, W._Powers(_BASE)).get(len(values) + 1)
+        self.down = W.powers(W.inverse(_BASE), len(values) + 1)
         self.total = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * self.up[: len(values)], dtype=np.uint64, out=self.total[1:])
+        np.cumsum(values * W.powers(_BASE, len(values)), dtype=np.uint64, out=self.total[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.total[end] - self.total[start]) * self.down[start]
