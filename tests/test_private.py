@@ -119,3 +119,32 @@ def test_export_redacts_every_text_column(spark):
 
 def test_weights_cover_every_kind():
     assert {k for k, _ in config.PII_PATTERNS} <= set(config.PII_WEIGHTS)
+
+
+@pytest.mark.parametrize("gates,patterns", [(pii.PII_GATES, config.PII_PATTERNS), (pii.INDICATOR_GATES, config.INDICATOR_PATTERNS)])
+def test_gates_lose_no_hit(spark, gates, patterns):
+    texts = ["123-45-6780", "123 45 6780", "123456780", "4539578763621486", "3782 822463 10005", "a@b.org", "(415) 777-2671", "415.777.2671", "+1 415 777 2671",
+             "Jane Roe", "Jane Q. Roe", "12 Hill Road", "1/2/1980", "1980-02-28", "May 3, 1980", "8.8.8.8", "fe:ab:cd:ef:fe:ab:cd:ef", "a.org", "deadbeef" * 4,
+             "port 80", "PORT=80", "x:80", *"http HTTPS ftp Ftps ssh TELNET smb pop3 imap dns dhcp snmp tcp udp icmp".split(), "a.EXE", "a.dLL", "/usr/bin/a",
+             "/sbin/b", "cve-2021-44228", "sid 7", "RULE: 7", "event id 7", "EventID=7"]
+    frame = spark.createDataFrame([(t,) for t in texts] + [("x " + t + " y",) for t in texts], "t string")
+    located = lambda k, p: pii._scored(pii.located(F.col("t"), p, 5), k, lambda v, low: F.lit(1.0))
+    plain = F.concat(*[F.when(F.col("t").rlike(p), F.array(F.lit(k))).otherwise(F.array().cast("array<string>")) for k, p in patterns])
+    rows = frame.select("t", F.array_distinct(plain).alias("all"), F.transform(pii.gated(F.col("t"), gates, patterns, located), lambda h: h["kind"]).alias("gated")).collect()
+    assert {k for r in rows for k in r["all"]} == {k for k, _ in patterns}
+    for r in rows:
+        assert set(r["all"]) == set(r["gated"]), r.t
+
+
+def test_kinds_that_need_a_digit_share_one_test():
+    assert not {"ssn", "credit_card", "phone", "address", "date_of_birth", "port", "cve", "signature_id", "event_id"} & set(pii.WITHOUT_DIGIT)
+
+
+@pytest.mark.parametrize("name", ["j08_threat_intel", "red01_redact_threats"])
+def test_threat_query_searches_the_texts_once(spark, monkeypatch, name):
+    from alertloom.catalog import load_all
+
+    searches, search = [], job.indicator_hits
+    monkeypatch.setattr(job, "indicator_hits", lambda *a, **b: searches.append(1) or search(*a, **b))
+    load_all()[0][name](spark, "/root/testdata/sf0.001")
+    assert len(searches) == 1
