@@ -128,11 +128,13 @@ def patterns(rows: DataFrame, base: DataFrame) -> DataFrame:
 def entity_activity(rows: DataFrame, top: int | None = None) -> DataFrame:
     """Entities of a cluster by activity with their behaviours, all or the ``top`` most active."""
     low = F.lower("full_log")
-    stats = mentions(rows).groupBy(*KEY, "entity").agg(
+    # A text is searched once, not once per entity.
+    shown = {"login": low.contains("login"), "file_access": low.contains("file"),
+             "network_activity": low.contains("network") | low.contains("connection")}
+    logs = rows.select(*KEY, "ts", "rule_id", "entities", *[c.alias(name) for name, c in shown.items()])
+    stats = exploded(logs, [*KEY, "ts", "rule_id", *shown], F.col("entities"), "entity").groupBy(*KEY, "entity").agg(
         F.count("*").alias("events"), F.countDistinct("rule_id").alias("rules"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.bool_or(low.contains("login")).alias("login"), F.bool_or(low.contains("file")).alias("file_access"),
-        F.bool_or(low.contains("network") | low.contains("connection")).alias("network_activity"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), *[F.bool_or(name).alias(name) for name in shown],
     ).where("events >= 2")
     scored = stats.select(
         *KEY, "entity", entity_type(F.col("entity")).alias("entity_type"), "events", "rules", "first_seen", "last_seen",
@@ -187,15 +189,32 @@ def cluster_tags(base: DataFrame, found: DataFrame, common: DataFrame) -> DataFr
     return tags.unionByName(rules).unionByName(shape).distinct()
 
 
+def hours() -> Column:
+    return F.format_string("%.1f", F.round("span_hours", 1))
+
+
+def cluster_texts(base: DataFrame, found: DataFrame, active: DataFrame, risk: DataFrame) -> DataFrame:
+    """Template text of each cluster."""
+    main = found.groupBy(*KEY).agg(F.min_by(F.struct("description", "confidence"), "ord").alias("main"))
+    named = joined_list(active.where("rk <= 3"), KEY, "rk", F.col("entity"), "key_entities")
+    text = F.concat_ws(
+        " ",
+        F.concat(F.lit("Security cluster containing "), "n", F.lit(" events over "), hours(), F.lit(" hours.")),
+        F.when(F.col("main").isNotNull(), F.concat(
+            F.lit("Primary pattern: "), F.col("main.description"), F.lit(" (confidence: "),
+            F.format_string("%.2f", F.round("main.confidence", 2)), F.lit(")."))),
+        F.when(F.col("key_entities").isNotNull(), F.concat(F.lit("Key entities involved: "), "key_entities", F.lit("."))),
+        F.concat(F.lit("Risk level: "), "risk", F.lit(".")))
+    whole = base.join(risk.select(*KEY, "risk"), KEY).join(main, KEY, "left").join(named, KEY, "left")
+    return whole.withColumn("summary_text", text).select(*KEY, "n", "first_ts", "last_ts", "span_hours", "risk", "summary_text")
+
+
 def cluster_summaries(rows: DataFrame, base: DataFrame, found: DataFrame, active: DataFrame, common: DataFrame,
                       risk: DataFrame) -> DataFrame:
     """One summary row per cluster: template text, insights, token estimate."""
-    hours = lambda: F.format_string("%.1f", F.round("span_hours", 1))
-    main = found.groupBy(*KEY).agg(F.min_by(F.struct("description", "confidence"), "ord").alias("main"))
     title = F.when(F.col("pattern_type") == "brute_force", "Brute_Force").otherwise("Rule_Pattern")
     top3 = top_per_group(found, KEY, [F.col("ord")], 3).select(
         *KEY, F.col("rk").alias("pos"), F.concat(title, F.lit(" detected: "), "description").alias("insight"))
-    named = joined_list(active.where("rk <= 3"), KEY, "rk", F.col("entity"), "key_entities")
     shared = joined_list(top_per_group(common.where("kind = 'entity'"), KEY, [F.col("value")], 5), KEY, "rk",
                          F.col("value"), "shared")
     seconds = F.col("span_hours") * 3600
@@ -206,16 +225,7 @@ def cluster_summaries(rows: DataFrame, base: DataFrame, found: DataFrame, active
         F.when(F.col("n") > 20, F.concat(F.lit("High event volume: "), "n", F.lit(" related events")))))).alias("pos", "insight"))
     all_insights = top3.unionByName(others.withColumn("pos", F.col("pos") + 10))
     insights = joined_list(top_per_group(all_insights, KEY, [F.col("pos")], 5), KEY, "rk", F.col("insight"), "insights", " | ")
-    text = F.concat_ws(
-        " ",
-        F.concat(F.lit("Security cluster containing "), "n", F.lit(" events over "), hours(), F.lit(" hours.")),
-        F.when(F.col("main").isNotNull(), F.concat(
-            F.lit("Primary pattern: "), F.col("main.description"), F.lit(" (confidence: "),
-            F.format_string("%.2f", F.round("main.confidence", 2)), F.lit(")."))),
-        F.when(F.col("key_entities").isNotNull(), F.concat(F.lit("Key entities involved: "), "key_entities", F.lit("."))),
-        F.concat(F.lit("Risk level: "), "risk", F.lit(".")))
-    whole = (base.join(risk.select(*KEY, "risk"), KEY).join(main, KEY, "left").join(named, KEY, "left").join(insights, KEY, "left"))
-    return whole.withColumn("summary_text", text).select(
+    return cluster_texts(base, found, active, risk).join(insights, KEY, "left").select(
         *KEY, "n", "first_ts", "last_ts", "span_hours", "risk", "summary_text",
         F.coalesce("insights", F.lit("")).alias("insights"),
         (F.size(F.split("summary_text", " ")) * 1.3).alias("tokens"))

@@ -33,14 +33,20 @@ class ClusterLevel:
     systems: DataFrame
 
     def stored(self) -> ClusterLevel:
-        """The same level with its result tables written out.
+        """The same level with its base, patterns and risk written out, each from the one before.
 
-        Coarser levels then read a few rows per cluster and never return to the
-        logs; a lost executor costs one table.
+        Coarser levels then read a few rows per cluster; a lost executor costs one
+        table. Activity, common elements and systems grow with the logs and stay
+        computed on demand: most coarser levels need none or one of them.
         """
-        small = {name: cut_lineage(getattr(self, name), name)
-                 for name in ("base", "patterns", "activity", "common", "risk", "systems")}
-        return replace(self, **small)
+        base = cut_lineage(self.base, "base")
+        found = cut_lineage(pt.patterns(self.rows, base), "patterns")
+        return replace(self, base=base, patterns=found, risk=cut_lineage(pt.cluster_risk(base, found), "risk"),
+                       common=pt.common_elements(self.rows, base))
+
+    @property
+    def texts(self) -> DataFrame:
+        return pt.cluster_texts(self.base, self.patterns, self.activity, self.risk)
 
     @property
     def summaries(self) -> DataFrame:
@@ -296,27 +302,46 @@ def executive_kpis(metrics: DataFrame, incidents: DataFrame, status: DataFrame,
 
 # --- summary catalogue -----------------------------------------------------------------
 
-def summary_catalog(c: ClusterLevel, summaries: DataFrame | None = None) -> DataFrame:
+#: levels above the day: name, grain and last day of a period ``p``
+COARSER = (("weekly", "week", lambda p: F.date_add(p, 6)), ("monthly", "month", F.last_day))
+
+
+def period_rows(df: DataFrame, level: str, name: str, start: str, end: Column, *more: Column) -> DataFrame:
+    return df.select(F.lit(level).alias("level"), F.concat(F.lit(f"{level}_"), F.col(name).cast("string")).alias("summary_id"),
+                     F.col(start).cast("date").alias("period_start"), end.cast("date").alias("period_end"), *more)
+
+
+def summary_periods(clusters: DataFrame) -> DataFrame:
+    """Level, id and period of every summary: the catalogue without texts and tags.
+
+    ``clusters`` is (cluster_id, day). Order and lineage need no more, so no text is
+    searched for them.
+    """
+    days = clusters.select("day").distinct()
+    out = period_rows(clusters.where("cluster_id IS NOT NULL"), "cluster", "cluster_id", "day", F.col("day")).unionByName(
+        period_rows(days, "daily", "day", "day", F.col("day")))
+    for level, grain, end in COARSER:
+        starts = days.select(F.date_trunc(grain, "day").cast("date").alias("p")).distinct()
+        out = out.unionByName(period_rows(starts, level, "p", "p", end("p")))
+    return out
+
+
+def summary_catalog(c: ClusterLevel, texts: DataFrame | None = None) -> DataFrame:
     """Cluster, daily, weekly and monthly summaries in one table with lineage keys."""
-    summaries = c.summaries if summaries is None else summaries
+    texts = c.texts if texts is None else texts
     incidents = daily_incidents(c)
-    row = lambda df, level, ident, start, end, text, tags: df.select(
-        F.lit(level).alias("level"), ident.alias("summary_id"), start.cast("date").alias("period_start"), end.cast("date").alias("period_end"),
-        text.alias("summary_text"), tags.alias("tags"))
-    cluster = row(summaries, "cluster", F.concat(F.lit("cluster_"), "cluster_id"), F.col("day"), F.col("day"),
-                  F.col("summary_text"), F.array("risk"))
+    row = lambda df, level, name, start, end, text, tags: period_rows(
+        df, level, name, start, end, text.alias("summary_text"), tags.alias("tags"))
+    cluster = row(texts, "cluster", "cluster_id", "day", F.col("day"), F.col("summary_text"), F.array("risk"))
     state = lambda col: F.when(col == 0, F.array(F.lit("no_incidents"))).otherwise(F.array(F.lit("incidents")))
     text = lambda label, at: F.concat(F.lit(f"Security operations {label} "), at.cast("string"), F.lit(" identified "), "incidents",
                                       F.lit(" incidents from "), "alert_volume", F.lit(" alerts."))
-    day = row(incidents, "daily", F.concat(F.lit("daily_"), F.col("day").cast("string")), F.col("day"), F.col("day"),
-              text("on", F.col("day")), state(F.col("incidents")))
-    def coarser(grain, level, end):
+    out = cluster.unionByName(row(incidents, "daily", "day", "day", F.col("day"), text("on", F.col("day")), state(F.col("incidents"))))
+    for level, grain, end in COARSER:
         summed = incidents.groupBy(F.date_trunc(grain, "day").cast("date").alias("p")).agg(
             F.sum("incidents").alias("incidents"), F.sum("alert_volume").alias("alert_volume"))
-        return row(summed, level, F.concat(F.lit(f"{level}_"), F.col("p").cast("string")), F.col("p"), end,
-                   text("from", F.col("p")), state(F.col("incidents")))
-    return (cluster.unionByName(day).unionByName(coarser("week", "weekly", F.date_add("p", 6)))
-            .unionByName(coarser("month", "monthly", F.last_day("p"))))
+        out = out.unionByName(row(summed, level, "p", "p", end("p"), text("from", F.col("p")), state(F.col("incidents"))))
+    return out
 
 
 def lineage_edges(catalog: DataFrame) -> DataFrame:
