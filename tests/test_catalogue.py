@@ -35,3 +35,17 @@ def same(spark, folder, name):
 def test_lineage_and_order_search_no_text(spark, events, monkeypatch, name):
     monkeypatch.setattr(ro, "alert_entities", lambda *_: F.raise_error(F.lit("a text was searched")).cast("array<string>"))
     assert same(spark, events, name) is None
+
+
+def test_the_catalogue_searches_each_text_once(spark, events, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text, declared):
+        def found(*values):
+            seen.add(1)
+            return [v for v in values if v]
+        return F.udf(found, "array<string>")(*[F.col(c) for c in declared])
+
+    monkeypatch.setattr(ro, "alert_entities", counted)
+    shown = entry.queries()["a32_storage_stats"](spark, events)
+    assert shown.count() and 0 < seen.value <= spark.read.parquet(f"{events}/events.parquet").count()
