@@ -5,27 +5,29 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom import config
 from alertloom.functions.matching import contains_any, exploded, tokens
-from alertloom.functions.vectors import best_rows, partition_search
+from alertloom.functions.vectors import best_rows, matrix, partition_search
 from alertloom.session import cut_lineage, is_small, spread
 
 QUERY_BLOCK = 1024
 #: rows of either side of a pair of blocks; a row travels once per block of the other side
 PAIR_BLOCK = 65_536
-#: small batches are cut into this many blocks, so that all tasks have work
+#: small batches are cut so that there are this many pairs of blocks, and all tasks have work
 LEAST_BLOCKS = 32
 TERM_LIMIT = 20_000
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id",
-                  vec_col: str = "embedding", query_block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
+                  vec_col: str = "embedding", query_block: int = QUERY_BLOCK, digits: int | None = None, copies: str | None = None) -> DataFrame:
     """Exact best ``k`` rows per query: (query_id, id, score, rank).
 
+    Where a row stands for ``copies`` rows, those behind better ones that hold ``k`` may be missing.
+
     ``score`` is 1 / (1 + squared distance) for ``l2``, the cosine otherwise.
     Ranks follow exact scores unless ``digits`` rounds them first.
 
@@ -35,7 +37,8 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
     blocks and every pair of blocks is one group of bounded size. Queries of
     equal vectors are searched once.
     """
-    points = spread(corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
+    many = (F.col(copies) if copies else F.lit(1)).cast("bigint").alias("copies")
+    points = spread(corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), many))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("qvec"))
     kinds = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *asked.schema.fields]}
     shape = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
@@ -45,30 +48,39 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
             return points.sparkSession.createDataFrame([], shape + ", rank int")
         found = points.mapInPandas(partition_search(metric, batch["query_id"].to_numpy(), np.stack(batch["qvec"]), k, digits), shape)
     else:
-        one = cut_lineage(asked.groupBy("qvec").agg(F.min("query_id").alias("query_id")), "different")
-        best = top_k(_block_search(points, one, k, metric, shape, digits), k, "query_id", "score", "id").withColumnRenamed("query_id", "first")
-        same = asked.join(one.withColumnRenamed("query_id", "first"), "qvec").select("query_id", "first")
+        asked = asked.withColumn("key", _vector_key(F.col("qvec")))
+        one = cut_lineage(asked.groupBy("key").agg(F.min("query_id").alias("query_id"), F.any_value("qvec").alias("qvec")), "different")
+        best = top_k(_block_search(points, one.drop("key"), k, metric, shape, digits), k, "query_id", "score", "id").withColumnRenamed("query_id", "first")
+        same = asked.drop("qvec").join(one.select("key", F.col("query_id").alias("first")), "key").select("query_id", "first")
         return same.join(best, "first").select("query_id", "id", "score", "rank")
     return top_k(found, k, "query_id", "score", "id")
 
 
+def _vector_key(vector: Column) -> Column:
+    """Two 64-bit hashes that tell vectors apart: arrays themselves are slow keys."""
+    return F.struct(F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(1), vector).alias("h2"))
+
+
 def _block_search(points: DataFrame, asked: DataFrame, k: int, metric: str, shape: str, digits: int | None) -> DataFrame:
     """Every corpus block against every query block, by an equality join on the block pair."""
     n = asked.count()
-    n_query = max(math.ceil(n / PAIR_BLOCK * 1.25), min(math.ceil(n / QUERY_BLOCK), LEAST_BLOCKS))
     n_point = math.ceil(points.count() / PAIR_BLOCK * 1.25)
+    n_query = max(math.ceil(n / PAIR_BLOCK * 1.25), min(math.ceil(n / QUERY_BLOCK), math.ceil(LEAST_BLOCKS / max(1, n_point))))
     # of the type of the sequence: cogroup compares keys as they are, and a bigint is dealt to another partition than its int
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = points.withColumn("pb", block("id", n_point)).withColumn("qb", every(n_query))
     right = asked.withColumn("qb", block("query_id", n_query)).withColumn("pb", every(n_point))
 
-    def score(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def score(p: pa.Table, q: pa.Table) -> pa.Table:
         if not len(p) or not len(q):
-            return pd.DataFrame({"query_id": q["query_id"][:0], "id": p["id"][:0], "score": np.zeros(0)})
-        return best_rows(metric, p["id"].to_numpy(), np.stack(p["vec"]), q["query_id"].to_numpy(), np.stack(q["qvec"]), k, digits)
+            return pa.table({"query_id": q["query_id"][:0], "id": p["id"][:0], "score": pa.array([], pa.float64())})
+        found = best_rows(metric, p["id"].to_numpy(), matrix(p["vec"]), np.arange(len(q)), matrix(q["qvec"]), k, digits, copies=p["copies"].to_numpy())
+        return pa.table({"query_id": q["query_id"].take(pa.array(found["query_id"])), "id": pa.array(found["id"], p.schema.field("id").type), "score": pa.array(found["score"])})
 
-    return left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInPandas(score, shape)
+    # a group is much work on few bytes: a given number of partitions is not made smaller by their size
+    dealt = lambda rows: rows.repartition(min(1000, 2 * n_point * n_query + 1), "pb", "qb").groupBy("pb", "qb")
+    return dealt(left).cogroup(dealt(right)).applyInArrow(score, shape)
 
 
 def top_k(hits: DataFrame, k: int, query: str, score: str, tie: str) -> DataFrame:
@@ -131,16 +143,18 @@ def _members_of(near: DataFrame, sizes: DataFrame, members: DataFrame, wanted: C
     Texts behind better ones that already hold enough documents are left out before their members are joined.
     """
     near = near.join(sizes, "text_id")
-    better = Window.partitionBy("query_id").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = near.groupBy("query_id", "score").agg(F.sum("copies").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(better), F.lit(0)))
-    needed = near.join(steps.drop("here"), ["query_id", "score"]).where(F.col("before") < wanted).drop("before", "copies", "rank")
+    better = Window.partitionBy("query_id").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # of the copies up to its score a text does not count those of its score
+    same = Window.partitionBy("query_id", "score")
+    near = near.withColumn("before", F.sum("copies").over(better)).withColumn("before", F.col("before") - F.sum("copies").over(same))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    rows = needed.join(members.select(F.col("id").alias("text_id"), F.col("member").alias("id")), "text_id")
+    rows = near.where(F.col("before") < wanted).drop("before", "copies", "rank").join(
+        members.select(F.col("id").alias("text_id"), F.col("member").alias("id")), "text_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
 
 
 def hybrid_search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec_col: str = "embedding",
-                  text: str = "text", digits: int | None = None, members: DataFrame | None = None) -> DataFrame:
+                  text: str = "text", digits: int | None = None, members: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Semantic candidates reranked by keywords.
 
     With ``members`` (id, member) a row of the corpus is a text that stands for its ``copies`` documents: each text
@@ -150,30 +164,52 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", vec
 
     ``queries``: query_id, embedding, keywords (text, may be empty), k. Twice
     ``k`` candidates are fetched; their BM25 scores are scaled by the best
-    candidate of the query. Without keywords the semantic order stands.
+    candidate of the query. Without keywords the semantic order stands. Columns of the queries
+    to ``keep`` come with their hits.
+
+    Queries of equal vectors that want as many candidates share them, and those of equal keywords share the BM25
+    score of a text. A query's texts, with their candidates, meet in one row of at most 2k candidates.
     """
     widest = 2 * (queries.agg(F.max("k")).first()[0] or 0)
     if not widest:
         raise ValueError("queries need a positive k")
-    ask = queries.select("query_id", "k", (F.trim("keywords") != "").alias("keyed"))
-    wanted = F.when(F.col("keyed"), F.col("k") * 2).otherwise(F.col("k"))
-    near = vector_search(corpus, queries, widest, "l2", id_col, vec_col, digits=digits).join(ask, "query_id").withColumnRenamed("id", "text_id")
+    keyed = F.trim("keywords") != ""
+    ask = queries.where("query_id is not null").select("query_id", "embedding", "keywords", "k", F.coalesce(keyed, F.lit(False)).alias("keyed"),
+                                                       F.struct(F.lit(0).alias("_"), *keep).alias("kept")).withColumn(
+        "wanted", F.when(F.col("keyed"), F.col("k") * 2).otherwise(F.col("k"))).withColumn("key", _vector_key(F.col("embedding")))
+    alike = ["key", "wanted"]
+    one = cut_lineage(ask.groupBy(*alike).agg(F.min("query_id").alias("first"), F.any_value("embedding").alias("embedding")), "alike")
+    searched = one.select(F.col("first").alias("query_id"), "embedding")
+    near = vector_search(corpus, searched, widest, "l2", id_col, vec_col, digits=digits, copies=None if members is None else "copies")
+    near = near.join(one.select(F.col("first").alias("query_id"), "wanted"), "query_id").withColumnRenamed("id", "text_id")
     if members is None:
-        near = near.where(F.col("rank") <= wanted).withColumn("id", F.col("text_id"))
+        near = near.where(F.col("rank") <= F.col("wanted")).withColumn("id", F.col("text_id"))
     else:
-        near = _members_of(near, corpus.select(F.col(id_col).alias("text_id"), "copies"), members, wanted)
-    # Three later steps read the candidates; at most 2k rows per query are kept.
-    near = cut_lineage(near, "near")
-    candidates = near.select("query_id", F.col("text_id").alias("id")).distinct()
-    words = bm25(corpus, query_terms(queries, F.col("keywords")), id_col, text, only=candidates, digits=digits, copies=None if members is None else "copies")
-    best = words.groupBy("query_id").agg(F.max("bm25").alias("top"))
-    scaled = words.join(best, "query_id").select("query_id", F.col("id").alias("text_id"), F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(0.0).alias("bm25_score"))
-    merged = near.drop("rank").join(scaled, ["query_id", "text_id"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-    mixed = merged.withColumn("hybrid_score", F.when(
-        F.col("keyed"), _rounded(config.SEMANTIC_WEIGHT * F.col("score") + config.KEYWORD_WEIGHT * F.col("bm25_score"), digits)).otherwise(F.col("score")))
-    order = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), "id")
-    return (mixed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
-            .select("query_id", "id", F.col("score").alias("semantic_score"), "bm25_score", "hybrid_score", "rank"))
+        near = _members_of(near, corpus.select(F.col(id_col).alias("text_id"), "copies"), members, F.col("wanted"))
+    near = near.groupBy(F.col("query_id").alias("first"), "text_id").agg(F.any_value("score").alias("score"), F.collect_list("id").alias("ids"))
+    # Two later steps read the candidates; at most 2k per query are kept.
+    firsts = ask.drop("embedding").join(one.drop("embedding"), alike).drop(*alike)
+    near = cut_lineage(firsts.join(near, "first").drop("first"), "near")
+    candidates = near.where("keyed").select(F.col("keywords").alias("query_id"), F.col("text_id").alias("id")).distinct()
+    terms = query_terms(ask.where("keyed").select(F.col("keywords").alias("query_id"), "keywords").distinct(), F.col("keywords"))
+    words = bm25(corpus, terms, id_col, text, only=candidates, digits=digits, copies=None if members is None else "copies")
+    found = near.join(words.select(F.col("query_id").alias("keywords"), F.col("id").alias("text_id"), "bm25"), ["keywords", "text_id"], "left")
+    return _ranked(found, digits).select("query_id", "id", "semantic_score", "bm25_score", "hybrid_score", "rank", *[F.col("kept")[c].alias(c) for c in keep])
+
+
+def _ranked(found: DataFrame, digits: int | None) -> DataFrame:
+    """The best ``k`` candidates of each query; ``found`` has a row per query and text: score, bm25 (or none), ids."""
+    texts = found.groupBy("query_id").agg(F.any_value("k").alias("k"), F.any_value("keyed").alias("keyed"), F.any_value("kept").alias("kept"),
+                                          F.max("bm25").alias("top"), F.collect_list(F.struct("score", "bm25", "ids")).alias("texts"))
+    scaled = lambda t: F.when((F.col("top") > 0) & t["bm25"].isNotNull(), t["bm25"] / F.col("top")).otherwise(0.0)
+    mixed = lambda t, b: F.when(F.col("keyed"), _rounded(config.SEMANTIC_WEIGHT * t["score"] + config.KEYWORD_WEIGHT * b, digits)).otherwise(t["score"])
+    scored = F.transform(F.col("texts"), lambda t: F.struct(t["ids"].alias("ids"), t["score"].alias("score"), scaled(t).alias("b")))
+    scored = F.transform(scored, lambda t: F.struct(t["ids"].alias("ids"), t["score"].alias("score"), t["b"].alias("b"), mixed(t, t["b"]).alias("h")))
+    rows = F.flatten(F.transform(scored, lambda t: F.transform(t["ids"], lambda i: F.struct(
+        (-t["h"]).alias("down"), i.alias("id"), t["score"].alias("semantic_score"), t["b"].alias("bm25_score"), t["h"].alias("hybrid_score")))))
+    best = texts.select("query_id", "kept", F.slice(F.array_sort(rows), F.lit(1), F.col("k").cast("int")).alias("best"))
+    return best.select("query_id", "kept", F.posexplode_outer("best").alias("at", "hit")).where("at is not null").select(
+        "query_id", "kept", "hit.id", "hit.semantic_score", "hit.bm25_score", "hit.hybrid_score", (F.col("at") + 1).alias("rank"))
 
 
 def relevance(score: Column, priority: Column, strategy: Column, matched: Column, log_text: Column, entities: Column) -> Column:

@@ -210,3 +210,63 @@ def test_rows_travel_once_for_every_large_block(spark):
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9000, 4)))], "id long, vec array<double>")
     homes, guests = cl._meetings(points, -1.0, "cosine", None, None, cl.MAX_CELLS)
     assert homes.count() + guests.count() <= 5 * 9000
+
+
+def test_equal_vectors_and_copies_are_searched_once(spark):
+    """Members of many copies, equal vectors of different questions and equal keywords, against a plain search."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 6))) for _ in range(60)]
+    logs = [(i, texts[int(rng.integers(0, len(texts)))]) for i in range(400)]
+    asks = [(f"q{i:04d}", " ".join(rng.choice(words, size=2)), ["", "w1 w2", "w3", "w9 w9"][i % 4], 3 + i % 2) for i in range(1500)]
+    frame = spark.createDataFrame(logs, "alert_id long, full_log string")
+    asked = spark.createDataFrame(asks, "search_id string, search string, keywords string, k int").withColumn("mark", F.concat("search_id", F.lit("!")))
+    found = {}
+    for r in rt.run_searches(frame, asked, digits=6, keep=("mark",)).collect():
+        assert r.mark == r.search_id + "!"
+        found.setdefault(r.search_id, {})[r["rank"]] = (r.id, r.hybrid_score)
+    from alertloom.functions.vectors import _bucket
+
+    def embedded(text):
+        v = np.bincount([_bucket(t, 64) for t in text.split()], minlength=64).astype(float)
+        return v / np.linalg.norm(v)
+
+    ids = np.array([i for i, _ in logs])
+    vecs = np.stack([embedded(t) for _, t in logs])
+    tokens = [t.split() for _, t in logs]
+    mean = np.mean([len(t) for t in tokens])
+    df = {w: sum(w in t for t in tokens) for w in words}
+
+    def keyword(doc, query):
+        total = 0.0
+        for w in query.split():
+            tf = doc.count(w)
+            total += np.log(1 + (len(tokens) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(doc) / mean))
+        return round(total, 6)
+
+    assert len(found) == len(asks)
+    for name, search, keywords, k in asks[::37]:
+        score = np.round(1 / (1 + ((vecs - embedded(search)) ** 2).sum(1)), 6)
+        near = np.lexsort((ids, -score))[:2 * k if keywords else k]
+        bm = [keyword(tokens[j], keywords) for j in near]
+        mixed = [round(0.6 * score[j] + 0.4 * (b / max(bm) if max(bm) > 0 else 0), 6) if keywords else score[j] for j, b in zip(near, bm, strict=True)]
+        best = sorted(zip([-m for m in mixed], ids[near], strict=True))[:k]
+        assert [found[name][r + 1][0] for r in range(k)] == [i for _, i in best], (name, search, keywords)
+        assert [found[name][r + 1][1] for r in range(k)] == pytest.approx([-m for m, _ in best], abs=2e-6)
+
+
+def test_copies_shorten_the_candidates():
+    from alertloom.functions.vectors import best_rows, exact_scores
+
+    rng = np.random.default_rng(1)
+    for scale in (1.0, 300.0):
+        rows, asked = (rng.poisson(0.4, (n, 16)).astype(float) for n in (3000, 300))
+        rows, asked = (scale * m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1) for m in (rows, asked))
+        ids, copies = rng.permutation(3000) * 3, rng.integers(1, 6, 3000)
+        got = best_rows("l2", ids, rows, np.arange(300), asked, 10, 6, copies=copies)
+        for q in range(0, 300, 7):
+            score = np.round(exact_scores("l2", rows, np.repeat(asked[q:q + 1], 3000, 0)), 6)
+            order = np.lexsort((ids, -score))[:10]
+            wanted = [(ids[j], score[j]) for j in order if copies[score > score[j]].sum() < 10]
+            mine = got[got.query_id == q]
+            assert list(zip(mine.id, mine.score, strict=True)) == wanted
