@@ -95,3 +95,27 @@ def test_few_values_add_nothing_and_prose_is_left_alone(spark):
     found = {r["doc_id"]: r["spans"] for r in G.digest(G.find_secrets(docs)).collect()}
     assert not any("format" in found[i] for i in range(60))
     assert sum(found[i] == "format:4:24" for i in range(360, 390)) >= 28
+
+
+def test_all_values_and_tokens_are_learnt(spark):
+    """More values than any sample, and values longer than the depths that are told apart."""
+    values = hexes(11, 3400) + hexes(12, 60, 300)
+    texts = [f"see {v} and word{i}.index here" for i, v in enumerate(values)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with G.own_tables(spark):
+        learnt = G.learn(rows, G.scan(rows))["hex"]
+    plain = G.Automaton(values, ordinary=G.Ordinary([f"word{i}.index" for i in range(len(values))]))
+    assert plain.count[0] >= len(values) and learnt.count == plain.count and learnt.final == plain.final
+    assert learnt.states == plain.states and learnt.threshold == pytest.approx(plain.threshold)
+    probes = hexes(13, 50) + hexes(14, 20, 300) + hexes(15, 20, 41)
+    assert [learnt.score(v) for v in probes] == pytest.approx([plain.score(v) for v in probes])
+    assert all(learnt.score(v) > float("-inf") for v in probes[:70])
+
+
+def test_place_of_a_score(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1.5, rng.gauss(0, 9)]), rng.randint(1, 4)) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "score double, n long")
+    flat = sorted(s for s, n in rows for _ in range(n))
+    for place in (0, 7, 300, len(flat) - 1):
+        assert G._at_place(frame, place) == flat[place]
